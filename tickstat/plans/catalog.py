@@ -95,3 +95,162 @@ _one_feature("zero_volume", "zero_volume_flag", False)
 )
 def q_bar_features(spark, sf_dir):
     return features_e(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- step 2: symbols
+from tickstat.functions.symbols import LARGE_CAP_LIST, base_asset, quote_asset  # noqa: E402
+from tickstat.sources.candles import read_candles  # noqa: E402
+
+
+@register(
+    "symbol_from_file",
+    """SELECT 'region' AS symbol, 'region' AS base_asset, CAST(NULL AS VARCHAR) AS quote_asset, count(*) AS n_rows
+       FROM region
+       UNION ALL
+       SELECT 'nation', 'nation', CAST(NULL AS VARCHAR), count(*) FROM nation""",
+)
+def q_symbol_from_file(spark, sf_dir):
+    df = read_candles(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"], schema=None)
+    return df.groupBy("symbol", "base_asset", "quote_asset").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register(
+    "symbol_parts",
+    O.with_ctes(O.BARS_D, O.BARS_E)
+    + """ SELECT symbol, NULLIF(split_part(symbol, '-', 1), '') AS base_asset,
+               NULLIF(split_part(symbol, '-', 2), '') AS quote_asset, count(*) AS n_bars
+        FROM (SELECT symbol FROM bars_d UNION ALL SELECT symbol FROM bars_e) AS s GROUP BY symbol""",
+)
+def q_symbol_parts(spark, sf_dir):
+    syms = daily_bars(spark, sf_dir).select("symbol").unionByName(hourly_bars(spark, sf_dir).select("symbol"))
+    return syms.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars")).select(
+        "symbol", base_asset().alias("base_asset"), quote_asset().alias("quote_asset"), "n_bars")
+
+
+# ---------------------------------------------------------------- step 4: quality
+from tickstat.operators.quality import quality_report  # noqa: E402
+
+_FD = O.with_ctes(O.BARS_D, O.features("bars_d", "feat_d"))
+_QC_N_COLS = len(BAR_D_COLS) + len(FEAT_COLS)
+
+
+@register(
+    "qc_coverage",
+    _FD + f""" SELECT count(*) AS n_rows, {_QC_N_COLS} AS n_columns, min(open_time) AS min_open_time,
+      max(open_time) AS max_open_time, count(DISTINCT symbol) AS n_symbols,
+      count(DISTINCT base_asset) AS n_base_assets FROM feat_d""",
+)
+def q_qc_coverage(spark, sf_dir):
+    return quality_report(features_d(spark, sf_dir)).select(
+        "n_rows", "n_columns", "min_open_time", "max_open_time", "n_symbols", "n_base_assets")
+
+
+_NULL_RATES = ["log_return_null_rate", "amihud_illiq_null_rate", "parkinson_var_1m_null_rate", "taker_ratio_null_rate"]
+
+
+@register(
+    "qc_null_rates",
+    O.final(_FD + " SELECT " + ", ".join(
+        f"CAST(count(*) FILTER (WHERE {c[:-10]} IS NULL) AS DOUBLE) / count(*) AS {c}" for c in _NULL_RATES)
+        + " FROM feat_d", _NULL_RATES, _NULL_RATES),
+)
+def q_qc_null_rates(spark, sf_dir):
+    return quality_report(features_d(spark, sf_dir)).select(*_NULL_RATES)
+
+
+@register(
+    "qc_zero_rate",
+    O.final(_FD + """ SELECT CAST(count(*) FILTER (WHERE zero_volume_flag) AS DOUBLE) / count(*) AS zero_volume_rate
+        FROM feat_d""", ["zero_volume_rate"], ["zero_volume_rate"]),
+)
+def q_qc_zero_rate(spark, sf_dir):
+    return quality_report(features_d(spark, sf_dir)).select("zero_volume_rate")
+
+
+@register(
+    "qc_duplicates",
+    O.with_ctes(O.BARS_E) + """ SELECT count(*) AS dup_keys, count(*) = 0 AS passed FROM (
+        SELECT base_asset AS symbol, open_time FROM bars_e GROUP BY 1, 2 HAVING count(*) > 1) AS d""",
+)
+def q_qc_duplicates(spark, sf_dir):
+    # keyed by base asset, hourly bars of one base collide across quotes
+    bars = hourly_bars(spark, sf_dir)
+    feats = bar_features(bars.withColumn("symbol", F.col("base_asset")))
+    return quality_report(feats).select("dup_keys", "passed")
+
+
+# ---------------------------------------------------------------- step 5: stress
+from tickstat.operators import stress as S  # noqa: E402
+
+
+@register(
+    "tier_two",
+    O.with_ctes(O.BARS_D) + f" SELECT DISTINCT symbol, base_asset, {O.tier_case()} AS tier FROM bars_d",
+)
+def q_tier_two(spark, sf_dir):
+    return S.with_tier(daily_bars(spark, sf_dir)).select("symbol", "base_asset", "tier").distinct()
+
+
+@register(
+    "tier_list",
+    O.with_ctes(O.BARS_D) + f" SELECT DISTINCT symbol, base_asset, {O.tier_case('base_asset', LARGE_CAP_LIST)} AS tier FROM bars_d",
+)
+def q_tier_list(spark, sf_dir):
+    return S.with_tier(daily_bars(spark, sf_dir), LARGE_CAP_LIST).select("symbol", "base_asset", "tier").distinct()
+
+
+_FDS = O.with_ctes(O.BARS_D, O.features("bars_d", "feat_d"), O.stress_minutes_ctes())
+
+
+@register("btc_pick", O.final(_FDS + " SELECT open_time, btc_symbol, btc_parkinson_var_1m FROM pick",
+                              ["open_time", "btc_symbol", "btc_parkinson_var_1m"], ["btc_parkinson_var_1m"]))
+def q_btc_pick(spark, sf_dir):
+    return S.btc_pick(features_d(spark, sf_dir))
+
+
+@register("stress_threshold", O.final(_FDS + " SELECT threshold FROM thr", ["threshold"], ["threshold"]))
+def q_stress_threshold(spark, sf_dir):
+    thr = S.stress_threshold(features_d(spark, sf_dir))
+    return spark.range(1).select(F.lit(thr).cast("double").alias("threshold"))
+
+
+@register("stress_minutes", O.final(_FDS + " SELECT * FROM sm",
+                                    ["open_time", "btc_symbol", "btc_parkinson_var_1m", "is_stress"],
+                                    ["btc_parkinson_var_1m"]))
+def q_stress_minutes(spark, sf_dir):
+    return S.stress_minutes(features_d(spark, sf_dir))
+
+
+_FDD = O.with_ctes(O.BARS_D, O.features("bars_d", "feat_d"), O.stress_days_ctes())
+
+
+@register("stress_days", O.final(_FDD + " SELECT * FROM sdays", ["date", "btc_daily_vol", "is_stress"],
+                                 ["btc_daily_vol"]))
+def q_stress_days(spark, sf_dir):
+    return S.stress_days(features_d(spark, sf_dir))
+
+
+_QD = [c for c in O.QUALITY_COLS if c != "n_bars"]
+
+
+@register(
+    "stress_compare",
+    O.final(_FDS + f""",
+lab AS (SELECT f.*, {O.tier_case()} AS tier, sm.is_stress FROM feat_d f LEFT JOIN sm ON f.open_time = sm.open_time)
+SELECT tier, is_stress, {O.QUALITY_SQL} FROM lab GROUP BY tier, is_stress""",
+            ["tier", "is_stress"] + O.QUALITY_COLS, _QD),
+)
+def q_stress_compare(spark, sf_dir):
+    return S.stress_compare(features_d(spark, sf_dir))
+
+
+@register(
+    "stress_day_summary",
+    O.final(_FDD + f""",
+lab AS (SELECT f.*, {O.tier_case()} AS tier FROM feat_d f
+        WHERE CAST(f.open_time AS DATE) IN (SELECT date FROM sdays WHERE is_stress))
+SELECT tier, {O.QUALITY_SQL} FROM lab GROUP BY tier""",
+            ["tier"] + O.QUALITY_COLS, _QD),
+)
+def q_stress_day_summary(spark, sf_dir):
+    return S.stress_day_summary(features_d(spark, sf_dir))

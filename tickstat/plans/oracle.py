@@ -122,3 +122,44 @@ def final(inner: str, cols: Iterable[str], doubles: Iterable[str] = ()) -> str:
     dbl = set(doubles)
     sel = [f"CAST({round_sig_sql(c)} AS DOUBLE) AS {c}" if c in dbl else c for c in cols]
     return f"SELECT {', '.join(sel)} FROM (\n{inner}\n) AS t"
+
+
+def tier_case(col: str = "base_asset", caps=("BTC", "ETH")) -> str:
+    lst = ", ".join(f"'{c}'" for c in caps)
+    return f"CASE WHEN {col} IN ({lst}) THEN 'LARGE_CAP' ELSE 'SMALL_CAP' END"
+
+
+QUALITY_SQL = """count(*) AS n_bars,
+  avg(quote_asset_volume) AS avg_quote_volume,
+  quantile_disc(quote_asset_volume, 0.5) AS median_quote_volume,
+  avg(amihud_illiq) AS avg_amihud,
+  quantile_disc(amihud_illiq, 0.95) AS p95_amihud,
+  avg(CAST(zero_volume_flag AS DOUBLE)) AS zero_volume_ratio,
+  avg(parkinson_var_1m) AS avg_parkinson_vol,
+  quantile_disc(parkinson_var_1m, 0.95) AS p95_parkinson_vol,
+  avg(abs(log_return)) AS avg_abs_return"""
+QUALITY_COLS = ["n_bars", "avg_quote_volume", "median_quote_volume", "avg_amihud", "p95_amihud",
+                "zero_volume_ratio", "avg_parkinson_vol", "p95_parkinson_vol", "avg_abs_return"]
+
+
+def stress_minutes_ctes(feat: str = "feat_d", q: float = 0.95) -> str:
+    return f"""
+pick AS (
+  SELECT open_time, symbol AS btc_symbol, parkinson_var_1m AS btc_parkinson_var_1m FROM (
+    SELECT *, row_number() OVER (PARTITION BY open_time
+             ORDER BY CASE WHEN symbol = 'BTC-USDT' THEN 0 ELSE 1 END, symbol) AS rn
+    FROM {feat} WHERE symbol LIKE 'BTC-%') AS b
+  WHERE rn = 1
+),
+thr AS (SELECT quantile_disc(btc_parkinson_var_1m, {q}) AS threshold FROM pick),
+sm AS (SELECT pick.*, pick.btc_parkinson_var_1m >= thr.threshold AS is_stress FROM pick, thr)"""
+
+
+def stress_days_ctes(feat: str = "feat_d", q: float = 0.95) -> str:
+    return f"""
+daily AS (
+  SELECT CAST(open_time AS DATE) AS date, avg(parkinson_var_1m) AS btc_daily_vol
+  FROM {feat} WHERE base_asset = 'BTC' GROUP BY 1
+),
+dthr AS (SELECT quantile_disc(btc_daily_vol, {q}) AS thr FROM daily),
+sdays AS (SELECT daily.date, daily.btc_daily_vol, daily.btc_daily_vol >= dthr.thr AS is_stress FROM daily, dthr)"""
