@@ -254,3 +254,113 @@ SELECT tier, {O.QUALITY_SQL} FROM lab GROUP BY tier""",
 )
 def q_stress_day_summary(spark, sf_dir):
     return S.stress_day_summary(features_d(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- step 6-7: shocks and lags
+from tickstat.operators import shock as K  # noqa: E402
+
+# Test parameters (FIXTURES.md section 5): the reference's lags, read as hours on
+# the hourly fixture; q 0.95; reliability 40 / 280; minimum shock observations 45.
+SHOCK_TEST = K.ShockParams(q=0.95, unit="hours", min_shock=40, min_noshock=280)
+MIN_OBS_TEST = 45
+
+_FE = O.with_ctes(O.BARS_E, O.features("bars_e", "feat_e"), O.shock_ctes())
+_BEST = [O.EFFECT_COLS[0], O.EFFECT_COLS[1]]
+
+
+@register("shock_thresholds", O.final(_FE + " SELECT symbol, threshold FROM sthr", ["symbol", "threshold"],
+                                      ["threshold"]))
+def q_shock_thresholds(spark, sf_dir):
+    return K.shock_thresholds(features_e(spark, sf_dir), SHOCK_TEST)
+
+
+@register("shock_calendar", _FE + " SELECT open_time, any_shock FROM cal")
+def q_shock_calendar(spark, sf_dir):
+    return K.shock_calendar(features_e(spark, sf_dir), SHOCK_TEST)
+
+
+@register("lag_effects", O.final(_FE + " SELECT * FROM eff", O.EFFECT_COLS, O.EFFECT_DOUBLES))
+def q_lag_effects(spark, sf_dir):
+    return K.lag_effects(features_e(spark, sf_dir), SHOCK_TEST)
+
+
+@register("lag_effects_union", O.final(_FE + " SELECT * FROM eff", O.EFFECT_COLS, O.EFFECT_DOUBLES))
+def q_lag_effects_union(spark, sf_dir):
+    return K.lag_effects_union(features_e(spark, sf_dir), SHOCK_TEST)
+
+
+@register("lag0_topk", O.final(_FE + """ SELECT symbol, delta_vol, delta_illiq, n_shock_obs FROM eff
+    WHERE lag = 0 ORDER BY delta_vol DESC NULLS LAST, symbol ASC LIMIT 20""",
+                               ["symbol", "delta_vol", "delta_illiq", "n_shock_obs"], ["delta_vol", "delta_illiq"]))
+def q_lag0_topk(spark, sf_dir):
+    return K.top_by_delta(K.lag_effects(features_e(spark, sf_dir), SHOCK_TEST), lag=0, k=20)
+
+
+def _effects_e(spark, sf_dir):
+    return K.lag_effects(features_e(spark, sf_dir), SHOCK_TEST)
+
+
+_FEB = _FE + "," + O.best_ctes(MIN_OBS_TEST)
+
+
+def _best_cols(metric: str):
+    cols = [c if c != metric else f"best_{metric}" for c in O.EFFECT_COLS]
+    dbl = [c if c != metric else f"best_{metric}" for c in O.EFFECT_DOUBLES]
+    rename = ", ".join(c if c != f"best_{metric}" else f"{metric} AS best_{metric}" for c in cols)
+    return cols, dbl, rename
+
+
+for _m, _name in (("delta_vol", "best_lag_vol"), ("delta_illiq", "best_lag_illiq")):
+    _cols, _dbl, _sel = _best_cols(_m)
+
+    def _mk(metric=_m):
+        def _q(spark, sf_dir):
+            return K.best_lag(_effects_e(spark, sf_dir), metric, MIN_OBS_TEST)
+        return _q
+
+    register(_name, O.final(_FEB + f" SELECT {_sel} FROM best_{_m}", _cols, _dbl))(_mk())
+
+_BMV_COLS = ["symbol", "lag", "best_delta_vol", "delta_illiq", "n_shock_obs", "vol_on_shock", "vol_on_noshock",
+             "illiq_on_shock", "illiq_on_noshock", "n_noshock_obs", "best_metric", "best_metric_name"]
+_BMV_DBL = ["best_delta_vol", "delta_illiq", "vol_on_shock", "vol_on_noshock", "illiq_on_shock",
+            "illiq_on_noshock", "best_metric"]
+
+
+@register("best_metric_view", O.final(_FEB + """ SELECT symbol, lag, delta_vol AS best_delta_vol, delta_illiq,
+    n_shock_obs, vol_on_shock, vol_on_noshock, illiq_on_shock, illiq_on_noshock, n_noshock_obs,
+    delta_vol AS best_metric, 'delta_vol' AS best_metric_name FROM best_delta_vol""", _BMV_COLS, _BMV_DBL))
+def q_best_metric_view(spark, sf_dir):
+    return K.best_metric_view(K.best_lag(_effects_e(spark, sf_dir), "delta_vol", MIN_OBS_TEST))
+
+
+@register("best_metric_absmax", O.final(_FEB + """, bm AS (SELECT *,
+      COALESCE(abs(delta_vol) >= abs(delta_illiq), delta_illiq IS NULL) AS pv FROM best_delta_vol)
+    SELECT symbol, lag, delta_vol AS best_delta_vol, delta_illiq,
+    n_shock_obs, vol_on_shock, vol_on_noshock, illiq_on_shock, illiq_on_noshock, n_noshock_obs,
+    CASE WHEN pv THEN delta_vol ELSE delta_illiq END AS best_metric,
+    CASE WHEN pv THEN 'delta_vol' ELSE 'delta_illiq' END AS best_metric_name FROM bm""", _BMV_COLS, _BMV_DBL))
+def q_best_metric_absmax(spark, sf_dir):
+    return K.best_metric_view(K.best_lag(_effects_e(spark, sf_dir), "delta_vol", MIN_OBS_TEST), "abs_max")
+
+
+@register("lag_stats", O.final(_FEB + """ SELECT 'delta_vol' AS metric, count(*) AS n_symbols, avg(lag) AS mean_lag,
+      quantile_disc(lag, 0.5) AS median_lag, quantile_disc(lag, 0.25) AS p25_lag, quantile_disc(lag, 0.75) AS p75_lag
+    FROM best_delta_vol
+    UNION ALL
+    SELECT 'delta_illiq', count(*), avg(lag), quantile_disc(lag, 0.5), quantile_disc(lag, 0.25), quantile_disc(lag, 0.75)
+    FROM best_delta_illiq""", ["metric", "n_symbols", "mean_lag", "median_lag", "p25_lag", "p75_lag"], ["mean_lag"]))
+def q_lag_stats(spark, sf_dir):
+    return K.lag_summary(_effects_e(spark, sf_dir), MIN_OBS_TEST)[0]
+
+
+@register("lag_hist", _FEB + """ SELECT lag, count(*) AS count_symbols, 'delta_vol' AS metric FROM best_delta_vol GROUP BY lag
+    UNION ALL SELECT lag, count(*), 'delta_illiq' FROM best_delta_illiq GROUP BY lag""")
+def q_lag_hist(spark, sf_dir):
+    return K.lag_summary(_effects_e(spark, sf_dir), MIN_OBS_TEST)[1]
+
+
+@register("leveraged_regex", O.with_ctes(O.BARS_D) + f""" SELECT DISTINCT symbol,
+    regexp_matches(symbol, '{O.LEV_REGEX}') AS is_leveraged FROM bars_d""")
+def q_leveraged_regex(spark, sf_dir):
+    from tickstat.functions.symbols import is_leveraged_regex
+    return daily_bars(spark, sf_dir).select("symbol", is_leveraged_regex().alias("is_leveraged")).distinct()

@@ -163,3 +163,55 @@ daily AS (
 ),
 dthr AS (SELECT quantile_disc(btc_daily_vol, {q}) AS thr FROM daily),
 sdays AS (SELECT daily.date, daily.btc_daily_vol, daily.btc_daily_vol >= dthr.thr AS is_stress FROM daily, dthr)"""
+
+
+def shock_ctes(feat: str = "feat_e", q: float = 0.95, lags=(0, 1, 5, 15, 30, 60, 120), unit: str = "hours",
+               min_shock: int = 40, min_noshock: int = 280) -> str:
+    lag_list = ", ".join(str(x) for x in lags)
+    to_iv = {"minutes": "to_minutes", "hours": "to_hours", "days": "to_days"}[unit]
+    return f"""
+sthr AS (
+  SELECT symbol, CAST(quantile_disc(number_of_trades, {q}) AS DOUBLE) AS threshold
+  FROM {feat} WHERE symbol IN ('BTC-USDT', 'ETH-USDT') GROUP BY symbol
+),
+cal AS (
+  SELECT f.open_time, max(COALESCE(CAST(f.number_of_trades >= t.threshold AS INTEGER), 0)) AS any_shock
+  FROM {feat} f LEFT JOIN sthr t ON f.symbol = t.symbol
+  WHERE f.symbol IN ('BTC-USDT', 'ETH-USDT') GROUP BY f.open_time
+),
+lags AS (SELECT unnest([{lag_list}]) AS lag),
+eff0 AS (
+  SELECT r.symbol, l.lag,
+    avg(CASE WHEN c.any_shock = 1 THEN r.parkinson_var_1m END) AS vol_on_shock,
+    avg(CASE WHEN c.any_shock = 0 THEN r.parkinson_var_1m END) AS vol_on_noshock,
+    avg(CASE WHEN c.any_shock = 1 THEN r.amihud_illiq END) AS illiq_on_shock,
+    avg(CASE WHEN c.any_shock = 0 THEN r.amihud_illiq END) AS illiq_on_noshock,
+    count(CASE WHEN c.any_shock = 1 THEN 1 END) AS n_shock_obs,
+    count(CASE WHEN c.any_shock = 0 THEN 1 END) AS n_noshock_obs
+  FROM {feat} r CROSS JOIN lags l
+  JOIN cal c ON c.open_time = r.open_time - {to_iv}(l.lag)
+  WHERE r.symbol NOT IN ('BTC-USDT', 'ETH-USDT')
+  GROUP BY r.symbol, l.lag
+),
+eff AS (
+  SELECT *, vol_on_shock - vol_on_noshock AS delta_vol, illiq_on_shock - illiq_on_noshock AS delta_illiq
+  FROM eff0 WHERE n_shock_obs > {min_shock} AND n_noshock_obs > {min_noshock}
+)"""
+
+
+EFFECT_COLS = ["symbol", "lag", "vol_on_shock", "vol_on_noshock", "illiq_on_shock", "illiq_on_noshock",
+               "n_shock_obs", "n_noshock_obs", "delta_vol", "delta_illiq"]
+EFFECT_DOUBLES = ["vol_on_shock", "vol_on_noshock", "illiq_on_shock", "illiq_on_noshock", "delta_vol", "delta_illiq"]
+LEV_REGEX = "(UP|DOWN|BULL|BEAR)(-|$)"
+
+
+def best_ctes(min_obs: int = 45) -> str:
+    def one(metric: str) -> str:
+        return f"""
+best_{metric} AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {metric} DESC NULLS LAST, lag ASC) AS rn
+    FROM eff WHERE n_shock_obs >= {min_obs} AND NOT regexp_matches(symbol, '{LEV_REGEX}')) AS b
+  WHERE rn = 1
+)"""
+    return one("delta_vol") + "," + one("delta_illiq")
