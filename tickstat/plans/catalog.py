@@ -364,3 +364,89 @@ def q_lag_hist(spark, sf_dir):
 def q_leveraged_regex(spark, sf_dir):
     from tickstat.functions.symbols import is_leveraged_regex
     return daily_bars(spark, sf_dir).select("symbol", is_leveraged_regex().alias("is_leveraged")).distinct()
+
+
+# ---------------------------------------------------------------- step 8: betas and regimes
+from tickstat.operators import beta as B  # noqa: E402
+
+# Test parameters (FIXTURES.md section 5): minimum rows 850, regime minimum 230, hyper quantile 0.75.
+BETA_TEST = B.BetaParams(min_rows=850, regime_min=230, hyper_q=0.75)
+_FDB = O.with_ctes(O.BARS_D, O.features("bars_d", "feat_d"), O.beta_ctes())
+
+
+def _betas_d(spark, sf_dir):
+    return B.regime_betas(features_d(spark, sf_dir), BETA_TEST)
+
+
+@register("universe", _FDB + " SELECT symbol, count(*) AS n_rows FROM u GROUP BY symbol")
+def q_universe(spark, sf_dir):
+    return B.universe_filter(features_d(spark, sf_dir), BETA_TEST).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("leveraged_contains", O.with_ctes(O.BARS_D) + f" SELECT DISTINCT symbol, {O.LEV_CONTAINS} AS is_leveraged FROM bars_d")
+def q_leveraged_contains(spark, sf_dir):
+    from tickstat.functions.symbols import is_leveraged_contains
+    return daily_bars(spark, sf_dir).select("symbol", is_leveraged_contains().alias("is_leveraged")).distinct()
+
+
+@register("daily_close", O.final(_FDB + " SELECT date, btc_daily_close FROM dclose", ["date", "btc_daily_close"],
+                                 ["btc_daily_close"]))
+def q_daily_close(spark, sf_dir):
+    u = B.universe_filter(features_d(spark, sf_dir), BETA_TEST)
+    return B.daily_close(u.where(F.col("symbol") == BETA_TEST.btc_symbol))
+
+
+@register("regime", O.final(_FDB + " SELECT date, btc_ret_30d, regime FROM reg", ["date", "btc_ret_30d", "regime"],
+                            ["btc_ret_30d"]))
+def q_regime(spark, sf_dir):
+    u = B.universe_filter(features_d(spark, sf_dir), BETA_TEST)
+    return B.price_regime(B.daily_close(u.where(F.col("symbol") == BETA_TEST.btc_symbol)), BETA_TEST)
+
+
+@register("beta_overall", O.final(_FDB + " SELECT * FROM overall", O.BETA_OUT, O.BETA_DBL))
+def q_beta_overall(spark, sf_dir):
+    return B.betas_overall(_betas_d(spark, sf_dir))
+
+
+_BR_COLS = O.BETA_OUT[:3] + ["regime"] + O.BETA_OUT[3:]
+
+
+@register("beta_by_regime", O.final(_FDB + " SELECT * FROM byreg", _BR_COLS, O.BETA_DBL))
+def q_beta_by_regime(spark, sf_dir):
+    return B.betas_by_regime(_betas_d(spark, sf_dir))
+
+
+@register("beta_ols_single", O.final(_FDB + " SELECT * FROM overall", O.BETA_OUT, O.BETA_DBL))
+def q_beta_ols_single(spark, sf_dir):
+    j = B.regime_input(features_d(spark, sf_dir), BETA_TEST)
+    return B.ols_beta(j, B.KEYS, min_rows=BETA_TEST.min_rows)
+
+
+_PIV_COLS = ["symbol", "base_asset", "quote_asset", "beta_bull", "beta_bear", "beta_neutral", "delta_beta_bear_minus_bull"]
+
+
+@register("beta_pivot", O.final(_FDB + " SELECT * FROM bpiv", _PIV_COLS, _PIV_COLS[3:]))
+def q_beta_pivot(spark, sf_dir):
+    return B.beta_pivot(B.betas_by_regime(_betas_d(spark, sf_dir)))
+
+
+@register("top_delta", O.final(_FDB + """ SELECT * FROM bpiv WHERE beta_bull IS NOT NULL AND beta_bear IS NOT NULL
+    ORDER BY delta_beta_bear_minus_bull DESC NULLS LAST, symbol""", _PIV_COLS, _PIV_COLS[3:]))
+def q_top_delta(spark, sf_dir):
+    return B.top_delta_beta(B.beta_pivot(B.betas_by_regime(_betas_d(spark, sf_dir))))
+
+
+@register("hyper", O.final(_FDB + " SELECT o.* FROM overall o, hcut WHERE o.beta IS NOT NULL AND o.beta >= hcut.cut",
+                           O.BETA_OUT, O.BETA_DBL))
+def q_hyper(spark, sf_dir):
+    return B.hyper_sensitive(B.betas_overall(_betas_d(spark, sf_dir)), BETA_TEST)
+
+
+@register("regime_summary", O.final(_FDB + """ SELECT regime, count(*) AS n_symbols, avg(beta) AS avg_beta,
+      quantile_disc(beta, 0.5) AS median_beta, quantile_disc(beta, 0.95) AS p95_beta, quantile_disc(beta, 0.05) AS p05_beta
+    FROM byreg WHERE beta IS NOT NULL GROUP BY regime""",
+                                    ["regime", "n_symbols", "avg_beta", "median_beta", "p95_beta", "p05_beta"],
+                                    ["avg_beta", "median_beta", "p95_beta", "p05_beta"]))
+def q_regime_summary(spark, sf_dir):
+    return B.beta_regime_summary(B.betas_by_regime(_betas_d(spark, sf_dir)))

@@ -215,3 +215,55 @@ best_{metric} AS (
   WHERE rn = 1
 )"""
     return one("delta_vol") + "," + one("delta_illiq")
+
+
+LEV_CONTAINS = "(upper(symbol) LIKE '%UP%' OR upper(symbol) LIKE '%DOWN%' OR upper(symbol) LIKE '%BULL%' OR upper(symbol) LIKE '%BEAR%')"
+
+
+def beta_ctes(feat: str = "feat_d", min_rows: int = 850, regime_min: int = 230, hyper_q: float = 0.75) -> str:
+    def beta_sel(extra: str = "") -> str:
+        return (f"symbol, base_asset, quote_asset{extra}, n, CASE WHEN abs(var_x) > 1e-18 THEN cov_xy / var_x END AS beta, "
+                "var_x, cov_xy, mean_x, mean_y")
+    mom = ("count(*) AS n, var_pop(btc_ret) AS var_x, covar_pop(ret, btc_ret) AS cov_xy, avg(btc_ret) AS mean_x, "
+           "avg(ret) AS mean_y")
+    return f"""
+u AS (
+  SELECT open_time, symbol, base_asset, quote_asset, close, log_return FROM {feat}
+  WHERE open_time IS NOT NULL AND symbol IS NOT NULL AND log_return IS NOT NULL
+    AND quote_asset IN ('USDT', 'USDC', 'USD', 'EUR') AND NOT (quote_asset = 'BTC')
+    AND NOT {LEV_CONTAINS}
+),
+btc AS (SELECT open_time, close AS btc_close, log_return AS btc_ret FROM u WHERE symbol = 'BTC-USDT'),
+dclose AS (SELECT CAST(open_time AS DATE) AS date, arg_max(btc_close, open_time) AS btc_daily_close FROM btc GROUP BY 1),
+reg0 AS (
+  SELECT d.date, CASE WHEN l.btc_daily_close IS NOT NULL AND l.btc_daily_close > 0
+                      THEN d.btc_daily_close / l.btc_daily_close - 1.0 END AS btc_ret_30d
+  FROM dclose d LEFT JOIN dclose l ON d.date = l.date + 30
+),
+reg AS (
+  SELECT date, btc_ret_30d,
+         CASE WHEN btc_ret_30d >= 0.1 THEN 'BULL' WHEN btc_ret_30d <= -0.1 THEN 'BEAR' ELSE 'NEUTRAL' END AS regime
+  FROM reg0
+),
+j AS (
+  SELECT r.symbol, r.base_asset, r.quote_asset, r.log_return AS ret, b.btc_ret, g.regime
+  FROM u r JOIN btc b ON r.open_time = b.open_time JOIN reg g ON CAST(r.open_time AS DATE) = g.date
+  WHERE r.symbol <> 'BTC-USDT'
+),
+bo AS (SELECT symbol, base_asset, quote_asset, {mom} FROM j GROUP BY ALL HAVING count(*) >= {min_rows}),
+overall AS (SELECT {beta_sel()} FROM bo),
+br AS (SELECT symbol, base_asset, quote_asset, regime, {mom} FROM j GROUP BY ALL HAVING count(*) >= {regime_min}),
+byreg AS (SELECT {beta_sel(', regime')} FROM br),
+piv AS (
+  SELECT symbol, base_asset, quote_asset,
+         max(CASE WHEN regime = 'BULL' THEN beta END) AS beta_bull,
+         max(CASE WHEN regime = 'BEAR' THEN beta END) AS beta_bear,
+         max(CASE WHEN regime = 'NEUTRAL' THEN beta END) AS beta_neutral
+  FROM byreg GROUP BY ALL
+),
+bpiv AS (SELECT *, beta_bear - beta_bull AS delta_beta_bear_minus_bull FROM piv),
+hcut AS (SELECT quantile_disc(beta, {hyper_q}) AS cut FROM overall WHERE beta IS NOT NULL)"""
+
+
+BETA_OUT = ["symbol", "base_asset", "quote_asset", "n", "beta", "var_x", "cov_xy", "mean_x", "mean_y"]
+BETA_DBL = ["beta", "var_x", "cov_xy", "mean_x", "mean_y"]
