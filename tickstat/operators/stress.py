@@ -120,12 +120,17 @@ def market_quality(df: DataFrame, keys: Sequence[str], exact: bool = True, accur
     return out.select(*keys, *QUALITY_METRICS)
 
 
-def stress_compare(features: DataFrame, p: StressParams = StressParams()) -> DataFrame:
-    """M8: metrics by (tier, is_stress), stress flag by minute (left join, so
-    bars in minutes without a BTC bar get is_stress = null)."""
+def label_stress_minutes(features: DataFrame, p: StressParams = StressParams()) -> DataFrame:
+    """Every bar with its tier and the minute's stress flag (left join, so
+    bars in minutes without a BTC bar get is_stress = null). The calendar has
+    one row per minute; AQE broadcasts it when its measured size allows."""
     flags = stress_minutes(features, p).select("open_time", "is_stress")
-    labelled = with_tier(features, p.large_caps).join(flags, "open_time", "left")
-    return market_quality(labelled, ["tier", "is_stress"], p.exact, p.accuracy)
+    return with_tier(features, p.large_caps).join(flags, "open_time", "left")
+
+
+def stress_compare(features: DataFrame, p: StressParams = StressParams()) -> DataFrame:
+    """M8: metrics by (tier, is_stress)."""
+    return market_quality(label_stress_minutes(features, p), ["tier", "is_stress"], p.exact, p.accuracy)
 
 
 def label_stress_days(features: DataFrame, p: StressParams = StressParams()) -> DataFrame:

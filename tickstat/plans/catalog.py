@@ -450,3 +450,61 @@ def q_hyper(spark, sf_dir):
                                     ["avg_beta", "median_beta", "p95_beta", "p05_beta"]))
 def q_regime_summary(spark, sf_dir):
     return B.beta_regime_summary(B.betas_by_regime(_betas_d(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- step 9: distributions and samples
+from tickstat.operators import dist as Dd  # noqa: E402
+
+_LAB = _FDS + f""",
+lab AS (SELECT f.*, {O.tier_case()} AS tier, sm.is_stress FROM feat_d f LEFT JOIN sm ON f.open_time = sm.open_time)"""
+_PLOT_COLS = ["tier"] + [f"{m}_{s}" for m in Dd.PLOT_METRICS for s in ("stress", "calm", "unknown")]
+
+
+@register("plot_table", O.final(_LAB + f""",
+cmp AS (SELECT tier, is_stress, {O.QUALITY_SQL} FROM lab GROUP BY tier, is_stress)
+SELECT tier, """ + ", ".join(
+    f"max(CASE WHEN {cond} THEN {m} END) AS {m}_{s}"
+    for m in Dd.PLOT_METRICS
+    for s, cond in (("stress", "is_stress = true"), ("calm", "is_stress = false"), ("unknown", "is_stress IS NULL")))
+    + " FROM cmp GROUP BY tier", _PLOT_COLS, _PLOT_COLS[1:]))
+def q_plot_table(spark, sf_dir):
+    return Dd.plot_table(S.stress_compare(features_d(spark, sf_dir)))
+
+
+_BOX_COLS = ["tier", "is_stress", "metric", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi"]
+
+
+@register("box_stats", O.final(_LAB + """,
+st AS (
+  SELECT tier, is_stress, 'quote_asset_volume' AS metric, CAST(quote_asset_volume AS DOUBLE) AS v FROM lab
+  UNION ALL SELECT tier, is_stress, 'amihud_illiq', amihud_illiq FROM lab
+  UNION ALL SELECT tier, is_stress, 'parkinson_var_1m', parkinson_var_1m FROM lab
+  UNION ALL SELECT tier, is_stress, 'abs_return', abs(log_return) FROM lab
+),
+qs AS (
+  SELECT tier, is_stress, metric, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+         quantile_cont(v, 0.75) AS q3
+  FROM st WHERE v IS NOT NULL GROUP BY tier, is_stress, metric
+)
+SELECT qs.tier, qs.is_stress, qs.metric, count(*) AS n, any_value(qs.q1) AS q1, any_value(qs.median) AS median,
+       any_value(qs.q3) AS q3,
+       min(CASE WHEN st.v >= qs.q1 - 1.5 * (qs.q3 - qs.q1) THEN st.v END) AS whisker_lo,
+       max(CASE WHEN st.v <= qs.q3 + 1.5 * (qs.q3 - qs.q1) THEN st.v END) AS whisker_hi
+FROM qs JOIN st ON qs.tier = st.tier AND qs.is_stress IS NOT DISTINCT FROM st.is_stress AND qs.metric = st.metric
+WHERE st.v IS NOT NULL
+GROUP BY qs.tier, qs.is_stress, qs.metric""", _BOX_COLS, ["q1", "median", "q3", "whisker_lo", "whisker_hi"]))
+def q_box_stats(spark, sf_dir):
+    return Dd.box_stats(S.label_stress_minutes(features_d(spark, sf_dir)))
+
+
+@register("sample_uniform", None, "rows-only: Bernoulli sample, fraction 0.001, seed 42")
+def q_sample_uniform(spark, sf_dir):
+    return Dd.sample_uniform(features_d(spark, sf_dir), 0.001, 42).select("symbol", "open_time", "log_return")
+
+
+@register("sample_stratified", None, "rows-only: sampleBy per tier x stress state, seed 42")
+def q_sample_stratified(spark, sf_dir):
+    lab = S.label_stress_minutes(features_d(spark, sf_dir))
+    strata = [f"{t}|{s}" for t in ("LARGE_CAP", "SMALL_CAP") for s in ("true", "false", "null")]
+    return Dd.sample_stratified(lab, ["tier", "is_stress"], 0.01, 42, strata).select(
+        "symbol", "open_time", "tier", "is_stress")
