@@ -17,15 +17,18 @@ from tickstat.operators.quantiles import quantiles
 
 PLOT_METRICS = ("median_quote_volume", "zero_volume_ratio", "avg_parkinson_vol", "p95_amihud")
 BOX_COLUMNS = ("quote_asset_volume", "amihud_illiq", "parkinson_var_1m", "abs_return")
-_STATES = (("stress", F.col("is_stress") == F.lit(True)), ("calm", F.col("is_stress") == F.lit(False)),
-           ("unknown", F.col("is_stress").isNull()))
+
+
+def _states():
+    return (("stress", F.col("is_stress") == F.lit(True)), ("calm", F.col("is_stress") == F.lit(False)),
+            ("unknown", F.col("is_stress").isNull()))
 
 
 def plot_table(compare: DataFrame, metrics: Sequence[str] = PLOT_METRICS) -> DataFrame:
     """One row per tier, one column per (metric, stress state):
     ``<metric>_stress``, ``<metric>_calm``, ``<metric>_unknown``."""
     return compare.groupBy("tier").agg(
-        *[F.max(F.when(cond, F.col(m))).alias(f"{m}_{state}") for m in metrics for state, cond in _STATES])
+        *[F.max(F.when(cond, F.col(m))).alias(f"{m}_{state}") for m in metrics for state, cond in _states()])
 
 
 def box_stats(labelled: DataFrame, keys: Sequence[str] = ("tier", "is_stress"),

@@ -9,11 +9,11 @@ all rows is fine:
 2. Range-partition ``hist`` by (keys, value). Each partition holds a
    contiguous value block of a group; per (partition, group) we keep
    (min, max, weight) -- a table of about partitions + groups rows.
-3. Running weights over those blocks give, for each wanted rank, the one block
-   that holds it and the rank inside the block. Only these targets (groups x
-   ranks rows, size checked) reach the driver.
+3. Only that block table reaches the driver. Running weights over it give,
+   for each wanted rank, the one block that holds it and the rank inside it.
 4. Filter ``hist`` to the target blocks and take the running weight inside
-   each block (one block = one range partition at most).
+   each block (one block = one range partition at most); the picked values
+   (groups x ranks) come back and form the small result table.
 
 Discrete rank ``max(1, ceil(n*p))`` and continuous position ``(n-1)*p`` with
 linear interpolation ``lo + (hi - lo) * frac`` follow the SQL
@@ -25,6 +25,7 @@ mergeable partial state): the production default for very large groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -79,98 +80,86 @@ def _exact(data: DataFrame, probs: Mapping[str, float], keys: list[str], kind: s
     vtype = data.schema["_v"].dataType
     key_fields = [data.schema[k] for k in keys]
 
+    # 1. value histogram: partial aggregation folds repeated values map-side
     hist = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    # 2. contiguous blocks of (keys, value); about partitions + groups rows
     blocks = (
         hist.repartitionByRange(*keys, "_v")
         .withColumn("_pid", F.spark_partition_id())
         .groupBy("_pid", *keys)
         .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_bw"))
+        .collect()
     )
-    wg = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    blocks = blocks.withColumn(
-        "_end", F.sum("_bw").over(wg.orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_n", F.sum("_bw").over(wg))
-
-    # wanted ranks: (name, which, rank, frac)
-    n = F.col("_n")
-    wanted = []
-    for name, p in probs.items():
-        p = float(p)
-        if kind == "disc":
-            wanted.append(F.struct(F.lit(name).alias("name"), F.lit("lo").alias("which"),
-                                   F.greatest(F.lit(1), F.ceil(n * F.lit(p))).cast("long").alias("k"),
-                                   F.lit(0.0).alias("frac")))
-        else:
-            rn = (n - 1).cast("double") * F.lit(p)
-            fl = F.floor(rn)
-            wanted.append(F.struct(F.lit(name).alias("name"), F.lit("lo").alias("which"),
-                                   (fl + 1).cast("long").alias("k"), (rn - fl).alias("frac")))
-            wanted.append(F.struct(F.lit(name).alias("name"), F.lit("hi").alias("which"),
-                                   (F.ceil(rn) + 1).cast("long").alias("k"), (rn - fl).alias("frac")))
-    targets = (
-        blocks.select(*keys, "_lo", "_hi", "_bw", "_end", F.explode(F.array(*wanted)).alias("_t"))
-        .where((F.col("_end") - F.col("_bw") < F.col("_t.k")) & (F.col("_t.k") <= F.col("_end")))
-        .select(*keys, "_lo", "_hi", (F.col("_t.k") - (F.col("_end") - F.col("_bw"))).alias("_r"),
-                F.col("_t.name").alias("_name"), F.col("_t.which").alias("_which"),
-                F.col("_t.frac").alias("_frac"))
-    )
-    rows = targets.collect()  # groups x ranks rows; bounded by the request, not by the data
-
-    info_schema = T.StructType(
-        [T.StructField("_tid", T.IntegerType(), False)]
-        + [T.StructField(f.name, f.dataType, True) for f in key_fields]
-        + [
-            T.StructField("_lo", vtype, True),
-            T.StructField("_hi", vtype, True),
-            T.StructField("_r", T.LongType(), True),
-            T.StructField("_name", T.StringType(), True),
-            T.StructField("_which", T.StringType(), True),
-            T.StructField("_frac", T.DoubleType(), True),
-        ]
-    )
-    info_rows = [Row(i, *[r[k] for k in keys], r["_lo"], r["_hi"], r["_r"], r["_name"], r["_which"],
-                     float(r["_frac"])) for i, r in enumerate(rows)]
-    info = spark.createDataFrame(info_rows, info_schema)
-
-    if len(rows) <= _MAX_INLINE_TARGETS:
-        tagged = hist
-        if rows:
-            conds = [
-                F.when(_key_match(keys, [r[k] for k in keys]) & F.col("_v").between(F.lit(r["_lo"]), F.lit(r["_hi"])),
-                       F.lit(i))
-                for i, r in enumerate(rows)
-            ]
+    # 3. targets on the driver: (group, name, which, block, rank in block, frac)
+    by_group: dict[tuple, list] = {}
+    for b in blocks:
+        by_group.setdefault(tuple(b[k] for k in keys), []).append(b)
+    targets = []  # (group, name, which, lo, hi, r, frac)
+    for g, bl in by_group.items():
+        bl.sort(key=lambda b: b["_lo"])
+        n = sum(b["_bw"] for b in bl)
+        for name, p in probs.items():
+            p = float(p)
+            if kind == "disc":
+                wanted = [("lo", max(1, math.ceil(n * p)), 0.0)]
+            else:
+                rn = (n - 1) * p
+                fl = math.floor(rn)
+                wanted = [("lo", fl + 1, rn - fl), ("hi", math.ceil(rn) + 1, rn - fl)]
+            for which, k, frac in wanted:
+                end = 0
+                for b in bl:
+                    start, end = end, end + b["_bw"]
+                    if start < k <= end:
+                        targets.append((g, name, which, b["_lo"], b["_hi"], k - start, frac))
+                        break
+    # 4. pick the r-th value inside each target block (one block <= one range partition)
+    if targets:
+        if len(targets) <= _MAX_INLINE_TARGETS:
+            conds = [F.when(_key_match(keys, t[0]) & F.col("_v").between(F.lit(t[3]), F.lit(t[4])), F.lit(i))
+                     for i, t in enumerate(targets)]
             tagged = hist.select("_v", "_w", F.explode(F.filter(F.array(*conds), lambda x: x.isNotNull())).alias("_tid"))
-            ranks = F.element_at(F.array(*[F.lit(r["_r"]) for r in rows]), F.col("_tid") + 1)
-            tagged = tagged.withColumn("_r", ranks)
+            tagged = tagged.withColumn("_r", F.element_at(F.array(*[F.lit(t[5]) for t in targets]), F.col("_tid") + 1))
         else:
-            tagged = hist.where(F.lit(False)).select("_v", "_w", F.lit(0).alias("_tid"), F.lit(0).cast("long").alias("_r"))
-    else:
-        small = info.select("_tid", *keys, "_lo", "_hi", "_r")
-        if len(rows) <= _MAX_BROADCAST_TARGETS:
-            small = F.broadcast(small)  # size checked: len(rows) targets
-        cond = [hist[k].eqNullSafe(small[k]) for k in keys] + [hist["_v"].between(small["_lo"], small["_hi"])]
-        tagged = hist.join(small, on=cond, how="inner").select(hist["_v"], hist["_w"], small["_tid"], small["_r"])
-
-    wt = Window.partitionBy("_tid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        tagged.withColumn("_run", F.sum("_w").over(wt))
-        .groupBy("_tid")
-        .agg(F.min(F.when(F.col("_run") >= F.col("_r"), F.col("_v"))).alias("_val"))
-    )
-    joined = info.join(picked, "_tid", "left")
-    if kind == "disc":
-        per_name = joined.select(*keys, "_name", F.col("_val").alias("_q"))
+            tschema = T.StructType(
+                [T.StructField("_tid", T.IntegerType(), False)]
+                + [T.StructField(f.name, f.dataType, True) for f in key_fields]
+                + [T.StructField("_lo", vtype, True), T.StructField("_hi", vtype, True),
+                   T.StructField("_r", T.LongType(), True)])
+            small = spark.createDataFrame([Row(i, *t[0], t[3], t[4], t[5]) for i, t in enumerate(targets)], tschema)
+            if len(targets) <= _MAX_BROADCAST_TARGETS:
+                small = F.broadcast(small)  # size checked: len(targets) rows
+            cond = [hist[k].eqNullSafe(small[k]) for k in keys] + [hist["_v"].between(small["_lo"], small["_hi"])]
+            tagged = hist.join(small, on=cond, how="inner").select(hist["_v"], hist["_w"], small["_tid"], small["_r"])
+        wt = Window.partitionBy("_tid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        picked = dict(
+            tagged.withColumn("_run", F.sum("_w").over(wt))
+            .groupBy("_tid")
+            .agg(F.min(F.when(F.col("_run") >= F.col("_r"), F.col("_v"))).alias("_val"))
+            .collect()
+        )
     else:
-        per_name = joined.groupBy(*keys, "_name").agg(
-            F.max(F.when(F.col("_which") == "lo", F.col("_val").cast("double"))).alias("_qlo"),
-            F.max(F.when(F.col("_which") == "hi", F.col("_val").cast("double"))).alias("_qhi"),
-            F.max("_frac").alias("_frac"),
-        ).select(*keys, "_name",
-                 (F.col("_qlo") + (F.col("_qhi") - F.col("_qlo")) * F.col("_frac")).alias("_q"))
-    return per_name.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == F.lit(nm), F.col("_q"))).alias(nm) for nm in probs]
-    )
+        picked = {}
+    # 5. assemble one row per group (groups x names values)
+    vals: dict[tuple, dict] = {g: {} for g in by_group}
+    for i, (g, name, which, _lo, _hi, _r, frac) in enumerate(targets):
+        vals[g].setdefault(name, {})[which] = (picked.get(i), frac)
+    out_type = vtype if kind == "disc" else T.DoubleType()
+    rows = []
+    for g, per in vals.items():
+        out = []
+        for name in probs:
+            got = per.get(name, {})
+            if kind == "disc":
+                out.append(got.get("lo", (None, 0.0))[0])
+            else:
+                lo, frac = got.get("lo", (None, 0.0))
+                hi = got.get("hi", (None, 0.0))[0]
+                out.append(None if lo is None or hi is None else float(lo) + (float(hi) - float(lo)) * frac)
+        rows.append(Row(*g, *out))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in key_fields]
+                          + [T.StructField(nm, out_type, True) for nm in probs])
+    return spark.createDataFrame(rows, schema)
 
 
 def quantile_value(df: DataFrame, value: str, p: float, kind: str = "disc", exact: bool = True,

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickstat.functions.canon import canon
+from tickstat.session import ensure_checkpoint_dir
 from tickstat.operators.features import bar_features
 from tickstat.plans import oracle as O
 from tickstat.sources.fixtures import daily_bars, hourly_bars
@@ -39,12 +40,23 @@ def register(name: str, sql: str | None, note: str = ""):
     return deco
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that several jobs of one query read.
+
+    Reliable ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (a
+    shared folder on a cluster; set only when unset): later jobs read the
+    written files instead of recomputing the fixture and its window, and a
+    lost executor does not force recomputation from the raw tables."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def features_d(spark, sf_dir):
-    return bar_features(daily_bars(spark, sf_dir))
+    return materialize(bar_features(daily_bars(spark, sf_dir)))
 
 
 def features_e(spark, sf_dir):
-    return bar_features(hourly_bars(spark, sf_dir))
+    return materialize(bar_features(hourly_bars(spark, sf_dir)))
 
 
 BAR_D_DOUBLES = ("high", "low", "close", "volume", "quote_asset_volume", "taker_buy_base_asset_volume",
