@@ -4,10 +4,9 @@ Reads ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[$BENCH_CPUS]``
 and prints one JSON line: {"metric", "value", "unit", "queries", "sf"}.
 
 As in production, bar features are computed once and written as a table
-(under the session's checkpoint folder), then every analysis reads that
-table. Each query is forced with the ``noop`` sink (full computation, no
-collect); the figure per query is the median of the timed runs after one
-warm-up run.
+(under the session's checkpoint folder); then each research job reads that
+table and writes all of its outputs (Parquet, CSV). The figure per job is the
+median of the timed runs after one warm-up run.
 """
 
 from __future__ import annotations
@@ -30,12 +29,8 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 def main() -> None:
     spark = local_session(cores=CPUS, shuffle_partitions=int(CPUS) if CPUS.isdigit() else 8, app="tickstat-bench")
-    from tickstat.operators import beta as B
-    from tickstat.operators import dist as D
-    from tickstat.operators import shock as K
-    from tickstat.operators import stress as S
     from tickstat.operators.features import bar_features
-    from tickstat.operators.quality import quality_report
+    from tickstat.plans import research as R
     from tickstat.plans.catalog import BETA_TEST, MIN_OBS_TEST, SHOCK_TEST
     from tickstat.sources.fixtures import daily_bars, hourly_bars
 
@@ -47,36 +42,18 @@ def main() -> None:
         bar_features(hourly_bars(spark, SF_DIR)).write.mode("overwrite").parquet(paths["e"])
 
     def fd():
-        return spark.read.parquet(paths["d"])
+        return paths["d"]
 
     def fe():
-        return spark.read.parquet(paths["e"])
-
-    def noop(df):
-        df.write.format("noop").mode("overwrite").save()
-
-    def best_and_summary():
-        eff = K.lag_effects(fe(), SHOCK_TEST)
-        noop(K.best_lag(eff, "delta_vol", MIN_OBS_TEST))
-        stats, hist = K.lag_summary(eff, MIN_OBS_TEST)
-        noop(stats)
-        noop(hist)
-
-    def betas():
-        b = B.regime_betas(fd(), BETA_TEST)
-        noop(B.beta_pivot(B.betas_by_regime(b)))
-        noop(B.hyper_sensitive(B.betas_overall(b), BETA_TEST))
-        noop(B.beta_regime_summary(B.betas_by_regime(b)))
+        return paths["e"]
 
+    out = f"{base}/out"
     queries = {
         "features": build_features,
-        "quality_report": lambda: noop(quality_report(fd())),
-        "stress_compare": lambda: noop(S.stress_compare(fd())),
-        "stress_day_summary": lambda: noop(S.stress_day_summary(fd())),
-        "box_stats": lambda: noop(D.box_stats(S.label_stress_minutes(fd()))),
-        "lag_effects": lambda: noop(K.lag_effects(fe(), SHOCK_TEST)),
-        "best_lag_summary": best_and_summary,
-        "regime_betas": betas,
+        "quality_job": lambda: R.quality_job(spark, fd(), out),
+        "stress_job": lambda: R.stress_job(spark, fd(), out),
+        "shock_job": lambda: R.shock_job(spark, fe(), out, SHOCK_TEST, MIN_OBS_TEST),
+        "beta_job": lambda: R.beta_job(spark, fd(), out, BETA_TEST),
     }
     times: dict[str, list[float]] = {k: [] for k in queries}
     for run in range(RUNS + 1):

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 # Above this many targets the selection uses a size-checked broadcast join
 # instead of one literal predicate per target.
-_MAX_INLINE_TARGETS = 256
+_MAX_INLINE_TARGETS = 32
 # Above this many targets the selection falls back to a shuffle join.
 _MAX_BROADCAST_TARGETS = 2_000_000
 
