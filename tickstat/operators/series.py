@@ -89,3 +89,62 @@ def running_total(
     else:
         res = F.greatest(F.col("_run_in"), F.col("_carry"))
     return x.withColumn(out, res).drop(b, "_run_in", "_carry")
+
+
+def last_known(
+    df: DataFrame,
+    value: str,
+    out: str,
+    key: str = "symbol",
+    ts: str = "open_time",
+    order: str | None = None,
+    unit: str = "month",
+) -> DataFrame:
+    """Add ``out`` = last non-null ``value`` of ``key`` up to this row (inclusive).
+
+    Equal to ``last(value, ignorenulls) OVER (PARTITION BY key ORDER BY ts,
+    order ROWS UNBOUNDED PRECEDING)``; per (key, bucket) window plus the last
+    non-null value of the earlier buckets. This is the as-of join primitive.
+    """
+    b = "_bucket"
+    ords = [ts] + ([order] if order else [])
+    x = df.withColumn(b, time_bucket(ts, unit))
+    w = Window.partitionBy(key, b).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.last(value, ignorenulls=True).over(w))
+    last = (x.where(F.col(value).isNotNull())
+            .groupBy(key, b).agg(F.max_by(value, F.struct(*ords)).alias("_last")))
+    carry = last.select(key, b, F.last("_last", ignorenulls=True).over(
+        Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    x = x.join(carry, [key, b], "left")
+    return x.withColumn(out, F.coalesce("_in", "_carry")).drop(b, "_in", "_carry")
+
+
+def epoch_seconds(ts: str = "open_time"):
+    """Seconds since 1970-01-01 of a timestamp_ntz column (no time-zone shift)."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+
+
+def rolling(
+    df: DataFrame,
+    aggs: dict,
+    seconds: int,
+    key: str = "symbol",
+    ts: str = "open_time",
+    bucket_seconds: int = 30 * 86400,
+) -> DataFrame:
+    """Trailing time-window aggregates ``RANGE BETWEEN seconds PRECEDING AND
+    CURRENT ROW`` per key, without one task per key.
+
+    Rows are cut into fixed-width time buckets; each row is also copied into
+    the later buckets whose window reaches back to it (the halo), the window
+    runs per (key, bucket), and only each bucket's own rows are kept. Exact
+    for any window length. ``aggs`` maps output name -> aggregate Column.
+    """
+    t = epoch_seconds(ts)
+    x = df.withColumn("_t", t)
+    own = F.floor(F.col("_t") / bucket_seconds)
+    last = F.floor((F.col("_t") + seconds) / bucket_seconds)
+    x = x.withColumn("_own", own).withColumn("_b", F.explode(F.sequence(own, last)))
+    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-seconds, 0)
+    x = x.select("*", *[c.over(w).alias(n) for n, c in aggs.items()])
+    return x.where(F.col("_b") == F.col("_own")).drop("_t", "_own", "_b")

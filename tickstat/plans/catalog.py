@@ -520,3 +520,217 @@ def q_sample_stratified(spark, sf_dir):
     strata = [f"{t}|{s}" for t in ("LARGE_CAP", "SMALL_CAP") for s in ("true", "false", "null")]
     return Dd.sample_stratified(lab, ["tier", "is_stress"], 0.01, 42, strata).select(
         "symbol", "open_time", "tier", "is_stress")
+
+
+# ---------------------------------------------------------------- step 11: README-declared extensions
+from tickstat.operators import ext as X  # noqa: E402
+from tickstat.sources.fixtures import event_trades  # noqa: E402
+
+_TE = O.with_ctes(O.TRADES_E)
+_TB_COLS = ["symbol", "open_time", "open", "high", "low", "close", "volume", "quote_asset_volume", "number_of_trades",
+            "taker_buy_base_asset_volume", "taker_buy_quote_asset_volume"]
+_TB_DBL = [c for c in _TB_COLS if c not in ("symbol", "open_time", "number_of_trades")]
+
+
+@register("trades_to_bars", O.final(_TE + """ SELECT symbol, date_trunc('hour', time) AS open_time,
+    arg_min(price, time) AS open, max(price) AS high, min(price) AS low, arg_max(price, time) AS close,
+    sum(qty) AS volume, sum(quote_qty) AS quote_asset_volume, count(*) AS number_of_trades,
+    sum(CASE WHEN NOT is_buyer_maker THEN qty ELSE 0.0 END) AS taker_buy_base_asset_volume,
+    sum(CASE WHEN NOT is_buyer_maker THEN quote_qty ELSE 0.0 END) AS taker_buy_quote_asset_volume
+    FROM trades_e GROUP BY ALL""", _TB_COLS, _TB_DBL))
+def q_trades_to_bars(spark, sf_dir):
+    return X.trades_to_bars(event_trades(spark, sf_dir), "1 hour")
+
+
+_RS_DBL = ["open", "high", "low", "close", "volume", "quote_asset_volume", "taker_buy_base_asset_volume",
+           "taker_buy_quote_asset_volume"]
+
+
+@register("resample", O.final(O.with_ctes(O.BARS_E) + """ SELECT symbol,
+    time_bucket(INTERVAL 4 HOUR, open_time, TIMESTAMP '1970-01-01') AS open_time,
+    arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close,
+    sum(volume) AS volume, sum(quote_asset_volume) AS quote_asset_volume,
+    CAST(sum(number_of_trades) AS BIGINT) AS number_of_trades,
+    sum(taker_buy_base_asset_volume) AS taker_buy_base_asset_volume,
+    sum(taker_buy_quote_asset_volume) AS taker_buy_quote_asset_volume
+    FROM bars_e GROUP BY ALL""", _TB_COLS, _RS_DBL))
+def q_resample(spark, sf_dir):
+    return X.resample(hourly_bars(spark, sf_dir), "4 hours")
+
+
+@register("three_tiers", O.with_ctes(O.BARS_D) + f""",
+tot AS (SELECT base_asset, sum(quote_asset_volume) AS s FROM bars_d GROUP BY 1),
+rk AS (SELECT base_asset, row_number() OVER (ORDER BY s DESC NULLS LAST, base_asset) AS size_rank FROM tot)
+SELECT DISTINCT b.symbol, b.base_asset, rk.size_rank,
+  CASE WHEN b.base_asset IN ('BTC', 'ETH') THEN 'LARGE_CAP' WHEN rk.size_rank <= 10 THEN 'MID_CAP'
+       ELSE 'SMALL_CAP' END AS tier3
+FROM bars_d b LEFT JOIN rk ON b.base_asset = rk.base_asset""")
+def q_three_tiers(spark, sf_dir):
+    return X.three_tiers(daily_bars(spark, sf_dir), mid_max_rank=10).select(
+        "symbol", "base_asset", "size_rank", "tier3").distinct()
+
+
+@register("marketcap_join", O.final(O.with_ctes(O.BARS_D) + """,
+snaps AS (
+  SELECT base_asset, time_bucket(INTERVAL 7 DAY, open_time, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY AS snap_time,
+         sum(quote_asset_volume) AS weekly_size
+  FROM bars_d GROUP BY ALL
+)
+SELECT b.symbol, b.base_asset, b.open_time, s.snap_time, s.weekly_size
+FROM bars_d b ASOF LEFT JOIN snaps s ON b.base_asset = s.base_asset AND b.open_time >= s.snap_time""",
+                                    ["symbol", "base_asset", "open_time", "snap_time", "weekly_size"], ["weekly_size"]))
+def q_marketcap_join(spark, sf_dir):
+    bars = daily_bars(spark, sf_dir)
+    snaps = X.weekly_snapshots(bars)
+    return X.asof_join(bars.select("symbol", "base_asset", "open_time"), snaps, "base_asset", "open_time",
+                       "snap_time", ["snap_time", "weekly_size"])
+
+
+_TS_COLS = ["symbol", "open_time", "buy_volume_share", "sell_volume_share", "buy_trade_share"]
+
+
+@register("taker_share_trades", O.final(_TE + """ SELECT symbol, date_trunc('hour', time) AS open_time,
+    sum(CASE WHEN NOT is_buyer_maker THEN qty ELSE 0.0 END) / sum(qty) AS buy_volume_share,
+    sum(CASE WHEN is_buyer_maker THEN qty ELSE 0.0 END) / sum(qty) AS sell_volume_share,
+    CAST(count(*) FILTER (WHERE NOT is_buyer_maker) AS DOUBLE) / count(*) AS buy_trade_share
+    FROM trades_e GROUP BY ALL""", _TS_COLS, _TS_COLS[2:]))
+def q_taker_share_trades(spark, sf_dir):
+    return X.taker_share(event_trades(spark, sf_dir), "1 hour")
+
+
+_FEO = O.with_ctes(O.BARS_E, O.features("bars_e", "feat_e"))
+
+
+@register("realized_vol", O.final(_FEO + """ SELECT symbol, CAST(open_time AS DATE) AS date,
+    count(log_return) AS n_returns, sqrt(sum(log_return * log_return)) AS realized_vol,
+    avg(abs(log_return)) AS abs_return_vol FROM feat_e GROUP BY ALL""",
+                                  ["symbol", "date", "n_returns", "realized_vol", "abs_return_vol"],
+                                  ["realized_vol", "abs_return_vol"]))
+def q_realized_vol(spark, sf_dir):
+    return X.realized_vol(features_e(spark, sf_dir))
+
+
+@register("drawdown", O.final(O.with_ctes(O.BARS_D) + """ SELECT symbol, open_time, close,
+    close / max(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) - 1.0 AS drawdown,
+    close / max(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) - 1.0 <= -0.5
+      AS is_drawdown_stress
+    FROM bars_d""", ["symbol", "open_time", "close", "drawdown", "is_drawdown_stress"], ["close", "drawdown"]))
+def q_drawdown(spark, sf_dir):
+    return X.drawdown(daily_bars(spark, sf_dir), threshold=0.5)
+
+
+@register("rolling_beta", O.final(_FDB + """ SELECT symbol, open_time, count(ret) OVER w AS n_window,
+    CASE WHEN count(ret) OVER w >= 5 AND abs(var_pop(btc_ret) OVER w) > 1e-18
+         THEN covar_pop(ret, btc_ret) OVER w / var_pop(btc_ret) OVER w END AS rolling_beta
+    FROM j WINDOW w AS (PARTITION BY symbol ORDER BY CAST(epoch(open_time) AS BIGINT)
+                        RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW)""",
+                                  ["symbol", "open_time", "n_window", "rolling_beta"], ["rolling_beta"]))
+def q_rolling_beta(spark, sf_dir):
+    return X.rolling_beta(B.regime_input(features_d(spark, sf_dir), BETA_TEST), 30 * 86400, min_n=5)
+
+
+@register("intensity_jump", _FEO + """,
+jj AS (SELECT symbol, open_time, number_of_trades,
+              abs(number_of_trades - lag(number_of_trades) OVER (PARTITION BY symbol ORDER BY open_time)) AS trade_jump
+       FROM feat_e),
+th AS (SELECT symbol, quantile_disc(trade_jump, 0.95) AS jump_threshold FROM jj GROUP BY symbol)
+SELECT jj.symbol, jj.open_time, jj.number_of_trades, jj.trade_jump, th.jump_threshold,
+       jj.trade_jump >= th.jump_threshold AS is_jump
+FROM jj LEFT JOIN th ON jj.symbol = th.symbol""")
+def q_intensity_jump(spark, sf_dir):
+    return X.intensity_jumps(features_e(spark, sf_dir), q=0.95)
+
+
+_XC_LAGS = (0, 1, 2, 3, 6, 12)
+
+
+@register("cross_corr", O.final(_FEO + f""",
+lags AS (SELECT unnest([{', '.join(str(x) for x in _XC_LAGS)}]) AS lag)
+SELECT r.symbol, l.lag,
+  count(CASE WHEN d.number_of_trades IS NOT NULL AND r.parkinson_var_1m IS NOT NULL THEN 1 END) AS n,
+  corr(CAST(d.number_of_trades AS DOUBLE), r.parkinson_var_1m) AS corr
+FROM feat_e r CROSS JOIN lags l
+JOIN feat_e d ON d.symbol = 'BTC-USDT' AND d.open_time = r.open_time - to_hours(l.lag)
+WHERE r.symbol <> 'BTC-USDT'
+GROUP BY r.symbol, l.lag""", ["symbol", "lag", "n", "corr"], ["corr"]))
+def q_cross_corr(spark, sf_dir):
+    return X.cross_correlation(features_e(spark, sf_dir), "BTC-USDT", _XC_LAGS, "HOUR")
+
+
+@register("cusum_break", O.final(_FEO + """,
+c0 AS (SELECT symbol, open_time, sum(number_of_trades) OVER w AS s, count(*) OVER w AS k
+       FROM feat_e WHERE symbol IN ('BTC-USDT', 'ETH-USDT') AND number_of_trades IS NOT NULL
+       WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT symbol, sum(number_of_trades) AS tot, count(*) AS n FROM feat_e
+      WHERE symbol IN ('BTC-USDT', 'ETH-USDT') AND number_of_trades IS NOT NULL GROUP BY symbol),
+c1 AS (SELECT c0.symbol, c0.open_time, c0.k, t.n, c0.s - c0.k * (CAST(t.tot AS DOUBLE) / t.n) AS c
+       FROM c0 JOIN t ON c0.symbol = t.symbol)
+SELECT symbol, any_value(n) AS n, first(open_time ORDER BY abs(c) DESC, k ASC) AS break_time,
+       max(abs(c)) AS max_abs_cusum
+FROM c1 GROUP BY symbol""", ["symbol", "n", "break_time", "max_abs_cusum"], ["max_abs_cusum"]))
+def q_cusum_break(spark, sf_dir):
+    return X.cusum_break(features_e(spark, sf_dir))
+
+
+_DEG_METRICS = ("median_quote_volume", "zero_volume_ratio", "avg_amihud", "p95_amihud", "avg_parkinson_vol",
+                "avg_abs_return")
+
+
+def _deg_sql() -> str:
+    def v(tier, state, m):
+        return f"max(CASE WHEN tier = '{tier}' AND is_stress = {state} THEN {m} END)"
+    parts = [f"SELECT '{m}' AS metric, {v('LARGE_CAP', 'true', m)} / {v('LARGE_CAP', 'false', m)} AS large_ratio, "
+             f"{v('SMALL_CAP', 'true', m)} / {v('SMALL_CAP', 'false', m)} AS small_ratio FROM cmp" for m in _DEG_METRICS]
+    return (_LAB + f""",
+cmp AS (SELECT tier, is_stress, {O.QUALITY_SQL} FROM lab GROUP BY tier, is_stress),
+rr AS ({' UNION ALL '.join(parts)})
+SELECT metric, large_ratio, small_ratio, small_ratio / large_ratio AS small_over_large FROM rr""")
+
+
+@register("degradation_ratio", O.final(_deg_sql(), ["metric", "large_ratio", "small_ratio", "small_over_large"],
+                                       ["large_ratio", "small_ratio", "small_over_large"]))
+def q_degradation_ratio(spark, sf_dir):
+    return X.degradation_ratio(S.stress_compare(features_d(spark, sf_dir)), _DEG_METRICS)
+
+
+_VAR_H = 3
+
+
+def _var_sql() -> str:
+    irf, ry, rx = [], "0.0", "1.0"
+    lines = []
+    for h in range(1, _VAR_H + 1):
+        lines.append(f"a_yy * ({ry}) + a_yx * ({rx}) AS ry{h}, a_xy * ({ry}) + a_xx * ({rx}) AS rx{h}")
+        ry, rx = f"ry{h}", f"rx{h}"
+        irf.append(f"ry{h} AS irf_{h}")
+    chain = "co"
+    ctes = []
+    for h, ln in enumerate(lines, 1):
+        ctes.append(f"ir{h} AS (SELECT *, {ln} FROM {chain})")
+        chain = f"ir{h}"
+    coef = "CASE WHEN abs(det) > 1e-30 THEN ({a} * {b} - {c} * {e}) / det END"
+    return (_FDB + f""",
+v1 AS (SELECT symbol, open_time, ret, btc_ret, lag(ret) OVER w AS y1, lag(btc_ret) OVER w AS x1
+       FROM j WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+v2 AS (SELECT symbol, count(*) AS n, covar_pop(y1, y1) AS suu, covar_pop(x1, x1) AS svv, covar_pop(y1, x1) AS suv,
+              covar_pop(y1, ret) AS suy, covar_pop(x1, ret) AS svy, covar_pop(y1, btc_ret) AS sux,
+              covar_pop(x1, btc_ret) AS svx
+       FROM v1 WHERE ret IS NOT NULL AND btc_ret IS NOT NULL AND y1 IS NOT NULL AND x1 IS NOT NULL
+       GROUP BY symbol HAVING count(*) >= 3),
+v3 AS (SELECT *, suu * svv - suv * suv AS det FROM v2),
+co AS (SELECT symbol, n,
+         {coef.format(a='svv', b='suy', c='suv', e='svy')} AS a_yy,
+         {coef.format(a='suu', b='svy', c='suv', e='suy')} AS a_yx,
+         {coef.format(a='svv', b='sux', c='suv', e='svx')} AS a_xy,
+         {coef.format(a='suu', b='svx', c='suv', e='sux')} AS a_xx
+       FROM v3),
+{', '.join(ctes)}
+SELECT symbol, n, a_yy, a_yx, a_xy, a_xx, {', '.join(irf)} FROM {chain}""")
+
+
+_VAR_COLS = ["symbol", "n", "a_yy", "a_yx", "a_xy", "a_xx"] + [f"irf_{h}" for h in range(1, _VAR_H + 1)]
+
+
+@register("var1_irf", O.final(_var_sql(), _VAR_COLS, _VAR_COLS[2:]))
+def q_var1_irf(spark, sf_dir):
+    return X.var1_irf(B.regime_input(features_d(spark, sf_dir), BETA_TEST), horizon=_VAR_H, min_n=3)

@@ -246,7 +246,7 @@ reg AS (
   FROM reg0
 ),
 j AS (
-  SELECT r.symbol, r.base_asset, r.quote_asset, r.log_return AS ret, b.btc_ret, g.regime
+  SELECT r.open_time, r.symbol, r.base_asset, r.quote_asset, r.log_return AS ret, b.btc_ret, g.regime
   FROM u r JOIN btc b ON r.open_time = b.open_time JOIN reg g ON CAST(r.open_time AS DATE) = g.date
   WHERE r.symbol <> 'BTC-USDT'
 ),
