@@ -734,3 +734,11 @@ _VAR_COLS = ["symbol", "n", "a_yy", "a_yx", "a_xy", "a_xx"] + [f"irf_{h}" for h
 @register("var1_irf", O.final(_var_sql(), _VAR_COLS, _VAR_COLS[2:]))
 def q_var1_irf(spark, sf_dir):
     return X.var1_irf(B.regime_input(features_d(spark, sf_dir), BETA_TEST), horizon=_VAR_H, min_n=3)
+
+
+# ---------------------------------------------------------------- step 12: streaming bars
+@register("stream_bars", REGISTRY["trades_to_bars"].sql)
+def q_stream_bars(spark, sf_dir):
+    from tickstat.streaming.bars import stream_event_bars
+
+    return stream_event_bars(spark, sf_dir, "1 hour", "2 hours")
