@@ -19,6 +19,11 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "float": "FLOAT", "smallint": "SMALLINT"}
+
+
 def _norm(v):
     if isinstance(v, float) and v != v:
         return "NaN"
@@ -38,6 +43,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
             sdf = qs[name](spark, sf_dir)
             srows = [tuple(_norm(x) for x in r) for r in sdf.collect()]
             scols = sdf.columns
+            stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
         except Exception as e:  # noqa: BLE001
             out[name] = f"SPARK ERROR {type(e).__name__}: {str(e)[:300]}"
             if verbose:
@@ -52,6 +58,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         try:
             cur = con.execute(sqls[name])
             dcols = [d[0] for d in cur.description]
+            dtypes = {d[0]: str(d[1]) for d in cur.description}
             drows = [tuple(_norm(x) for x in r) for r in cur.fetchall()]
         except Exception as e:  # noqa: BLE001
             out[name] = f"DUCK ERROR {str(e)[:300]}"
@@ -63,6 +70,12 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
         if sorted(scols) != sorted(dcols):
             ok = False
             msg.append(f"cols spark={scols} duck={dcols}")
+        if sorted(scols) == sorted(dcols):
+            bad_t = [(c, stypes[c], dtypes[c]) for c in scols
+                     if SPARK_TO_DUCK.get(stypes[c], stypes[c]) != dtypes[c]]
+            if bad_t:
+                ok = False
+                msg.append(f"types {bad_t}")
         if len(srows) != len(drows):
             ok = False
             msg.append(f"rows spark={len(srows)} duck={len(drows)}")

@@ -3,10 +3,9 @@
 Sums and means computed in a different order differ in the last bits. The
 registered queries and their SQL oracles both round every double to nine
 significant digits with the same SQL text, which parses in Spark SQL and in
-DuckDB alike. The scale is chosen by a CASE over powers of ten, and rounding
-is plain IEEE arithmetic, ``floor(x * 10^s + 0.5) / 10^s``, because the two
-engines' ``round`` functions break ties differently (decimal string vs binary
-value).
+DuckDB alike (up to array indexing). Rounding is plain IEEE arithmetic,
+``floor(x * 10^s + 0.5) / 10^s``, because the two engines' ``round``
+functions break ties differently (decimal string vs binary value).
 """
 
 from __future__ import annotations
@@ -20,18 +19,22 @@ _MIN_EXP = -16
 _MAX_EXP = 15
 
 
-def _round(expr: str, scale: int) -> str:
-    return f"(floor(({expr}) * 1e{scale} + 0.5) / 1e{scale})"
-
-
-def round_sig_sql(expr: str, digits: int = SIG_DIGITS) -> str:
-    """SQL text rounding ``expr`` (a double) to ``digits`` significant digits."""
-    parts = [f"CASE WHEN ({expr}) IS NULL THEN NULL WHEN ({expr}) = 0 THEN 0.0"]
-    for e in range(_MAX_EXP, _MIN_EXP - 1, -1):
-        scale = digits - 1 - e
-        parts.append(f"WHEN abs({expr}) >= 1e{e} THEN {_round(expr, scale)}")
-    parts.append(f"ELSE {_round(expr, digits - 1 - _MIN_EXP)} END")
-    return " ".join(parts)
+def round_sig_sql(expr: str, digits: int = SIG_DIGITS, dialect: str = "spark") -> str:
+    """SQL text rounding ``expr`` (a double) to ``digits`` significant digits.
+
+    The decimal exponent e = floor(log10|x|) (clamped) picks the factor
+    10^(digits-1-e) from a literal array; rounding is
+    ``floor(x * f + 0.5) / f`` in IEEE arithmetic, identical in both engines.
+    Only the array indexing differs between the dialects.
+    """
+    x = f"({expr})"
+    exps = list(range(_MAX_EXP, _MIN_EXP - 1, -1))
+    arr = ", ".join(f"1e{digits - 1 - e}" for e in exps)
+    e = f"least(greatest(floor(log10(greatest(abs({x}), 1e-300))), {_MIN_EXP}), {_MAX_EXP})"
+    idx = f"CAST({_MAX_EXP} - {e} + 1 AS INTEGER)"
+    fac = f"element_at(array({arr}), {idx})" if dialect == "spark" else f"list_extract([{arr}], {idx})"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN 0.0 WHEN isnan({x}) THEN {x} "
+            f"ELSE floor({x} * {fac} + 0.5) / {fac} END")
 
 
 def round_sig(col_name: str, digits: int = SIG_DIGITS) -> Column:

@@ -11,9 +11,10 @@ all rows is fine:
    (min, max, weight) -- a table of about partitions + groups rows.
 3. Only that block table reaches the driver. Running weights over it give,
    for each wanted rank, the one block that holds it and the rank inside it.
-4. Filter ``hist`` to the target blocks and take the running weight inside
-   each block (one block = one range partition at most); the picked values
-   (groups x ranks) come back and form the small result table.
+4. Filter the input rows to the target blocks (a map-side filter), count the
+   surviving values and take the running weight inside each block (one block
+   = one range partition at most); the picked values (groups x ranks) come
+   back and form the small result table.
 
 Discrete rank ``max(1, ceil(n*p))`` and continuous position ``(n-1)*p`` with
 linear interpolation ``lo + (hi - lo) * frac`` follow the SQL
@@ -118,7 +119,10 @@ def _exact(data: DataFrame, probs: Mapping[str, float], keys: list[str], kind: s
         if len(targets) <= _MAX_INLINE_TARGETS:
             conds = [F.when(_key_match(keys, t[0]) & F.col("_v").between(F.lit(t[3]), F.lit(t[4])), F.lit(i))
                      for i, t in enumerate(targets)]
-            tagged = hist.select("_v", "_w", F.explode(F.filter(F.array(*conds), lambda x: x.isNotNull())).alias("_tid"))
+            # filter the raw rows to the target blocks first, then count the
+            # few surviving values (partial aggregation folds a hot value)
+            tagged = (data.select("_v", F.explode(F.filter(F.array(*conds), lambda x: x.isNotNull())).alias("_tid"))
+                      .groupBy("_tid", "_v").agg(F.count(F.lit(1)).alias("_w")))
             tagged = tagged.withColumn("_r", F.element_at(F.array(*[F.lit(t[5]) for t in targets]), F.col("_tid") + 1))
         else:
             tschema = T.StructType(
@@ -129,8 +133,9 @@ def _exact(data: DataFrame, probs: Mapping[str, float], keys: list[str], kind: s
             small = spark.createDataFrame([Row(i, *t[0], t[3], t[4], t[5]) for i, t in enumerate(targets)], tschema)
             if len(targets) <= _MAX_BROADCAST_TARGETS:
                 small = F.broadcast(small)  # size checked: len(targets) rows
-            cond = [hist[k].eqNullSafe(small[k]) for k in keys] + [hist["_v"].between(small["_lo"], small["_hi"])]
-            tagged = hist.join(small, on=cond, how="inner").select(hist["_v"], hist["_w"], small["_tid"], small["_r"])
+            cond = [data[k].eqNullSafe(small[k]) for k in keys] + [data["_v"].between(small["_lo"], small["_hi"])]
+            tagged = (data.join(small, on=cond, how="inner").select(data["_v"], small["_tid"], small["_r"])
+                      .groupBy("_tid", "_r", "_v").agg(F.count(F.lit(1)).alias("_w")))
         wt = Window.partitionBy("_tid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         picked = dict(
             tagged.withColumn("_run", F.sum("_w").over(wt))

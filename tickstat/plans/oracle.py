@@ -120,7 +120,7 @@ def with_ctes(*ctes: str) -> str:
 def final(inner: str, cols: Iterable[str], doubles: Iterable[str] = ()) -> str:
     """Wrap ``inner`` (a SELECT) so that listed double columns are rounded canonically."""
     dbl = set(doubles)
-    sel = [f"CAST({round_sig_sql(c)} AS DOUBLE) AS {c}" if c in dbl else c for c in cols]
+    sel = [f"CAST({round_sig_sql(c, dialect='duckdb')} AS DOUBLE) AS {c}" if c in dbl else c for c in cols]
     return f"SELECT {', '.join(sel)} FROM (\n{inner}\n) AS t"
 
 

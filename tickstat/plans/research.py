@@ -37,13 +37,14 @@ def stress_job(spark: SparkSession, features: str, out: str, p: S.StressParams =
     """RQ1: tier x stress-minute comparison (Parquet + one CSV), stress-day
     summary, plot table and box statistics."""
     f = spark.read.parquet(features)
-    compare = S.stress_compare(f, p)
+    labelled = S.label_stress_minutes(f, p)          # threshold computed once
+    compare = S.market_quality(labelled, ["tier", "is_stress"], p.exact, p.accuracy)
     write_small(compare, f"{out}/rq1_compare")
     compare = spark.read.parquet(f"{out}/rq1_compare")
     write_csv(compare, f"{out}/rq1_compare_csv")
     write_small(D.plot_table(compare), f"{out}/rq1_plot_table")
     write_small(S.stress_day_summary(f, p), f"{out}/rq1_results")
-    write_small(D.box_stats(S.label_stress_minutes(f, p)), f"{out}/rq1_box_stats")
+    write_small(D.box_stats(labelled, exact=p.exact), f"{out}/rq1_box_stats")
 
 
 def shock_job(spark: SparkSession, features: str, out: str, p: K.ShockParams = K.ShockParams(),
