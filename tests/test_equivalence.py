@@ -92,3 +92,13 @@ def test_scale_invariance_and_self_beta(spark, sf_small):
 def test_shock_params_test_values(spark, sf_mid):
     eff = K.lag_effects(features_e(spark, sf_mid), SHOCK_TEST)
     assert eff.count() == 63  # FIXTURES.md: the test filter keeps 63 of 84 groups
+
+
+def test_last_known_equals_window(spark):
+    from tickstat.operators.series import last_known
+
+    df = _series(spark, seed=4).withColumn("v", F.when(F.rand(3) < 0.7, F.lit(None)).otherwise(F.col("v")))
+    w = Window.partitionBy("symbol").orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.withColumn("r", F.last("v", ignorenulls=True).over(w))
+    ours = last_known(df, "v", "r")
+    assert plain.exceptAll(ours.select(*plain.columns)).count() == 0

@@ -168,3 +168,25 @@ def test_zero_variance_and_min_rows(spark):
     assert r["A-USDT"].beta is None and r["A-USDT"].n == 5
     assert abs(r["B-USDT"].beta - 2.0) < 1e-12 and r["B-USDT"].n == 4
     assert set(x.symbol for x in B.ols_beta(df, B.KEYS, min_rows=5).collect()) == {"A-USDT"}
+
+
+def test_receiver_allow_list_and_alpha(spark):
+    df = bar_features(bars(spark, [
+        dict(open_time=minute(i), symbol=s, number_of_trades=i, close=1.0 + i)
+        for i in range(5) for s in ("BTC-USDT", "ETH-USDT", "A-USDT", "B-USDT")]))
+    p = K.ShockParams(q=0.5, min_shock=-1, min_noshock=-1, receivers=("A-USDT",))
+    assert {r.symbol for r in K.lag_effects(df, p).collect()} == {"A-USDT"}
+    b = B.with_alpha(spark.createDataFrame([(2.0, 1.0, 5.0)], "beta double, mean_x double, mean_y double"))
+    assert b.first().alpha == 3.0
+
+
+def test_asof_join_inclusive_and_gaps(spark):
+    from tickstat.operators.ext import asof_join
+
+    left = spark.createDataFrame([("a", minute(0)), ("a", minute(5)), ("a", minute(60 * 24 * 70)), ("b", minute(1))],
+                                 "k string, t timestamp_ntz")
+    right = spark.createDataFrame([("a", minute(5), 1.0), ("a", minute(3), 0.5), ("c", minute(0), 9.0)],
+                                  "k string, rt timestamp_ntz, v double")
+    got = {(r.k, r.t): r.v for r in asof_join(left, right, "k", "t", "rt", ["v"]).collect()}
+    assert got == {("a", minute(0)): None, ("a", minute(5)): 1.0, ("a", minute(60 * 24 * 70)): 1.0,
+                   ("b", minute(1)): None}

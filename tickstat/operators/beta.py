@@ -165,3 +165,9 @@ def beta_regime_summary(by_regime: DataFrame, exact: bool = True, accuracy: int
                   exact=exact, accuracy=accuracy)
     return base.join(q, "regime", "left").select("regime", "n_symbols", "avg_beta", "median_beta", "p95_beta",
                                                  "p05_beta")
+
+
+def with_alpha(betas: DataFrame) -> DataFrame:
+    """The intercept the reference's model has but never outputs:
+    alpha = mean_y - beta * mean_x (an extra column, our own op only)."""
+    return betas.withColumn("alpha", F.col("mean_y") - F.col("beta") * F.col("mean_x"))

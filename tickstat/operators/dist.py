@@ -79,3 +79,12 @@ def sample_stratified(df: DataFrame, keys: Sequence[str], fractions: Mapping[str
             raise ValueError("give the strata when fractions is a single number")
         fractions = {s: float(fractions) for s in strata}
     return x.sampleBy("_stratum", dict(fractions), seed).drop("_stratum")
+
+
+def distribution_summary(labelled: DataFrame, compare: DataFrame | None = None, exact: bool = True):
+    """(plot table, box statistics) for a tier x stress labelled table.
+    ``compare`` is the stress comparison if already computed."""
+    from tickstat.operators.stress import market_quality
+
+    cmp = compare if compare is not None else market_quality(labelled, ["tier", "is_stress"], exact)
+    return plot_table(cmp), box_stats(labelled, exact=exact)

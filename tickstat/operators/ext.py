@@ -83,19 +83,20 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     """Each left row gets ``values`` of the latest right row of the same
     ``key`` with right_time <= left_time (null when none).
 
-    Both sides are unioned, ordered by (time, right-before-left) and the last
-    known right values are carried forward with ``last_known`` (bucketed
-    windows, no per-key task, no candidate pairs)."""
+    Both sides are unioned -- each left row travels whole as a struct, so no
+    row id and no join back are needed -- ordered by (time, right before
+    left), and the last known right values are carried forward with
+    ``last_known`` (bucketed windows, no per-key task, no candidate pairs)."""
     lcols = left.columns
     packed = F.struct(*[F.col(v) for v in values])
+    lrow = F.struct(*[F.col(c) for c in lcols])
     r = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
-                     packed.alias("_val"), F.lit(None).cast("long").alias("_lid"))
-    lid = left.withColumn("_lid", F.monotonically_increasing_id())
-    l_ = lid.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
-                    F.lit(None).cast(r.schema["_val"].dataType).alias("_val"), "_lid")
+                     packed.alias("_val"), F.lit(None).cast(left.select(lrow.alias("x")).schema["x"].dataType).alias("_row"))
+    l_ = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
+                     F.lit(None).cast(r.schema["_val"].dataType).alias("_val"), lrow.alias("_row"))
     u = last_known(r.unionByName(l_), "_val", "_asof", key="_k", ts="_t", order="_side", unit=unit)
-    matched = u.where(F.col("_side") == 1).select("_lid", "_asof")
-    return lid.join(matched, "_lid").select(*lcols, *[F.col(f"_asof.{v}").alias(v) for v in values])
+    return u.where(F.col("_side") == 1).select(*[F.col(f"_row.{c}").alias(c) for c in lcols],
+                                               *[F.col(f"_asof.{v}").alias(v) for v in values])
 
 
 def weekly_snapshots(features: DataFrame, value: str = "quote_asset_volume") -> DataFrame:

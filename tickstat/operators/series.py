@@ -111,8 +111,11 @@ def last_known(
     x = df.withColumn(b, time_bucket(ts, unit))
     w = Window.partitionBy(key, b).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("_in", F.last(value, ignorenulls=True).over(w))
-    last = (x.where(F.col(value).isNotNull())
-            .groupBy(key, b).agg(F.max_by(value, F.struct(*ords)).alias("_last")))
+    # one row per non-empty bucket (buckets without a known value must still
+    # pass the carry on); the ordering key is null for null values, which
+    # max_by skips
+    last = x.groupBy(key, b).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*ords))).alias("_last"))
     carry = last.select(key, b, F.last("_last", ignorenulls=True).over(
         Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     x = x.join(carry, [key, b], "left")

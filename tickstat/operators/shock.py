@@ -28,6 +28,7 @@ class ShockParams:
     unit: str = "minutes"        # unit of ``lags``
     min_shock: int = 50          # keep n_shock_obs > min_shock
     min_noshock: int = 200       # keep n_noshock_obs > min_noshock
+    receivers: tuple | None = None  # optional receiver allow-list (drivers are always kept)
     exact: bool = True
     accuracy: int = 10000
 
@@ -55,8 +56,16 @@ def shock_calendar(features: DataFrame, p: ShockParams = ShockParams()) -> DataF
     )
 
 
+def restrict(features: DataFrame, p: ShockParams) -> DataFrame:
+    """C4: keep only the listed receivers plus the drivers (debugging runs)."""
+    if not p.receivers:
+        return features
+    keep = [s.strip() for s in p.receivers if s and s.strip()]
+    return features.where(F.col("symbol").isin(keep + list(p.drivers)))
+
+
 def _receivers(features: DataFrame, p: ShockParams) -> DataFrame:
-    return features.where(~F.col("symbol").isin(list(p.drivers))).select(
+    return restrict(features, p).where(~F.col("symbol").isin(list(p.drivers))).select(
         "symbol", "open_time", "parkinson_var_1m", "amihud_illiq"
     )
 
