@@ -38,8 +38,10 @@ def main() -> None:
     paths = {"d": f"{base}/features_daily", "e": f"{base}/features_hourly"}
 
     def build_features():
-        bar_features(daily_bars(spark, SF_DIR)).write.mode("overwrite").parquet(paths["d"])
-        bar_features(hourly_bars(spark, SF_DIR)).write.mode("overwrite").parquet(paths["e"])
+        R.run_concurrently([
+            lambda: bar_features(daily_bars(spark, SF_DIR)).write.mode("overwrite").parquet(paths["d"]),
+            lambda: bar_features(hourly_bars(spark, SF_DIR)).write.mode("overwrite").parquet(paths["e"]),
+        ])
 
     def fd():
         return paths["d"]

@@ -8,6 +8,9 @@ executor never forces recomputation from the raw candles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,18 @@ from tickstat.sources.candles import read_candles
 from tickstat.sources.sinks import write_csv, write_small, write_table
 
 
+def run_concurrently(tasks: list[Callable[[], None]], workers: int = 4) -> None:
+    """Submit independent outputs as concurrent Spark jobs (the scheduler
+    interleaves their tasks); errors are re-raised."""
+    if workers <= 1 or len(tasks) <= 1:
+        for t in tasks:
+            t()
+        return
+    with ThreadPoolExecutor(max_workers=min(workers, len(tasks))) as pool:
+        for f in [pool.submit(t) for t in tasks]:
+            f.result()
+
+
 def features_job(spark: SparkSession, raw: str | DataFrame, out: str, max_files: int | None = None,
                  bucket: str = "month") -> str:
     """Candles (folder of <BASE>-<QUOTE>.parquet or a DataFrame) -> features table."""
@@ -33,47 +48,65 @@ def quality_job(spark: SparkSession, features: str, out: str) -> None:
     write_small(quality_report(spark.read.parquet(features)), f"{out}/quality_report")
 
 
-def stress_job(spark: SparkSession, features: str, out: str, p: S.StressParams = S.StressParams()) -> None:
-    """RQ1: tier x stress-minute comparison (Parquet + one CSV), stress-day
-    summary, plot table and box statistics."""
+def stress_job(spark: SparkSession, features: str, out: str, p: S.StressParams = S.StressParams(),
+               workers: int = 4) -> None:
+    """RQ1: tier x stress-minute comparison (Parquet + one CSV), plot table,
+    stress-day summary and box statistics."""
     f = spark.read.parquet(features)
     labelled = S.label_stress_minutes(f, p)          # threshold computed once
-    compare = S.market_quality(labelled, ["tier", "is_stress"], p.exact, p.accuracy)
-    write_small(compare, f"{out}/rq1_compare")
-    compare = spark.read.parquet(f"{out}/rq1_compare")
-    write_csv(compare, f"{out}/rq1_compare_csv")
-    write_small(D.plot_table(compare), f"{out}/rq1_plot_table")
-    write_small(S.stress_day_summary(f, p), f"{out}/rq1_results")
-    write_small(D.box_stats(labelled, exact=p.exact), f"{out}/rq1_box_stats")
+
+    def compare_branch():
+        write_small(S.market_quality(labelled, ["tier", "is_stress"], p.exact, p.accuracy), f"{out}/rq1_compare")
+        compare = spark.read.parquet(f"{out}/rq1_compare")
+        write_csv(compare, f"{out}/rq1_compare_csv")
+        write_small(D.plot_table(compare), f"{out}/rq1_plot_table")
+
+    run_concurrently([
+        compare_branch,
+        lambda: write_small(S.stress_day_summary(f, p), f"{out}/rq1_results"),
+        lambda: write_small(D.box_stats(labelled, exact=p.exact), f"{out}/rq1_box_stats"),
+    ], workers)
 
 
 def shock_job(spark: SparkSession, features: str, out: str, p: K.ShockParams = K.ShockParams(),
-              min_shock_obs: int = 200, exclude_leveraged: bool = True) -> None:
+              min_shock_obs: int = 200, exclude_leveraged: bool = True, workers: int = 4) -> None:
     """RQ2: lag effects (written once), then best lags, stats and histograms."""
     f = spark.read.parquet(features)
     write_small(K.lag_effects(f, p), f"{out}/rq2_results/lag_effects", files=4)
     eff = spark.read.parquet(f"{out}/rq2_results/lag_effects")
-    for metric, name in (("delta_vol", "best_lag_by_vol"), ("delta_illiq", "best_lag_by_illiq")):
-        write_small(K.best_lag(eff, metric, min_shock_obs, exclude_leveraged), f"{out}/rq2_results/{name}")
-    stats, hist = K.lag_summary(eff, min_shock_obs, exclude_leveraged, p.exact)
-    write_small(stats, f"{out}/rq2_results/lag_typical_stats")
-    write_small(hist, f"{out}/rq2_results/best_lag_hist")
+
+    def summary():
+        stats, hist = K.lag_summary(eff, min_shock_obs, exclude_leveraged, p.exact)
+        write_small(stats, f"{out}/rq2_results/lag_typical_stats")
+        write_small(hist, f"{out}/rq2_results/best_lag_hist")
+
+    run_concurrently([
+        lambda: write_small(K.best_lag(eff, "delta_vol", min_shock_obs, exclude_leveraged),
+                            f"{out}/rq2_results/best_lag_by_vol"),
+        lambda: write_small(K.best_lag(eff, "delta_illiq", min_shock_obs, exclude_leveraged),
+                            f"{out}/rq2_results/best_lag_by_illiq"),
+        summary,
+    ], workers)
 
 
-def beta_job(spark: SparkSession, features: str, out: str, p: B.BetaParams = B.BetaParams()) -> None:
+def beta_job(spark: SparkSession, features: str, out: str, p: B.BetaParams = B.BetaParams(),
+             workers: int = 4) -> None:
     """RQ3: overall and regime betas in one aggregation (written once), then
     pivot, hyper-sensitive list, regime summary and top changes."""
     f = spark.read.parquet(features)
     write_small(B.regime_betas(f, p), f"{out}/rq3_results/betas_all")
     allb = spark.read.parquet(f"{out}/rq3_results/betas_all")
     overall, by_regime = B.betas_overall(allb), B.betas_by_regime(allb)
-    write_small(overall, f"{out}/rq3_results/betas_overall")
-    write_small(by_regime, f"{out}/rq3_results/betas_by_regime")
     pivot = B.beta_pivot(by_regime)
-    write_small(pivot, f"{out}/rq3_results/beta_pivot")
-    write_small(B.hyper_sensitive(overall, p), f"{out}/rq3_results/hyper_overall")
-    write_small(B.beta_regime_summary(by_regime, p.exact, p.accuracy), f"{out}/rq3_results/beta_regime_summary")
-    write_small(B.top_delta_beta(pivot), f"{out}/rq3_results/top_delta_beta")
+    run_concurrently([
+        lambda: write_small(overall, f"{out}/rq3_results/betas_overall"),
+        lambda: write_small(by_regime, f"{out}/rq3_results/betas_by_regime"),
+        lambda: write_small(pivot, f"{out}/rq3_results/beta_pivot"),
+        lambda: write_small(B.hyper_sensitive(overall, p), f"{out}/rq3_results/hyper_overall"),
+        lambda: write_small(B.beta_regime_summary(by_regime, p.exact, p.accuracy),
+                            f"{out}/rq3_results/beta_regime_summary"),
+        lambda: write_small(B.top_delta_beta(pivot), f"{out}/rq3_results/top_delta_beta"),
+    ], workers)
 
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
