@@ -102,3 +102,16 @@ def test_last_known_equals_window(spark):
     plain = df.withColumn("r", F.last("v", ignorenulls=True).over(w))
     ours = last_known(df, "v", "r")
     assert plain.exceptAll(ours.select(*plain.columns)).count() == 0
+
+
+def test_lag_effects_broadcast_and_shuffle_paths_agree(spark, sf_small):
+    f = features_e(spark, sf_small)
+    p_b = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0)
+    p_s = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0, max_broadcast_rows=1)
+    a = sorted(K.lag_effects(f, p_b).collect())
+    b = sorted(K.lag_effects(f, p_s).collect())
+    assert len(a) == len(b) > 0
+    for x, y in zip(a, b):
+        for c in x.asDict():
+            u, v = x[c], y[c]
+            assert (u == v) or (isinstance(u, float) and abs(u - v) <= 1e-12 * max(1.0, abs(u)))

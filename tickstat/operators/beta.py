@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickstat.functions.symbols import KEEP_QUOTES, is_leveraged_contains, quote_allowed
+from tickstat.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 from tickstat.operators.quantiles import quantile_value, quantiles
 
 REGIMES = ("BULL", "BEAR", "NEUTRAL")
@@ -32,6 +33,7 @@ class BetaParams:
     var_eps: float = 1e-18        # beta is null when |var_x| <= var_eps
     exact: bool = True
     accuracy: int = 10000
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS  # BTC-minute table broadcast bound (checked)
 
     @property
     def regime_min_rows(self) -> int:
@@ -81,13 +83,14 @@ def regime_input(features: DataFrame, p: BetaParams = BetaParams()) -> DataFrame
     """Receiver returns with the same-minute BTC return and the day's regime.
 
     The regime is attached to the BTC side first (both small: one row per
-    minute / day), so the large receiver table takes part in one join only."""
+    minute / day), so the large receiver table takes part in one join only,
+    a broadcast join when the BTC table is under the checked bound."""
     u = universe_filter(features.select("open_time", *KEYS, "close", "log_return"), p)
     btc = u.where(F.col("symbol") == p.btc_symbol).select("open_time", "close", F.col("log_return").alias("btc_ret"))
     regime = price_regime(daily_close(btc), p).select("date", "regime")
     btc_x = btc.withColumn("date", F.to_date("open_time")).join(regime, "date").select("open_time", "btc_ret", "regime")
     receivers = u.where(F.col("symbol") != p.btc_symbol).select("open_time", *KEYS, F.col("log_return").alias("ret"))
-    return receivers.join(btc_x, "open_time")
+    return receivers.join(broadcast_if_small(btc_x, p.max_broadcast_rows), "open_time")
 
 
 def ols_moments(df: DataFrame, y: str = "ret", x: str = "btc_ret") -> list:

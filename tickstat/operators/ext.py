@@ -175,7 +175,9 @@ def cross_correlation(features: DataFrame, driver: str = "BTC-USDT", lags: Seque
     rec = features.where(F.col("symbol") != driver).select("symbol", "open_time", F.col(y).alias("_y"))
     return rec.join(drv, "open_time").groupBy("symbol", "lag").agg(
         F.count(F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), 1)).alias("n"),
-        F.corr("_x", "_y").alias("corr"))
+        # Pearson r from population moments; null (not an ANSI divide error)
+        # when either series is constant in the group
+        guarded_div(F.covar_pop("_x", "_y"), F.sqrt(F.var_pop("_x") * F.var_pop("_y"))).alias("corr"))
 
 
 def degradation_ratio(compare: DataFrame,

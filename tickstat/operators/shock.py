@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickstat.functions.symbols import is_leveraged_regex
+from tickstat.operators.joins import MAX_BROADCAST_ROWS, fits_broadcast
 from tickstat.operators.quantiles import quantiles
 from tickstat.schemas import LAG_EFFECT_COLUMNS, require_columns
 
@@ -29,6 +30,7 @@ class ShockParams:
     min_shock: int = 50          # keep n_shock_obs > min_shock
     min_noshock: int = 200       # keep n_noshock_obs > min_noshock
     receivers: tuple | None = None  # optional receiver allow-list (drivers are always kept)
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS  # shock-calendar broadcast bound (checked)
     exact: bool = True
     accuracy: int = 10000
 
@@ -98,19 +100,27 @@ def lag_effects(features: DataFrame, p: ShockParams = ShockParams(), calendar: D
     was (not) in shock ``lag`` units earlier, counts, deltas and the
     reliability filter (strict >).
 
-    One pass for all lags: the small shock calendar is exploded by lag and
-    shifted forward, then joined once to the receivers on open_time (each
-    receiver scanned once instead of once per lag). Receivers without a
-    calendar row at t - lag drop out of both sides, as in the reference.
+    One pass for all lags (each receiver row is read once, not once per lag).
+    When the shock calendar (one row per minute) is under the checked
+    broadcast bound, each receiver row is expanded map-side into its lagged
+    keys and probes the broadcast calendar: the receivers are never shuffled
+    before the partial aggregate. Otherwise the calendar is exploded by lag,
+    shifted forward and joined once (one shuffle of the receivers). Receivers
+    without a calendar row at t - lag drop out of both sides, as in the
+    reference.
     """
     if p.unit not in _UNITS:
         raise ValueError(f"unit must be one of {sorted(_UNITS)}")
     cal = calendar if calendar is not None else shock_calendar(features, p)
-    shifted = cal.select(F.explode(F.array(*[F.lit(int(x)) for x in p.lags])).alias("lag"),
-                         "open_time", "any_shock").select(
-        "lag", F.timestamp_add(_UNITS[p.unit], F.col("lag"), F.col("open_time")).alias("open_time"), "any_shock"
-    )
-    joined = _receivers(features, p).join(shifted, "open_time")
+    lags = F.array(*[F.lit(int(x)) for x in p.lags])
+    if fits_broadcast(cal, p.max_broadcast_rows):
+        rec = _receivers(features, p).select("*", F.explode(lags).alias("lag"))
+        rec = rec.withColumn("_t", F.timestamp_add(_UNITS[p.unit], -F.col("lag"), F.col("open_time")))
+        joined = rec.join(F.broadcast(cal.withColumnRenamed("open_time", "_t")), "_t").drop("_t")
+    else:
+        shifted = cal.select(F.explode(lags).alias("lag"), "open_time", "any_shock").select(
+            "lag", F.timestamp_add(_UNITS[p.unit], F.col("lag"), F.col("open_time")).alias("open_time"), "any_shock")
+        joined = _receivers(features, p).join(shifted, "open_time")
     return _effects(joined, p)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickstat.functions.symbols import LARGE_CAP_TWO, tier
+from tickstat.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 from tickstat.operators.quantiles import quantile_value, quantiles
 
 
@@ -21,6 +22,7 @@ class StressParams:
     large_caps: tuple = LARGE_CAP_TWO
     exact: bool = True               # exact distributed quantiles, else percentile_approx
     accuracy: int = 10000
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS   # calendar broadcast bound (checked)
 
 
 def with_tier(df: DataFrame, large_caps: Sequence[str] = LARGE_CAP_TWO, out: str = "tier") -> DataFrame:
@@ -123,8 +125,9 @@ def market_quality(df: DataFrame, keys: Sequence[str], exact: bool = True, accur
 def label_stress_minutes(features: DataFrame, p: StressParams = StressParams()) -> DataFrame:
     """Every bar with its tier and the minute's stress flag (left join, so
     bars in minutes without a BTC bar get is_stress = null). The calendar has
-    one row per minute; AQE broadcasts it when its measured size allows."""
-    flags = stress_minutes(features, p).select("open_time", "is_stress")
+    one row per minute; it is broadcast when its row count is under the
+    checked bound, so the bar table is not shuffled."""
+    flags = broadcast_if_small(stress_minutes(features, p).select("open_time", "is_stress"), p.max_broadcast_rows)
     return with_tier(features, p.large_caps).join(flags, "open_time", "left")
 
 
@@ -135,7 +138,8 @@ def stress_compare(features: DataFrame, p: StressParams = StressParams()) -> Dat
 
 def label_stress_days(features: DataFrame, p: StressParams = StressParams()) -> DataFrame:
     """Bars on stress days only (semi join on the small day calendar)."""
-    days = stress_days(features, p).where(F.col("is_stress")).select("date")
+    days = broadcast_if_small(stress_days(features, p).where(F.col("is_stress")).select("date"),
+                              p.max_broadcast_rows)
     return features.withColumn("date", F.to_date("open_time")).join(days, "date", "left_semi")
 
 

@@ -648,7 +648,8 @@ _XC_LAGS = (0, 1, 2, 3, 6, 12)
 lags AS (SELECT unnest([{', '.join(str(x) for x in _XC_LAGS)}]) AS lag)
 SELECT r.symbol, l.lag,
   count(CASE WHEN d.number_of_trades IS NOT NULL AND r.parkinson_var_1m IS NOT NULL THEN 1 END) AS n,
-  corr(CAST(d.number_of_trades AS DOUBLE), r.parkinson_var_1m) AS corr
+  covar_pop(CAST(d.number_of_trades AS DOUBLE), r.parkinson_var_1m)
+    / NULLIF(sqrt(var_pop(CAST(d.number_of_trades AS DOUBLE)) * var_pop(r.parkinson_var_1m)), 0) AS corr
 FROM feat_e r CROSS JOIN lags l
 JOIN feat_e d ON d.symbol = 'BTC-USDT' AND d.open_time = r.open_time - to_hours(l.lag)
 WHERE r.symbol <> 'BTC-USDT'
