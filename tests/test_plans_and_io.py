@@ -94,3 +94,19 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs)
     assert len(qs) >= 45
     assert all(not k.startswith("op") and "pipeline" not in k for k in qs)
+
+
+def test_calendar_joins_broadcast_when_small_and_shuffle_beyond(spark, sf_small):
+    d = tempfile.mkdtemp(prefix="tickstat-test-", dir="/tmp")
+    bar_features(hourly_bars(spark, sf_small)).write.parquet(f"{d}/f")
+    f = spark.read.parquet(f"{d}/f")
+    small = _plan(K.lag_effects(f, SHOCK_TEST))
+    assert "BroadcastHashJoin" in small and "SortMergeJoin" not in small
+    big = K.ShockParams(q=0.95, unit="hours", min_shock=40, min_noshock=280, max_broadcast_rows=1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "SortMergeJoin" in _plan(K.lag_effects(f, big))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
