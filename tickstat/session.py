@@ -56,3 +56,25 @@ def require_utc(spark: SparkSession) -> None:
     tz = spark.conf.get("spark.sql.session.timeZone")
     if tz not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         raise ValueError(f"session time zone must be UTC, found {tz!r}")
+
+
+def recommended_settings(input_bytes: int, executors_cores: int = 8000,
+                         target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Cluster settings for a run over ``input_bytes`` of bars (the library
+    never sets them; pass them to spark-submit or the session builder).
+
+    Shuffle partitions are sized so a partition of the widest shuffle (the
+    bar table keyed by (symbol, month) or by minute) is about
+    ``target_partition_bytes`` before AQE coalescing, and at least one wave
+    of tasks over all cores; AQE then merges small partitions and splits
+    skewed join partitions."""
+    parts = max(executors_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
