@@ -1,7 +1,6 @@
 """Golden values from FIXTURES.md (computed there with DuckDB) and the
 time-shift property of SURVEY section 5."""
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickstat.operators import shock as K
 from tickstat.operators.features import bar_features
 from tickstat.plans import research as R
-from tickstat.plans.catalog import BETA_TEST, MIN_OBS_TEST, SHOCK_TEST
+from tickstat.plans.catalog import BETA_TEST, SHOCK_TEST
 from tickstat.sources.candles import read_candles, schema_report
 from tickstat.sources.fixtures import daily_bars, hourly_bars
 from tickstat.sources.sinks import write_csv, write_small

@@ -3,7 +3,6 @@
 import datetime as dt
 
 from pyspark.sql import Row
-from pyspark.sql import functions as F
 
 from tickstat.functions import symbols as sym
 from tickstat.operators import beta as B

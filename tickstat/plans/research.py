@@ -12,7 +12,6 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tickstat.operators import beta as B
 from tickstat.operators import dist as D
@@ -121,4 +120,5 @@ def schema_of(df: DataFrame) -> DataFrame:
     return schema_report(df)
 
 
-__all__ = ["features_job", "quality_job", "stress_job", "shock_job", "beta_job", "preview", "schema_of", "F"]
+__all__ = ["run_concurrently", "features_job", "quality_job", "stress_job", "shock_job", "beta_job", "preview",
+           "schema_of"]
