@@ -34,7 +34,7 @@ REGISTRY: dict[str, Query] = {}
 
 def register(name: str, sql: str | None, note: str = ""):
     def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = Query(lambda spark, sf_dir: canon(fn(spark, sf_dir)), sql, note)
+        REGISTRY[name] = Query(lambda spark, sf_dir: canon(fn(spark, str(sf_dir).rstrip("/"))), sql, note)
         return fn
 
     return deco
