@@ -189,3 +189,14 @@ def test_asof_join_inclusive_and_gaps(spark):
     got = {(r.k, r.t): r.v for r in asof_join(left, right, "k", "t", "rt", ["v"]).collect()}
     assert got == {("a", minute(0)): None, ("a", minute(5)): 1.0, ("a", minute(60 * 24 * 70)): 1.0,
                    ("b", minute(1)): None}
+
+
+def test_approximate_mode_runs_end_to_end(spark, sf_small):
+    from tickstat.plans.catalog import features_d
+
+    f = features_d(spark, sf_small)
+    p = S.StressParams(exact=False)
+    assert len(S.stress_compare(f, p).collect()) >= 1
+    assert S.stress_days(f, p).count() > 0
+    b = B.regime_betas(f, B.BetaParams(min_rows=10, regime_min=5, exact=False))
+    assert B.beta_regime_summary(B.betas_by_regime(b), exact=False).count() >= 1

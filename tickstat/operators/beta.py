@@ -32,7 +32,8 @@ class BetaParams:
     hyper_q: float = 0.95
     var_eps: float = 1e-18        # beta is null when |var_x| <= var_eps
     exact: bool = True
-    accuracy: int = 10000
+    accuracy: int = 100           # approximate hyper cutoff: relative error 0.01, as in the reference
+    summary_accuracy: int = 10000  # approximate regime-summary quantiles
     max_broadcast_rows: int = MAX_BROADCAST_ROWS  # BTC-minute table broadcast bound (checked)
 
     @property

@@ -31,7 +31,7 @@ class ShockParams:
     receivers: tuple | None = None  # optional receiver allow-list (drivers are always kept)
     max_broadcast_rows: int = MAX_BROADCAST_ROWS  # shock-calendar broadcast bound (checked)
     exact: bool = True
-    accuracy: int = 10000
+    accuracy: int = 1000         # approximate mode: relative error 0.001, as in the reference
 
 
 def shock_thresholds(features: DataFrame, p: ShockParams = ShockParams()) -> DataFrame:

@@ -21,7 +21,9 @@ class StressParams:
     btc_base: str = "BTC"            # day grain: BTC pairs by base asset
     large_caps: tuple = LARGE_CAP_TWO
     exact: bool = True               # exact distributed quantiles, else percentile_approx
-    accuracy: int = 10000
+    # approximate mode: relative error 1/accuracy, as the reference used per step
+    accuracy: int = 10000            # minute stress threshold and market-quality quantiles
+    day_accuracy: int = 100          # stress-day threshold (relative error 0.01)
     max_broadcast_rows: int = MAX_BROADCAST_ROWS   # calendar broadcast bound (checked)
 
 
@@ -69,7 +71,7 @@ def stress_days(features: DataFrame, p: StressParams = StressParams()) -> DataFr
         .groupBy(F.to_date("open_time").alias("date"))
         .agg(F.avg("parkinson_var_1m").alias("btc_daily_vol"))
     )
-    thr = quantile_value(daily, "btc_daily_vol", p.q, exact=p.exact, accuracy=p.accuracy)
+    thr = quantile_value(daily, "btc_daily_vol", p.q, exact=p.exact, accuracy=p.day_accuracy)
     return daily.withColumn("is_stress", F.col("btc_daily_vol") >= F.lit(thr).cast("double"))
 
 

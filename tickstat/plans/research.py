@@ -102,7 +102,7 @@ def beta_job(spark: SparkSession, features: str, out: str, p: B.BetaParams = B.B
         lambda: write_small(by_regime, f"{out}/rq3_results/betas_by_regime"),
         lambda: write_small(pivot, f"{out}/rq3_results/beta_pivot"),
         lambda: write_small(B.hyper_sensitive(overall, p), f"{out}/rq3_results/hyper_overall"),
-        lambda: write_small(B.beta_regime_summary(by_regime, p.exact, p.accuracy),
+        lambda: write_small(B.beta_regime_summary(by_regime, p.exact, p.summary_accuracy),
                             f"{out}/rq3_results/beta_regime_summary"),
         lambda: write_small(B.top_delta_beta(pivot), f"{out}/rq3_results/top_delta_beta"),
     ], workers)
