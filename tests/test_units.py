@@ -200,3 +200,11 @@ def test_approximate_mode_runs_end_to_end(spark, sf_small):
     assert S.stress_days(f, p).count() > 0
     b = B.regime_betas(f, B.BetaParams(min_rows=10, regime_min=5, exact=False))
     assert B.beta_regime_summary(B.betas_by_regime(b), exact=False).count() >= 1
+
+
+def test_lag_summary_keeps_empty_metric(spark):
+    eff = _effects(spark, [("A-USDT", 1, None, None, None, None, 10, 900, None, None)])
+    stats, hist = K.lag_summary(eff, min_shock_obs=200)
+    r = {x.metric: x for x in stats.collect()}
+    assert r["delta_vol"].n_symbols == 0 and r["delta_vol"].median_lag is None
+    assert hist.count() == 0

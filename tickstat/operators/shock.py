@@ -222,12 +222,27 @@ def lag_typical_stats(best: DataFrame, label: str, exact: bool = True) -> DataFr
 
 
 def lag_summary(effects: DataFrame, min_shock_obs: int = 200, exclude_leveraged: bool = True,
-                exact: bool = True) -> tuple[DataFrame, DataFrame]:
+                exact: bool = True, accuracy: int = 10000) -> tuple[DataFrame, DataFrame]:
     """(typical-lag stats, lag histogram) for both metrics, each one long
-    table (H2, H3)."""
-    stats, hists = [], []
+    table (H2, H3). Both best-lag tables are stacked with a metric label, so
+    one grouped aggregate and one grouped quantile call serve both metrics."""
+    best = None
     for metric in ("delta_vol", "delta_illiq"):
-        b = best_lag(effects, metric, min_shock_obs, exclude_leveraged)
-        stats.append(lag_typical_stats(b, metric, exact))
-        hists.append(lag_histogram(b, metric))
-    return stats[0].unionByName(stats[1]), hists[0].unionByName(hists[1])
+        b = best_lag(effects, metric, min_shock_obs, exclude_leveraged).select(
+            F.lit(metric).alias("metric"), "symbol", "lag")
+        best = b if best is None else best.unionByName(b)
+    metrics = ("delta_vol", "delta_illiq")
+    # a global aggregate always yields a row, so a metric without symbols
+    # still reports n_symbols = 0
+    base = best.agg(*[x for i, m in enumerate(metrics) for x in (
+        F.count_if(F.col("metric") == m).alias(f"_n{i}"),
+        F.avg(F.when(F.col("metric") == m, F.col("lag"))).alias(f"_m{i}"))]).select(F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.col(f"_n{i}").alias("n_symbols"), F.col(f"_m{i}").alias("mean_lag"))
+            for i, m in enumerate(metrics)])).alias("_s")).select("_s.*")
+    q = quantiles(best, "lag", {"median_lag": 0.5, "p25_lag": 0.25, "p75_lag": 0.75}, ["metric"],
+                  exact=exact, accuracy=accuracy)
+    stats = base.join(q, "metric", "left").select("metric", "n_symbols", "mean_lag", "median_lag", "p25_lag",
+                                                  "p75_lag")
+    hist = best.groupBy("lag", "metric").agg(F.count(F.lit(1)).alias("count_symbols")).select(
+        "lag", "count_symbols", "metric")
+    return stats, hist
