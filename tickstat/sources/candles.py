@@ -28,7 +28,7 @@ def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list
 def read_candles(
     spark: SparkSession,
     path: str | Sequence[str],
-    schema: StructType | None = RAW_CANDLE,
+    schema: StructType | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
     """Scan one folder (or a list of files) of ``<BASE>-<QUOTE>.parquet`` files.
@@ -36,7 +36,9 @@ def read_candles(
     ``symbol`` comes from the file name through the ``_metadata`` column (no
     per-file unions); base and quote come from ``symbol``. ``max_files`` keeps
     the first N files by name (local development), as a list of paths -- not
-    the comma-joined string that fails to resolve.
+    the comma-joined string that fails to resolve. By default the schema is
+    read from the Parquet footers (numeric types are normalized later by
+    ``bar_features``); pass ``schema=RAW_CANDLE`` to enforce the declared one.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if max_files:
