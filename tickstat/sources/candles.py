@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickstat.functions.symbols import base_asset, quote_asset
-from tickstat.schemas import RAW_CANDLE
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
