@@ -20,8 +20,11 @@ MAX_BROADCAST_ROWS = 5_000_000
 
 
 def fits_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``small`` has at most ``max_rows`` rows (stops counting early)."""
-    return small.limit(max_rows + 1).count() <= max_rows
+    """True when ``small`` has at most ``max_rows`` rows.
+
+    A plain distributed count (partial counts per task): ``limit(n).count()``
+    would move up to n rows per partition into a single task."""
+    return small.count() <= max_rows
 
 
 def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
