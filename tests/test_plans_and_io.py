@@ -110,3 +110,23 @@ def test_calendar_joins_broadcast_when_small_and_shuffle_beyond(spark, sf_small)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_cli_all_jobs_on_candle_files(spark, sf_small):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tickstat.plans.cli import main
+
+    d = tempfile.mkdtemp(prefix="tickstat-cli-", dir="/tmp")
+    os.makedirs(f"{d}/raw")
+    bars = daily_bars(spark, sf_small).toPandas()
+    for sym, g in bars.groupby("symbol"):
+        pq.write_table(pa.Table.from_pandas(g.drop(columns=["symbol", "base_asset", "quote_asset"]),
+                                            preserve_index=False), f"{d}/raw/{sym}.parquet", coerce_timestamps="us")
+    assert main(["all", "--raw", f"{d}/raw", "--out", f"{d}/out", "--shock-q", "0.9", "--min-shock-obs", "1",
+                 "--min-rows", "10", "--lags", "0,1,2"], spark=spark) == 0
+    f = spark.read.parquet(f"{d}/out/features_1m")
+    assert f.count() == len(bars) and f.select("symbol").distinct().count() == bars["symbol"].nunique()
+    assert spark.read.parquet(f"{d}/out/rq1_compare").count() >= 2
+    assert os.path.exists(f"{d}/out/rq3_results/betas_overall/_SUCCESS")
