@@ -52,7 +52,18 @@ def bar_features(candles: DataFrame, bucket: str = "month") -> DataFrame:
     )
 
 
-def layout_by_symbol(features: DataFrame) -> DataFrame:
-    """Optional storage layout: cluster rows by symbol and time before a write
-    (range partitioning splits a heavy symbol over several files)."""
-    return features.repartitionByRange("symbol", "open_time").sortWithinPartitions("symbol", "open_time")
+def layout_by_symbol(features: DataFrame, mode: str = "sort") -> DataFrame:
+    """Storage layout before a write.
+
+    ``sort`` (default): sort each partition by (symbol, open_time). The
+    feature window already hash-partitions rows by (symbol, month), so this
+    adds no shuffle; every file holds whole symbol-months in order, and
+    Parquet min/max statistics on ``symbol`` let later scans skip row groups.
+    ``range``: one more full shuffle to range-partition by (symbol,
+    open_time), for files that each cover a contiguous symbol range (a heavy
+    symbol is still split over several files)."""
+    if mode == "sort":
+        return features.sortWithinPartitions("symbol", "open_time")
+    if mode == "range":
+        return features.repartitionByRange("symbol", "open_time").sortWithinPartitions("symbol", "open_time")
+    raise ValueError("mode must be 'sort' or 'range'")

@@ -36,10 +36,12 @@ def run_concurrently(tasks: list[Callable[[], None]], workers: int = 4) -> None:
 
 
 def features_job(spark: SparkSession, raw: str | DataFrame, out: str, max_files: int | None = None,
-                 bucket: str = "month") -> str:
-    """Candles (folder of <BASE>-<QUOTE>.parquet or a DataFrame) -> features table."""
+                 bucket: str = "month", layout: str = "sort") -> str:
+    """Candles (folder of <BASE>-<QUOTE>.parquet or a DataFrame) -> features
+    table, written straight from the window's partitioning (no extra
+    shuffle with the default layout)."""
     candles = raw if isinstance(raw, DataFrame) else read_candles(spark, raw, max_files=max_files)
-    write_table(layout_by_symbol(bar_features(candles, bucket)), f"{out}/features_1m", rebalance=False)
+    write_table(layout_by_symbol(bar_features(candles, bucket), layout), f"{out}/features_1m", rebalance=False)
     return f"{out}/features_1m"
 
 
