@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tickstat.functions.bars import guarded_div
 from tickstat.functions.symbols import LARGE, LARGE_CAP_TWO, MID, SMALL
+from tickstat.operators.joins import broadcast_if_small
 from tickstat.operators.quantiles import quantiles
 from tickstat.operators.series import last_known, previous_value, rolling, running_total
 
@@ -75,7 +76,7 @@ def three_tiers(features: DataFrame, large_caps: Sequence[str] = LARGE_CAP_TWO,
         Window.orderBy(F.col("_size").desc_nulls_last(), F.col("base_asset"))).cast("long").alias("size_rank"))
     tier = (F.when(F.col("base_asset").isin(list(large_caps)), F.lit(LARGE))
             .when(F.col("size_rank") <= mid_max_rank, F.lit(MID)).otherwise(F.lit(SMALL)))
-    return features.join(ranked, "base_asset", "left").withColumn("tier3", tier)
+    return features.join(broadcast_if_small(ranked), "base_asset", "left").withColumn("tier3", tier)
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
@@ -161,7 +162,9 @@ def intensity_jumps(features: DataFrame, q: float = 0.99, exact: bool = True, un
                        unit=unit)
     d = d.withColumn("trade_jump", F.abs(F.col("number_of_trades") - F.col("_prev"))).drop("_prev")
     thr = quantiles(d, "trade_jump", {"jump_threshold": q}, ["symbol"], exact=exact)
-    return d.join(thr, "symbol", "left").withColumn("is_jump", F.col("trade_jump") >= F.col("jump_threshold"))
+    # thresholds: one row per symbol, already a local table built from the collected picks
+    return d.join(F.broadcast(thr), "symbol", "left").withColumn(
+        "is_jump", F.col("trade_jump") >= F.col("jump_threshold"))
 
 
 # ------------------------------------------------------------------ N13, N14, N8: cross-asset
