@@ -50,7 +50,7 @@ def test_running_total_equals_window(spark):
 
 def test_lag_effects_single_pass_equals_union(spark, sf_small):
     f = features_e(spark, sf_small)
-    p = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0)
+    p = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0, exact=True)
     a = K.lag_effects(f, p).collect()
     b = K.lag_effects_union(f, p).collect()
     key = lambda r: (r.symbol, r.lag)
@@ -106,8 +106,8 @@ def test_last_known_equals_window(spark):
 
 def test_lag_effects_broadcast_and_shuffle_paths_agree(spark, sf_small):
     f = features_e(spark, sf_small)
-    p_b = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0)
-    p_s = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0, max_broadcast_rows=1)
+    p_b = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0, exact=True)
+    p_s = K.ShockParams(q=0.95, unit="hours", min_shock=0, min_noshock=0, max_broadcast_rows=1, exact=True)
     a = sorted(K.lag_effects(f, p_b).collect())
     b = sorted(K.lag_effects(f, p_s).collect())
     assert len(a) == len(b) > 0

@@ -13,19 +13,21 @@ from tickstat.sources.fixtures import daily_bars
 def test_stress_goldens_sf001(spark, sf_mid):
     f = features_d(spark, sf_mid)
     assert f.count() == 38372
-    assert S.stress_threshold(f) == 3.2772627313515983
-    sizes = {(r.tier, r.is_stress): r.n_bars for r in S.stress_compare(f).collect()}
+    p = S.StressParams(exact=True)
+    assert S.stress_threshold(f, p) == 3.2772627313515983
+    sizes = {(r.tier, r.is_stress): r.n_bars for r in S.stress_compare(f, p).collect()}
     assert sizes == {("LARGE_CAP", False): 4297, ("LARGE_CAP", True): 230, ("LARGE_CAP", None): 249,
                      ("SMALL_CAP", False): 27244, ("SMALL_CAP", True): 1449, ("SMALL_CAP", None): 4903}
-    days = S.stress_days(f)
+    days = S.stress_days(f, p)
     assert days.count() == 2136 and days.where("is_stress").count() == 107
 
 
 def test_shift_by_whole_days_keeps_metrics(spark, sf_small):
     bars = daily_bars(spark, sf_small)
     shifted = bars.withColumn("open_time", F.timestamp_add("DAY", F.lit(45), F.col("open_time")))
-    a = {(r.tier, r.is_stress): r for r in S.stress_compare(bar_features(bars)).collect()}
-    b = {(r.tier, r.is_stress): r for r in S.stress_compare(bar_features(shifted)).collect()}
+    p = S.StressParams(exact=True)
+    a = {(r.tier, r.is_stress): r for r in S.stress_compare(bar_features(bars), p).collect()}
+    b = {(r.tier, r.is_stress): r for r in S.stress_compare(bar_features(shifted), p).collect()}
     assert a.keys() == b.keys()
     for k in a:
         for c, u in a[k].asDict().items():

@@ -103,7 +103,7 @@ def test_shock_calendar_one_driver_and_null_trades(spark):
         dict(open_time=minute(2), symbol="BTC-USDT", number_of_trades=1),
         dict(open_time=minute(2), symbol="ETH-USDT", number_of_trades=5),
     ]))
-    p = K.ShockParams(q=0.5)
+    p = K.ShockParams(q=0.5, exact=True)
     cal = {x.open_time: x.any_shock for x in K.shock_calendar(df, p).collect()}
     # BTC threshold = median of (100, 1) = 1 -> minute 0 and 2 shocked; null trades -> 0; ETH alone shocks minute 2
     assert cal == {minute(0): 1, minute(1): 0, minute(2): 1}
@@ -127,7 +127,7 @@ def test_best_lag_nulls_last_and_ties(spark):
     ])
     r = {x.symbol: x.lag for x in K.best_lag(eff, "delta_vol", 200).collect()}
     assert r == {"A-USDT": 1, "B-USDT": 15}
-    stats, hist = K.lag_summary(eff, 200)
+    stats, hist = K.lag_summary(eff, 200, exact=True)
     s = {x.metric: x for x in stats.collect()}
     assert s["delta_vol"].n_symbols == 2 and s["delta_vol"].median_lag == 1
 
@@ -208,3 +208,13 @@ def test_lag_summary_keeps_empty_metric(spark):
     r = {x.metric: x for x in stats.collect()}
     assert r["delta_vol"].n_symbols == 0 and r["delta_vol"].median_lag is None
     assert hist.count() == 0
+
+
+def test_box_stats_and_quality_in_both_modes(spark, sf_small):
+    from tickstat.operators import dist as D
+    from tickstat.plans.catalog import features_d
+
+    lab = S.label_stress_minutes(features_d(spark, sf_small), S.StressParams(exact=True))
+    for exact in (True, False):
+        assert D.box_stats(lab, exact=exact).count() > 0
+        assert S.market_quality(lab, ["tier", "is_stress"], exact=exact).count() > 0

@@ -31,7 +31,7 @@ class BetaParams:
     regime_min: int | None = None  # explicit regime minimum (overrides the rule above)
     hyper_q: float = 0.95
     var_eps: float = 1e-18        # beta is null when |var_x| <= var_eps
-    exact: bool = True
+    exact: bool = False           # approximate quantiles (as the reference); True = exact selection
     accuracy: int = 100           # approximate hyper cutoff: relative error 0.01, as in the reference
     summary_accuracy: int = 10000  # approximate regime-summary quantiles
     max_broadcast_rows: int = MAX_BROADCAST_ROWS  # BTC-minute table broadcast bound (checked)
@@ -161,7 +161,7 @@ def hyper_sensitive(overall: DataFrame, p: BetaParams = BetaParams()) -> DataFra
     return nn.where(F.col("beta") >= F.lit(cut).cast("double")).orderBy(F.col("beta").desc(), F.col("symbol"))
 
 
-def beta_regime_summary(by_regime: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def beta_regime_summary(by_regime: DataFrame, exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """Per regime, number of symbols and mean / p05 / median / p95 beta."""
     nn = by_regime.where(F.col("beta").isNotNull())
     base = nn.groupBy("regime").agg(F.count(F.lit(1)).alias("n_symbols"), F.avg("beta").alias("avg_beta"))

@@ -32,7 +32,7 @@ def plot_table(compare: DataFrame, metrics: Sequence[str] = PLOT_METRICS) -> Dat
 
 
 def box_stats(labelled: DataFrame, keys: Sequence[str] = ("tier", "is_stress"),
-              columns: Sequence[str] = BOX_COLUMNS, whisker: float = 1.5, exact: bool = True) -> DataFrame:
+              columns: Sequence[str] = BOX_COLUMNS, whisker: float = 1.5, exact: bool = False) -> DataFrame:
     """Per group and column: n, q1, median, q3 (linear interpolation, as a
     box plot draws them) and the whiskers -- the most extreme values within
     ``whisker`` x IQR of the box. Outliers are not listed. All rows are used;
@@ -44,14 +44,15 @@ def box_stats(labelled: DataFrame, keys: Sequence[str] = ("tier", "is_stress"),
     ).select(*keys, F.col("_s.m").alias("metric"), F.col("_s.v").alias("value")).where(F.col("value").isNotNull())
     q = quantiles(stacked, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys + ["metric"], "cont", exact)
     iqr = F.col("q3") - F.col("q1")
-    fences = q.select(*keys, "metric", "q1", "median", "q3",
+    kk = keys + ["metric"]
+    fences = q.select(*[F.col(k).alias(f"_f_{k}") for k in kk], "q1", "median", "q3",
                       (F.col("q1") - F.lit(whisker) * iqr).alias("_lo_fence"),
                       (F.col("q3") + F.lit(whisker) * iqr).alias("_hi_fence"))
-    # fences: one row per (group, column); groups are tier x stress state here
-    fb = F.broadcast(fences)
-    cond = [stacked[k].eqNullSafe(fb[k]) for k in keys + ["metric"]]
-    j = stacked.join(fb, cond, "inner").select(*[stacked[k] for k in keys], stacked["metric"], "value", "q1",
-                                               "median", "q3", "_lo_fence", "_hi_fence")
+    # fences: one row per (group, column); groups are tier x stress state here.
+    # Keys are renamed so the join is unambiguous when both sides share lineage.
+    cond = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in kk]
+    j = stacked.join(F.broadcast(fences), cond, "inner").select(*kk, "value", "q1", "median", "q3", "_lo_fence",
+                                                              "_hi_fence")
     return j.groupBy(*keys, "metric").agg(
         F.count(F.lit(1)).alias("n"),
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -81,7 +82,7 @@ def sample_stratified(df: DataFrame, keys: Sequence[str], fractions: Mapping[str
     return x.sampleBy("_stratum", dict(fractions), seed).drop("_stratum")
 
 
-def distribution_summary(labelled: DataFrame, compare: DataFrame | None = None, exact: bool = True):
+def distribution_summary(labelled: DataFrame, compare: DataFrame | None = None, exact: bool = False):
     """(plot table, box statistics) for a tier x stress labelled table.
     ``compare`` is the stress comparison if already computed."""
     from tickstat.operators.stress import market_quality

@@ -155,7 +155,7 @@ def cusum_break(features: DataFrame, symbols: Sequence[str] = ("BTC-USDT", "ETH-
     ).select("symbol", "n", F.col("_b.open_time").alias("break_time"), F.abs("_b._c").alias("max_abs_cusum"))
 
 
-def intensity_jumps(features: DataFrame, q: float = 0.99, exact: bool = True, unit: str = "month") -> DataFrame:
+def intensity_jumps(features: DataFrame, q: float = 0.99, exact: bool = False, unit: str = "month") -> DataFrame:
     """|trades - previous trades| per symbol; a jump when it reaches the
     symbol's q-quantile of such changes."""
     d = previous_value(features.select("symbol", "open_time", "number_of_trades"), "number_of_trades", "_prev",

@@ -30,7 +30,7 @@ class ShockParams:
     min_noshock: int = 200       # keep n_noshock_obs > min_noshock
     receivers: tuple | None = None  # optional receiver allow-list (drivers are always kept)
     max_broadcast_rows: int = MAX_BROADCAST_ROWS  # shock-calendar broadcast bound (checked)
-    exact: bool = True
+    exact: bool = False          # approximate quantiles (as the reference); True = exact selection
     accuracy: int = 1000         # approximate mode: relative error 0.001, as in the reference
 
 
@@ -210,7 +210,7 @@ def lag_histogram(best: DataFrame, label: str) -> DataFrame:
     return best.groupBy("lag").agg(F.count(F.lit(1)).alias("count_symbols")).withColumn("metric", F.lit(label))
 
 
-def lag_typical_stats(best: DataFrame, label: str, exact: bool = True) -> DataFrame:
+def lag_typical_stats(best: DataFrame, label: str, exact: bool = False) -> DataFrame:
     """N, mean, median, p25, p75 of the best lag across symbols."""
     base = best.agg(F.count(F.lit(1)).alias("n_symbols"), F.avg("lag").alias("mean_lag"))
     q = quantiles(best, "lag", {"median_lag": 0.5, "p25_lag": 0.25, "p75_lag": 0.75}, exact=exact).first()
@@ -222,7 +222,7 @@ def lag_typical_stats(best: DataFrame, label: str, exact: bool = True) -> DataFr
 
 
 def lag_summary(effects: DataFrame, min_shock_obs: int = 200, exclude_leveraged: bool = True,
-                exact: bool = True, accuracy: int = 10000) -> tuple[DataFrame, DataFrame]:
+                exact: bool = False, accuracy: int = 10000) -> tuple[DataFrame, DataFrame]:
     """(typical-lag stats, lag histogram) for both metrics, each one long
     table (H2, H3). Both best-lag tables are stacked with a metric label, so
     one grouped aggregate and one grouped quantile call serve both metrics."""

@@ -20,7 +20,7 @@ class StressParams:
     preferred: str = "BTC-USDT"      # pair preferred when several trade in a minute
     btc_base: str = "BTC"            # day grain: BTC pairs by base asset
     large_caps: tuple = LARGE_CAP_TWO
-    exact: bool = True               # exact distributed quantiles, else percentile_approx
+    exact: bool = False              # percentile_approx (as the reference); True = exact selection
     # approximate mode: relative error 1/accuracy, as the reference used per step
     accuracy: int = 10000            # minute stress threshold and market-quality quantiles
     day_accuracy: int = 100          # stress-day threshold (relative error 0.01)
@@ -81,7 +81,7 @@ QUALITY_METRICS = (
 )
 
 
-def market_quality(df: DataFrame, keys: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def market_quality(df: DataFrame, keys: Sequence[str], exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """M7: the eight market-quality metrics (plus ``n_bars``) per group.
 
     Means come from one partial/final aggregate. The three quantiles (median
@@ -113,9 +113,11 @@ def market_quality(df: DataFrame, keys: Sequence[str], exact: bool = True, accur
         F.max(F.when(F.col("_metric") == "parkinson", F.col("p95"))).alias("p95_parkinson_vol"),
     )
     if keys:
-        cond = [base[k].eqNullSafe(wide[k]) for k in keys]
-        out = base.join(wide, cond, "left").select(base["*"], *[wide[c] for c in
-                                                             ("median_quote_volume", "p95_amihud", "p95_parkinson_vol")])
+        # keys renamed on the quantile side: both sides derive from ``df``
+        wide = wide.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "median_quote_volume", "p95_amihud",
+                           "p95_parkinson_vol")
+        cond = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
+        out = base.join(wide, cond, "left").drop(*[f"_w_{k}" for k in keys])
     else:
         # no grouping: both sides are one row, fetch the three scalars
         row = wide.first()

@@ -194,6 +194,9 @@ def q_qc_duplicates(spark, sf_dir):
 # ---------------------------------------------------------------- step 5: stress
 from tickstat.operators import stress as S  # noqa: E402
 
+# Registered queries use exact quantiles so that DuckDB's quantile_disc can check them.
+STRESS_TEST = S.StressParams(exact=True)
+
 
 @register(
     "tier_two",
@@ -222,7 +225,7 @@ def q_btc_pick(spark, sf_dir):
 
 @register("stress_threshold", O.final(_FDS + " SELECT threshold FROM thr", ["threshold"], ["threshold"]))
 def q_stress_threshold(spark, sf_dir):
-    thr = S.stress_threshold(features_d(spark, sf_dir))
+    thr = S.stress_threshold(features_d(spark, sf_dir), STRESS_TEST)
     return spark.range(1).select(F.lit(thr).cast("double").alias("threshold"))
 
 
@@ -230,7 +233,7 @@ def q_stress_threshold(spark, sf_dir):
                                     ["open_time", "btc_symbol", "btc_parkinson_var_1m", "is_stress"],
                                     ["btc_parkinson_var_1m"]))
 def q_stress_minutes(spark, sf_dir):
-    return S.stress_minutes(features_d(spark, sf_dir))
+    return S.stress_minutes(features_d(spark, sf_dir), STRESS_TEST)
 
 
 _FDD = O.with_ctes(O.BARS_D, O.features("bars_d", "feat_d"), O.stress_days_ctes())
@@ -239,7 +242,7 @@ _FDD = O.with_ctes(O.BARS_D, O.features("bars_d", "feat_d"), O.stress_days_ctes(
 @register("stress_days", O.final(_FDD + " SELECT * FROM sdays", ["date", "btc_daily_vol", "is_stress"],
                                  ["btc_daily_vol"]))
 def q_stress_days(spark, sf_dir):
-    return S.stress_days(features_d(spark, sf_dir))
+    return S.stress_days(features_d(spark, sf_dir), STRESS_TEST)
 
 
 _QD = [c for c in O.QUALITY_COLS if c != "n_bars"]
@@ -253,7 +256,7 @@ SELECT tier, is_stress, {O.QUALITY_SQL} FROM lab GROUP BY tier, is_stress""",
             ["tier", "is_stress"] + O.QUALITY_COLS, _QD),
 )
 def q_stress_compare(spark, sf_dir):
-    return S.stress_compare(features_d(spark, sf_dir))
+    return S.stress_compare(features_d(spark, sf_dir), STRESS_TEST)
 
 
 @register(
@@ -265,7 +268,7 @@ SELECT tier, {O.QUALITY_SQL} FROM lab GROUP BY tier""",
             ["tier"] + O.QUALITY_COLS, _QD),
 )
 def q_stress_day_summary(spark, sf_dir):
-    return S.stress_day_summary(features_d(spark, sf_dir))
+    return S.stress_day_summary(features_d(spark, sf_dir), STRESS_TEST)
 
 
 # ---------------------------------------------------------------- step 6-7: shocks and lags
@@ -273,7 +276,7 @@ from tickstat.operators import shock as K  # noqa: E402
 
 # Test parameters (FIXTURES.md section 5): the reference's lags, read as hours on
 # the hourly fixture; q 0.95; reliability 40 / 280; minimum shock observations 45.
-SHOCK_TEST = K.ShockParams(q=0.95, unit="hours", min_shock=40, min_noshock=280)
+SHOCK_TEST = K.ShockParams(q=0.95, unit="hours", min_shock=40, min_noshock=280, exact=True)
 MIN_OBS_TEST = 45
 
 _FE = O.with_ctes(O.BARS_E, O.features("bars_e", "feat_e"), O.shock_ctes())
@@ -362,13 +365,13 @@ def q_best_metric_absmax(spark, sf_dir):
     SELECT 'delta_illiq', count(*), avg(lag), quantile_disc(lag, 0.5), quantile_disc(lag, 0.25), quantile_disc(lag, 0.75)
     FROM best_delta_illiq""", ["metric", "n_symbols", "mean_lag", "median_lag", "p25_lag", "p75_lag"], ["mean_lag"]))
 def q_lag_stats(spark, sf_dir):
-    return K.lag_summary(_effects_e(spark, sf_dir), MIN_OBS_TEST)[0]
+    return K.lag_summary(_effects_e(spark, sf_dir), MIN_OBS_TEST, exact=True)[0]
 
 
 @register("lag_hist", _FEB + """ SELECT lag, count(*) AS count_symbols, 'delta_vol' AS metric FROM best_delta_vol GROUP BY lag
     UNION ALL SELECT lag, count(*), 'delta_illiq' FROM best_delta_illiq GROUP BY lag""")
 def q_lag_hist(spark, sf_dir):
-    return K.lag_summary(_effects_e(spark, sf_dir), MIN_OBS_TEST)[1]
+    return K.lag_summary(_effects_e(spark, sf_dir), MIN_OBS_TEST, exact=True)[1]
 
 
 @register("leveraged_regex", O.with_ctes(O.BARS_D) + f""" SELECT DISTINCT symbol,
@@ -382,7 +385,7 @@ def q_leveraged_regex(spark, sf_dir):
 from tickstat.operators import beta as B  # noqa: E402
 
 # Test parameters (FIXTURES.md section 5): minimum rows 850, regime minimum 230, hyper quantile 0.75.
-BETA_TEST = B.BetaParams(min_rows=850, regime_min=230, hyper_q=0.75)
+BETA_TEST = B.BetaParams(min_rows=850, regime_min=230, hyper_q=0.75, exact=True)
 _FDB = O.with_ctes(O.BARS_D, O.features("bars_d", "feat_d"), O.beta_ctes())
 
 
@@ -461,7 +464,7 @@ def q_hyper(spark, sf_dir):
                                     ["regime", "n_symbols", "avg_beta", "median_beta", "p95_beta", "p05_beta"],
                                     ["avg_beta", "median_beta", "p95_beta", "p05_beta"]))
 def q_regime_summary(spark, sf_dir):
-    return B.beta_regime_summary(B.betas_by_regime(_betas_d(spark, sf_dir)))
+    return B.beta_regime_summary(B.betas_by_regime(_betas_d(spark, sf_dir)), exact=True)
 
 
 # ---------------------------------------------------------------- step 9: distributions and samples
@@ -480,7 +483,7 @@ SELECT tier, """ + ", ".join(
     for s, cond in (("stress", "is_stress = true"), ("calm", "is_stress = false"), ("unknown", "is_stress IS NULL")))
     + " FROM cmp GROUP BY tier", _PLOT_COLS, _PLOT_COLS[1:]))
 def q_plot_table(spark, sf_dir):
-    return Dd.plot_table(S.stress_compare(features_d(spark, sf_dir)))
+    return Dd.plot_table(S.stress_compare(features_d(spark, sf_dir), STRESS_TEST))
 
 
 _BOX_COLS = ["tier", "is_stress", "metric", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi"]
@@ -506,7 +509,7 @@ FROM qs JOIN st ON qs.tier = st.tier AND qs.is_stress IS NOT DISTINCT FROM st.is
 WHERE st.v IS NOT NULL
 GROUP BY qs.tier, qs.is_stress, qs.metric""", _BOX_COLS, ["q1", "median", "q3", "whisker_lo", "whisker_hi"]))
 def q_box_stats(spark, sf_dir):
-    return Dd.box_stats(S.label_stress_minutes(features_d(spark, sf_dir)))
+    return Dd.box_stats(S.label_stress_minutes(features_d(spark, sf_dir), STRESS_TEST), exact=True)
 
 
 @register("sample_uniform", None, "rows-only: Bernoulli sample, fraction 0.001, seed 42")
@@ -516,7 +519,7 @@ def q_sample_uniform(spark, sf_dir):
 
 @register("sample_stratified", None, "rows-only: sampleBy per tier x stress state, seed 42")
 def q_sample_stratified(spark, sf_dir):
-    lab = S.label_stress_minutes(features_d(spark, sf_dir))
+    lab = S.label_stress_minutes(features_d(spark, sf_dir), STRESS_TEST)
     strata = [f"{t}|{s}" for t in ("LARGE_CAP", "SMALL_CAP") for s in ("true", "false", "null")]
     return Dd.sample_stratified(lab, ["tier", "is_stress"], 0.01, 42, strata).select(
         "symbol", "open_time", "tier", "is_stress")
@@ -638,7 +641,7 @@ SELECT jj.symbol, jj.open_time, jj.number_of_trades, jj.trade_jump, th.jump_thre
        jj.trade_jump >= th.jump_threshold AS is_jump
 FROM jj LEFT JOIN th ON jj.symbol = th.symbol""")
 def q_intensity_jump(spark, sf_dir):
-    return X.intensity_jumps(features_e(spark, sf_dir), q=0.95)
+    return X.intensity_jumps(features_e(spark, sf_dir), q=0.95, exact=True)
 
 
 _XC_LAGS = (0, 1, 2, 3, 6, 12)
@@ -691,7 +694,7 @@ SELECT metric, large_ratio, small_ratio, small_ratio / large_ratio AS small_over
 @register("degradation_ratio", O.final(_deg_sql(), ["metric", "large_ratio", "small_ratio", "small_over_large"],
                                        ["large_ratio", "small_ratio", "small_over_large"]))
 def q_degradation_ratio(spark, sf_dir):
-    return X.degradation_ratio(S.stress_compare(features_d(spark, sf_dir)), _DEG_METRICS)
+    return X.degradation_ratio(S.stress_compare(features_d(spark, sf_dir), STRESS_TEST), _DEG_METRICS)
 
 
 _VAR_H = 3

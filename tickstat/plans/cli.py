@@ -45,7 +45,7 @@ def build_parser() -> argparse.ArgumentParser:
     a.add_argument("--out", required=True)
     a.add_argument("--max-files", type=int, default=None)
     for p in (sub.choices["stress"], sub.choices["shock"], sub.choices["beta"], a):
-        p.add_argument("--approx", action="store_true", help="percentile_approx instead of exact quantiles")
+        p.add_argument("--exact", action="store_true", help="exact quantiles instead of percentile_approx")
     for p in (sub.choices["stress"], a):
         p.add_argument("--stress-q", type=float, default=0.95)
         p.add_argument("--large-caps", type=_names, default=None, help="comma list (default BTC,ETH)")
@@ -65,19 +65,19 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def _stress(a) -> S.StressParams:
-    kw = dict(q=a.stress_q, exact=not a.approx)
+    kw = dict(q=a.stress_q, exact=a.exact)
     if a.large_caps:
         kw["large_caps"] = a.large_caps
     return S.StressParams(**kw)
 
 
 def _shock(a) -> K.ShockParams:
-    return K.ShockParams(q=a.shock_q, lags=a.lags, receivers=a.receivers, exact=not a.approx)
+    return K.ShockParams(q=a.shock_q, lags=a.lags, receivers=a.receivers, exact=a.exact)
 
 
 def _beta(a) -> B.BetaParams:
     return B.BetaParams(min_rows=a.min_rows, hyper_q=a.hyper_q, bull=a.bull, bear=a.bear,
-                        btc_symbol=a.btc_symbol, exact=not a.approx)
+                        btc_symbol=a.btc_symbol, exact=a.exact)
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
