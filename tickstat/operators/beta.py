@@ -164,6 +164,11 @@ def hyper_sensitive(overall: DataFrame, p: BetaParams = BetaParams()) -> DataFra
 def beta_regime_summary(by_regime: DataFrame, exact: bool = False, accuracy: int = 10000) -> DataFrame:
     """Per regime, number of symbols and mean / p05 / median / p95 beta."""
     nn = by_regime.where(F.col("beta").isNotNull())
+    if not exact:
+        return nn.groupBy("regime").agg(
+            F.count(F.lit(1)).alias("n_symbols"), F.avg("beta").alias("avg_beta"),
+            *[F.percentile_approx("beta", p, accuracy).alias(n)
+              for n, p in (("median_beta", 0.5), ("p95_beta", 0.95), ("p05_beta", 0.05))])
     base = nn.groupBy("regime").agg(F.count(F.lit(1)).alias("n_symbols"), F.avg("beta").alias("avg_beta"))
     q = quantiles(nn, "beta", {"median_beta": 0.5, "p95_beta": 0.95, "p05_beta": 0.05}, ["regime"],
                   exact=exact, accuracy=accuracy)

@@ -90,14 +90,23 @@ def market_quality(df: DataFrame, keys: Sequence[str], exact: bool = False, accu
     stress) is its own group; the two small results join null-safely.
     """
     keys = list(keys)
-    base = df.groupBy(*keys).agg(
+    means = [
         F.count(F.lit(1)).alias("n_bars"),
         F.avg("quote_asset_volume").alias("avg_quote_volume"),
         F.avg("amihud_illiq").alias("avg_amihud"),
         F.avg(F.col("zero_volume_flag").cast("double")).alias("zero_volume_ratio"),
         F.avg("parkinson_var_1m").alias("avg_parkinson_vol"),
         F.avg(F.abs("log_return")).alias("avg_abs_return"),
-    )
+    ]
+    if not exact:
+        # sketches are ordinary mergeable aggregates: one pass, one shuffle
+        return df.groupBy(*keys).agg(
+            *means,
+            F.percentile_approx(F.col("quote_asset_volume").cast("double"), 0.5, accuracy).alias("median_quote_volume"),
+            F.percentile_approx(F.col("amihud_illiq").cast("double"), 0.95, accuracy).alias("p95_amihud"),
+            F.percentile_approx(F.col("parkinson_var_1m").cast("double"), 0.95, accuracy).alias("p95_parkinson_vol"),
+        ).select(*keys, *QUALITY_METRICS)
+    base = df.groupBy(*keys).agg(*means)
     stacked = df.select(
         *keys,
         F.explode(F.array(
