@@ -115,3 +115,13 @@ def test_lag_effects_broadcast_and_shuffle_paths_agree(spark, sf_small):
         for c in x.asDict():
             u, v = x[c], y[c]
             assert (u == v) or (isinstance(u, float) and abs(u - v) <= 1e-12 * max(1.0, abs(u)))
+
+
+def test_previous_values_equals_lag(spark):
+    from tickstat.operators.series import previous_values
+
+    df = _series(spark, seed=9).withColumn("u", F.col("v") * 2)
+    w = Window.partitionBy("symbol").orderBy("open_time")
+    plain = df.withColumn("pv", F.lag("v").over(w)).withColumn("pu", F.lag("u").over(w))
+    ours = previous_values(df, ["v", "u"], ["pv", "pu"])
+    assert plain.exceptAll(ours.select(*plain.columns)).count() == 0 and ours.count() == plain.count()

@@ -17,7 +17,7 @@ from tickstat.functions.bars import guarded_div
 from tickstat.functions.symbols import LARGE, LARGE_CAP_TWO, MID, SMALL
 from tickstat.operators.joins import broadcast_if_small
 from tickstat.operators.quantiles import quantiles
-from tickstat.operators.series import last_known, previous_value, rolling, running_total
+from tickstat.operators.series import last_known, previous_value, previous_values, rolling, running_total
 
 
 # ------------------------------------------------------------------ N1, N2, N5: bars
@@ -205,8 +205,7 @@ def var1_irf(joined: DataFrame, horizon: int = 5, min_n: int = 3, y: str = "ret"
 
     z_t = c + A z_{t-1}; each equation is OLS on (y_{t-1}, x_{t-1}). The lags
     are previous rows of the joined series (bucketed, see series.py)."""
-    d = previous_value(joined.select("symbol", "open_time", y, x), y, "_y1", unit=unit)
-    d = previous_value(d, x, "_x1", unit=unit).where(
+    d = previous_values(joined.select("symbol", "open_time", y, x), [y, x], ["_y1", "_x1"], unit=unit).where(
         F.col(y).isNotNull() & F.col(x).isNotNull() & F.col("_y1").isNotNull() & F.col("_x1").isNotNull())
     m = d.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"),

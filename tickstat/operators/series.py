@@ -36,22 +36,34 @@ def previous_value(
     Same result as ``lag(value, 1) OVER (PARTITION BY key ORDER BY ts)``: the
     previous *row*, not the previous minute, so a gap gives a longer return.
     """
+    return previous_values(df, [value], [out], key, ts, unit)
+
+
+def previous_values(
+    df: DataFrame,
+    values: list[str],
+    outs: list[str],
+    key: str = "symbol",
+    ts: str = "open_time",
+    unit: str = "month",
+) -> DataFrame:
+    """``previous_value`` for several columns in one window pass and one carry join."""
     b = "_bucket"
     x = df.withColumn(b, time_bucket(ts, unit))
     w = Window.partitionBy(key, b).orderBy(ts)
-    x = x.withColumn("_lag_in", F.lag(value, 1).over(w)).withColumn("_is_first", F.row_number().over(w) == 1)
-    # last value of each (key, bucket) straight from the input: a column-pruned
+    for i, v in enumerate(values):
+        x = x.withColumn(f"_lag_in{i}", F.lag(v, 1).over(w))
+    x = x.withColumn("_is_first", F.row_number().over(w) == 1)
+    # last row of each (key, bucket) straight from the input: a column-pruned
     # scan whose partial aggregate leaves one row per (key, bucket) per task,
     # so this branch shuffles almost nothing; then the previous non-empty
-    # bucket's last value
-    last = x.groupBy(key, b).agg(F.max_by(value, ts).alias("_last"))
-    carry = last.select(
-        key, b, F.lag("_last", 1).over(Window.partitionBy(key).orderBy(b)).alias("_carry")
-    )
+    # bucket's last row
+    last = x.groupBy(key, b).agg(F.max_by(F.struct(*[F.col(v) for v in values]), ts).alias("_last"))
+    carry = last.select(key, b, F.lag("_last", 1).over(Window.partitionBy(key).orderBy(b)).alias("_carry"))
     x = x.join(carry, [key, b], "left")
-    return x.withColumn(
-        out, F.when(F.col("_is_first"), F.col("_carry")).otherwise(F.col("_lag_in"))
-    ).drop(b, "_lag_in", "_is_first", "_carry")
+    for i, (v, o) in enumerate(zip(values, outs)):
+        x = x.withColumn(o, F.when(F.col("_is_first"), F.col(f"_carry.{v}")).otherwise(F.col(f"_lag_in{i}")))
+    return x.drop(b, "_is_first", "_carry", *[f"_lag_in{i}" for i in range(len(values))])
 
 
 def running_total(
