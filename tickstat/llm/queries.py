@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate as D
+from . import jaccard as J
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.jaccard_classes(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_jaccard": op5_jaccard,
     "op10_decontaminate": op10_decontaminate,
 }

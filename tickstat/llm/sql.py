@@ -22,6 +22,22 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+OP5 = r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS s FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE least(na.n, nb.n) * 100 >= 90 * greatest(na.n, nb.n)
+  GROUP BY x, y, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+SELECT dw.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(min(y), dw.doc_id) AS BIGINT) AS component_id
+FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.x = dw.doc_id GROUP BY dw.doc_id, n.n
+"""
+
 SQL: dict[str, str] = {
+    "op5_jaccard": OP5,
     "op10_decontaminate": OP10,
 }
