@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate as D
 from . import jaccard as J
+from . import toxicity as X
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +20,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.jaccard_classes(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
     "op5_jaccard": op5_jaccard,
     "op10_decontaminate": op10_decontaminate,
 }
