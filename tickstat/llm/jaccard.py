@@ -217,7 +217,7 @@ class _Lists:
             a, b = same, same + step
             num, den = self.num, self.den
             ok = np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
-            ok &= np.bitwise_count(maps[a] ^ maps[b]) * (den + num) <= (size[a] + size[b]) * (den - num)
+            ok &= np.bitwise_count(maps[a] ^ maps[b]).astype(np.int64) * (den + num) <= (size[a] + size[b]) * (den - num)
             yield ids[a[ok]], ids[b[ok]]
 
     def long(self, ids, maps, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
