@@ -45,9 +45,9 @@ class Params:
     epochs: int = 5
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.002
+    l1: float = 0.006
     l2: float = 0.0
-    positive: float = 3.0
+    positive: float = 2.0
 
 
 def features(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
