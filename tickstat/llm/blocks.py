@@ -77,9 +77,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of codes[start:end] for each span; codes are byte codes."""
-    size = max(BLOCK_BYTES, 1 << int(len(codes)).bit_length())
-    up, down = _powers(size)
+    """Hash of codes[start:end] for each span, in order of start; codes are byte codes."""
+    if len(codes) > BLOCK_BYTES and len(start) > 1:  # in parts, so that the tables of powers stay small
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK_BYTES, side="right")))
+            base = start[i]
+            out[i:j] = span_hashes(codes[base : end[j - 1]], start[i:j] - base, end[i:j] - base)
+            i = j
+        return out
+    up, down = _powers(BLOCK_BYTES if len(codes) <= BLOCK_BYTES else 1 << int(len(codes)).bit_length())
     prefix = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_VALUES[codes] * up[: len(codes)], out=prefix[1:])
     return mix((prefix[end] - prefix[start]) * down[start])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe as E
 from . import decontaminate as D
 from . import jaccard as J
 from . import pii as P
@@ -21,6 +22,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.encode(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = P.spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -37,6 +42,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op5_jaccard": op5_jaccard,
