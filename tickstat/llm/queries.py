@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe as E
 from . import decontaminate as D
+from . import idfiles as I
 from . import jaccard as J
 from . import pii as P
 from . import toxicity as X
@@ -37,6 +38,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = I.new_folder(spark)
+    I.write_ids(table(spark, sf_dir, "documents"), folder)
+    return I.checksums(spark, folder)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.jaccard_classes(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
 
@@ -45,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_token_ids": op4_token_ids,
     "op5_jaccard": op5_jaccard,
     "op10_decontaminate": op10_decontaminate,
 }
