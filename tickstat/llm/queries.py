@@ -11,12 +11,18 @@ from . import decontaminate as D
 from . import idfiles as I
 from . import jaccard as J
 from . import pii as P
+from . import shards as S
 from . import toxicity as X
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = S.by_bytes(table(spark, sf_dir, "documents"), 40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -54,5 +60,6 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_ids": op4_token_ids,
     "op5_jaccard": op5_jaccard,
+    "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
 }
