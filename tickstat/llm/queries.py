@@ -10,6 +10,7 @@ from . import bpe as E
 from . import decontaminate as D
 from . import idfiles as I
 from . import jaccard as J
+from . import licenses as L
 from . import pii as P
 from . import shards as S
 from . import toxicity as X
@@ -18,6 +19,11 @@ from .store import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = S.by_bytes(table(spark, sf_dir, "documents"), 40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_ids": op4_token_ids,
     "op5_jaccard": op5_jaccard,
+    "op7_licenses": op7_licenses,
     "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
 }
