@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe as E
 from . import decontaminate as D
+from . import htmltext as H
 from . import idfiles as I
 from . import jaccard as J
 from . import licenses as L
@@ -19,6 +20,10 @@ from .store import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = L.scan(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_ids": op4_token_ids,
     "op5_jaccard": op5_jaccard,
+    "op6_main_text": op6_main_text,
     "op7_licenses": op7_licenses,
     "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
