@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe as E
 from . import decontaminate as D
+from . import hnsw as N
 from . import htmltext as H
 from . import idfiles as I
 from . import jaccard as J
@@ -29,6 +30,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return N.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = S.by_bytes(table(spark, sf_dir, "documents"), 40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op5_jaccard": op5_jaccard,
     "op6_main_text": op6_main_text,
     "op7_licenses": op7_licenses,
+    "op8_neighbours": op8_neighbours,
     "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
 }
