@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks as B
-from .store import stored
+from .store import stored, without
 
 GRAM = 5
 WINDOW = 10
@@ -212,5 +212,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns: str) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", **columns: str) -> DataFrame:
     """The documents without any hit, all columns as they are (a document whose id is null has no match)."""
-    bad = stored(matches(docs, benchmark, doc_id=doc_id, **columns).where(F.col("item_id").isNotNull()).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+    return without(docs, doc_id, matches(docs, benchmark, doc_id=doc_id, **columns).where(F.col("item_id").isNotNull()).select("doc_id").distinct())

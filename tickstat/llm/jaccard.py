@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
 from .components import components
-from .store import stored
+from .store import stored, without
 
 #: Columns of a row in one block: at least this many, under twice as many.
 BLOCK = 32
@@ -411,5 +411,4 @@ def jaccard_classes(docs: DataFrame, *, doc_id="doc_id", text="text", words: int
 def without_copies(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
     """One document of each class (the smallest id), all columns as they are.
     Rows with a null id stay."""
-    gone = stored(jaccard_classes(docs, doc_id=doc_id, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    return without(docs, doc_id, jaccard_classes(docs, doc_id=doc_id, **options).where("component_id <> doc_id").select("doc_id").distinct())

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickstat.session import ensure_checkpoint_dir
 
@@ -29,3 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Up to so many ids (16 MB of integers) are sent to the tasks; more are joined by a shuffle.
+MOST_SENT = 2_000_000
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key isn't in ``gone`` (one column); rows with a null key stay."""
+    gone = stored(gone.toDF("_gone"), "gone")
+    if gone.count() <= MOST_SENT:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
