@@ -7,7 +7,7 @@ whatever the corpus). The smallest feasible shard capacity is found by binary
 search: a capacity is feasible if filling shards greedily in order, opening the
 next one when a range doesn't fit, needs no more than the wanted number. The
 order is cut under that capacity, at the feasible places nearest to even
-shares; a group larger than two shares has a shard of its own.
+shares; a group larger than a share has a shard of its own.
 
 Slots number the rows of a shard without gaps. A range whose rows are many
 (a hot group of copies, say) is dealt over several salts by document id, so
@@ -66,7 +66,7 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
         return []
     before, n = [0, *accumulate(sizes)], len(sizes)
     most = capacity(sizes, shards)
-    if most == max(sizes) and most * shards > 2 * before[-1]:
+    if most == max(sizes) and most * shards > before[-1]:
         i = sizes.index(most)
         left, right = sizes[:i], sizes[i + 1 :]
         worst = lambda k: [c if (c := capacity(*x)) is not None else before[-1] + 1 for x in ((left, k), (right, shards - 1 - k))]
