@@ -38,6 +38,5 @@ MOST_SENT = 2_000_000
 def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """The rows whose key isn't in ``gone`` (one column); rows with a null key stay."""
     gone = stored(gone.toDF("_gone"), "gone")
-    if gone.count() <= MOST_SENT:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    few = gone.count() <= MOST_SENT
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["_gone"], "left_anti")
