@@ -15,26 +15,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 SIG_DIGITS = 9
-_MIN_EXP = -16
-_MAX_EXP = 15
+_STEP = 16
+#: 10^k is the product of a coarse and a fine power; together they reach over all of a double's range.
+_COARSE = range(-304, 305, _STEP)
 
 
 def round_sig_sql(expr: str, digits: int = SIG_DIGITS, dialect: str = "spark") -> str:
     """SQL text rounding ``expr`` (a double) to ``digits`` significant digits.
 
-    The decimal exponent e = floor(log10|x|) (clamped) picks the factor
-    10^(digits-1-e) from a literal array; rounding is
-    ``floor(x * f + 0.5) / f`` in IEEE arithmetic, identical in both engines.
-    Only the array indexing differs between the dialects.
+    The decimal exponent e = floor(log10|x|) gives k = digits-1-e, and 10^k is
+    taken as 10^(16 a) * 10^b from two literal arrays; rounding is
+    ``floor(x * f * g + 0.5) / g / f`` in IEEE arithmetic, identical in both
+    engines. Only the array indexing differs between the dialects. Values
+    under the smallest normal double (2.3e-308) count as zero.
     """
     x = f"({expr})"
-    exps = list(range(_MAX_EXP, _MIN_EXP - 1, -1))
-    arr = ", ".join(f"1e{digits - 1 - e}" for e in exps)
-    e = f"least(greatest(floor(log10(greatest(abs({x}), 1e-300))), {_MIN_EXP}), {_MAX_EXP})"
-    idx = f"CAST({_MAX_EXP} - {e} + 1 AS INTEGER)"
-    fac = f"element_at(array({arr}), {idx})" if dialect == "spark" else f"list_extract([{arr}], {idx})"
-    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN 0.0 WHEN isnan({x}) THEN {x} "
-            f"ELSE floor({x} * {fac} + 0.5) / {fac} END")
+    get = "element_at(array({0}), {1})" if dialect == "spark" else "list_extract([{0}], {1})"
+    k = f"CAST({digits - 1} - floor(log10(greatest(abs({x}), 2.3e-308))) AS INTEGER)"
+    a = f"CAST(floor({k} / {float(_STEP)}) AS INTEGER)"
+    coarse = get.format(", ".join(f"1e{p}" for p in _COARSE), f"least({a}, {304 // _STEP}) + {304 // _STEP + 1}")
+    fine = get.format(", ".join(f"1e{p}" for p in range(2 * _STEP)), f"{k} - {_STEP} * least({a}, {304 // _STEP}) + 1")
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN abs({x}) < 2.3e-308 THEN 0.0 WHEN isnan({x}) OR abs({x}) > 1e300 THEN {x} "
+            f"ELSE floor({x} * {coarse} * {fine} + 0.5) / {fine} / {coarse} END")
 
 
 def round_sig(col_name: str, digits: int = SIG_DIGITS) -> Column:

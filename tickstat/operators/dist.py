@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickstat.operators.quantiles import quantiles
@@ -61,25 +61,37 @@ def box_stats(labelled: DataFrame, keys: Sequence[str] = ("tier", "is_stress"),
     )
 
 
-def sample_uniform(df: DataFrame, fraction: float = 0.001, seed: int = 42, cap: int | None = None) -> DataFrame:
-    """Bernoulli sample without replacement; optional row cap (the
-    sampling feature itself)."""
-    s = df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    return s.limit(cap) if cap else s
+def hash_limit(fraction: float) -> str:
+    """First eight hex digits below which a share ``fraction`` of all hashes lies."""
+    return f"{min(max(int(fraction * (1 << 32)), 0), (1 << 32) - 1):08x}" if fraction < 1 else "g"
 
 
-def sample_stratified(df: DataFrame, keys: Sequence[str], fractions: Mapping[str, float] | float = 0.001,
-                      seed: int = 42, strata: Sequence[str] | None = None) -> DataFrame:
-    """Per-stratum sample (``sampleBy``) on a combined key ``k1|k2``; null
-    key parts read as 'null'. A single float applies to every stratum listed
-    in ``strata``."""
-    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-    x = df.withColumn("_stratum", key)
+def _row_hash(key: Sequence[str], seed: int) -> Column:
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+
+
+def sample_uniform(df: DataFrame, key: Sequence[str], fraction: float = 0.001, seed: int = 42, cap: int | None = None) -> DataFrame:
+    """Uniform sample without replacement, and an optional row cap (the
+    sampling feature itself). A row is kept by the hash of its key and the
+    seed, so the sample depends neither on file splits nor on partitions; the
+    cap keeps the smallest hashes."""
+    h = _row_hash(key, seed)
+    kept = df.where(F.substring(h, 1, 8) < hash_limit(fraction))
+    return kept.orderBy(h, *key).limit(cap) if cap else kept
+
+
+def sample_stratified(df: DataFrame, key: Sequence[str], strata: Sequence[str], fractions: Mapping[str, float] | float = 0.001,
+                      seed: int = 42) -> DataFrame:
+    """Per-stratum sample on a combined key ``k1|k2``; null key parts read
+    as 'null'. A single float applies to every stratum; strata that a mapping
+    doesn't list are left out."""
     if not isinstance(fractions, Mapping):
-        if strata is None:
-            raise ValueError("give the strata when fractions is a single number")
-        fractions = {s: float(fractions) for s in strata}
-    return x.sampleBy("_stratum", dict(fractions), seed).drop("_stratum")
+        return sample_uniform(df, key, float(fractions), seed)
+    stratum = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in strata])
+    limit = F.lit("")
+    for name, fraction in fractions.items():
+        limit = F.when(stratum == name, hash_limit(fraction)).otherwise(limit)
+    return df.where(F.substring(_row_hash(key, seed), 1, 8) < limit)
 
 
 def distribution_summary(labelled: DataFrame, compare: DataFrame | None = None, exact: bool = False):

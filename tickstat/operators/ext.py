@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,9 +26,14 @@ def trades_to_bars(trades: DataFrame, width: str = "1 minute") -> DataFrame:
     candles. Open / close are the first / last trade by (time, id); the buyer
     is the taker when it is not the maker. Every aggregate is partial, so a
     hot (symbol, minute) is folded map-side."""
+    return trades.groupBy("symbol", F.window("time", width).start.alias("open_time")).agg(*bar_aggregates())
+
+
+def bar_aggregates() -> list[Column]:
+    """The columns of a bar over the trades of its group (batch and streaming)."""
     order = F.struct("time", "id")
     taker = ~F.col("is_buyer_maker")
-    return trades.groupBy("symbol", F.window("time", width).start.alias("open_time")).agg(
+    return [
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -38,7 +43,7 @@ def trades_to_bars(trades: DataFrame, width: str = "1 minute") -> DataFrame:
         F.count(F.lit(1)).alias("number_of_trades"),
         F.sum(F.when(taker, F.col("qty")).otherwise(F.lit(0.0))).alias("taker_buy_base_asset_volume"),
         F.sum(F.when(taker, F.col("quote_qty")).otherwise(F.lit(0.0))).alias("taker_buy_quote_asset_volume"),
-    )
+    ]
 
 
 def resample(bars: DataFrame, width: str = "5 minutes") -> DataFrame:
@@ -120,9 +125,9 @@ def realized_vol(features: DataFrame) -> DataFrame:
 
 def drawdown(features: DataFrame, threshold: float = 0.2, unit: str = "month") -> DataFrame:
     """Close / running maximum close - 1, and a stress flag when the
-    drawdown is <= -threshold."""
+    drawdown is <= -threshold. Both are null while the peak is zero."""
     x = running_total(features.select("symbol", "open_time", "close"), "close", "_peak", "max", unit=unit)
-    dd = F.col("close") / F.col("_peak") - F.lit(1.0)
+    dd = guarded_div(F.col("close"), F.col("_peak")) - F.lit(1.0)
     return x.select("symbol", "open_time", "close", dd.alias("drawdown"),
                     (dd <= F.lit(-threshold)).alias("is_drawdown_stress"))
 
@@ -176,8 +181,11 @@ def cross_correlation(features: DataFrame, driver: str = "BTC-USDT", lags: Seque
         F.explode(F.array(*[F.lit(int(k)) for k in lags])).alias("lag"), "open_time", F.col(x).cast("double").alias("_x"))
     drv = drv.select("lag", F.timestamp_add(unit, F.col("lag"), F.col("open_time")).alias("open_time"), "_x")
     rec = features.where(F.col("symbol") != driver).select("symbol", "open_time", F.col(y).alias("_y"))
-    return rec.join(drv, "open_time").groupBy("symbol", "lag").agg(
-        F.count(F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), 1)).alias("n"),
+    # moments of complete pairs only: each series is masked where the other is null
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    pairs = rec.join(drv, "open_time").select("symbol", "lag", F.when(both, F.col("_x")).alias("_x"), F.when(both, F.col("_y")).alias("_y"))
+    return pairs.groupBy("symbol", "lag").agg(
+        F.count("_x").alias("n"),
         # Pearson r from population moments; null (not an ANSI divide error)
         # when either series is constant in the group
         guarded_div(F.covar_pop("_x", "_y"), F.sqrt(F.var_pop("_x") * F.var_pop("_y"))).alias("corr"))
@@ -215,7 +223,8 @@ def var1_irf(joined: DataFrame, horizon: int = 5, min_n: int = 3, y: str = "ret"
         F.covar_pop("_y1", x).alias("sux"), F.covar_pop("_x1", x).alias("svx"),
     ).where(F.col("n") >= min_n)
     det = F.col("suu") * F.col("svv") - F.col("suv") * F.col("suv")
-    ok = F.abs(det) > F.lit(1e-30)
+    # relative to the product of the variances, so independent of the price unit
+    ok = F.abs(det) > F.lit(1e-12) * F.col("suu") * F.col("svv")
 
     def coef(a, b, c, e):  # (a*b - c*e) / det
         return F.when(ok, (F.col(a) * F.col(b) - F.col(c) * F.col(e)) / det)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickstat.functions.symbols import LARGE_CAP_TWO, tier
+from tickstat.functions.symbols import LARGE_CAP_LIST, LARGE_CAP_TWO, tier
 from tickstat.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 from tickstat.operators.quantiles import quantile_value, quantiles
 
@@ -19,7 +19,8 @@ class StressParams:
     btc_prefix: str = "BTC-"         # minute grain: BTC pairs by symbol prefix
     preferred: str = "BTC-USDT"      # pair preferred when several trade in a minute
     btc_base: str = "BTC"            # day grain: BTC pairs by base asset
-    large_caps: tuple = LARGE_CAP_TWO
+    large_caps: tuple = LARGE_CAP_LIST      # tiers of the minute comparison
+    day_large_caps: tuple = LARGE_CAP_TWO   # tiers of the stress-day summary
     exact: bool = False              # percentile_approx (as the reference); True = exact selection
     # approximate mode: relative error 1/accuracy, as the reference used per step
     accuracy: int = 10000            # minute stress threshold and market-quality quantiles
@@ -158,4 +159,4 @@ def label_stress_days(features: DataFrame, p: StressParams = StressParams()) ->
 
 def stress_day_summary(features: DataFrame, p: StressParams = StressParams()) -> DataFrame:
     """M9: metrics by tier over bars on stress days."""
-    return market_quality(with_tier(label_stress_days(features, p), p.large_caps), ["tier"], p.exact, p.accuracy)
+    return market_quality(with_tier(label_stress_days(features, p), p.day_large_caps), ["tier"], p.exact, p.accuracy)

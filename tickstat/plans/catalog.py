@@ -251,7 +251,7 @@ _QD = [c for c in O.QUALITY_COLS if c != "n_bars"]
 @register(
     "stress_compare",
     O.final(_FDS + f""",
-lab AS (SELECT f.*, {O.tier_case()} AS tier, sm.is_stress FROM feat_d f LEFT JOIN sm ON f.open_time = sm.open_time)
+lab AS (SELECT f.*, {O.tier_case('base_asset', LARGE_CAP_LIST)} AS tier, sm.is_stress FROM feat_d f LEFT JOIN sm ON f.open_time = sm.open_time)
 SELECT tier, is_stress, {O.QUALITY_SQL} FROM lab GROUP BY tier, is_stress""",
             ["tier", "is_stress"] + O.QUALITY_COLS, _QD),
 )
@@ -471,7 +471,7 @@ def q_regime_summary(spark, sf_dir):
 from tickstat.operators import dist as Dd  # noqa: E402
 
 _LAB = _FDS + f""",
-lab AS (SELECT f.*, {O.tier_case()} AS tier, sm.is_stress FROM feat_d f LEFT JOIN sm ON f.open_time = sm.open_time)"""
+lab AS (SELECT f.*, {O.tier_case('base_asset', LARGE_CAP_LIST)} AS tier, sm.is_stress FROM feat_d f LEFT JOIN sm ON f.open_time = sm.open_time)"""
 _PLOT_COLS = ["tier"] + [f"{m}_{s}" for m in Dd.PLOT_METRICS for s in ("stress", "calm", "unknown")]
 
 
@@ -512,17 +512,30 @@ def q_box_stats(spark, sf_dir):
     return Dd.box_stats(S.label_stress_minutes(features_d(spark, sf_dir), STRESS_TEST), exact=True)
 
 
-@register("sample_uniform", None, "rows-only: Bernoulli sample, fraction 0.001, seed 42")
+_KEY_D = ("symbol", "open_time")
+_HASH_D = "md5(concat_ws('|', symbol, CAST(open_time AS VARCHAR), '42'))"
+
+
+@register("sample_uniform", O.final(_FDS + f" SELECT symbol, open_time, log_return FROM feat_d WHERE substr({_HASH_D}, 1, 8) < '{Dd.hash_limit(0.01)}'",
+                                    ["symbol", "open_time", "log_return"], ["log_return"]))
 def q_sample_uniform(spark, sf_dir):
-    return Dd.sample_uniform(features_d(spark, sf_dir), 0.001, 42).select("symbol", "open_time", "log_return")
+    return Dd.sample_uniform(features_d(spark, sf_dir), _KEY_D, 0.01, 42).select("symbol", "open_time", "log_return")
+
+
+@register("sample_cap", O.final(_FDS + f""" SELECT symbol, open_time, log_return FROM feat_d WHERE substr({_HASH_D}, 1, 8) < '{Dd.hash_limit(0.1)}'
+    ORDER BY {_HASH_D}, symbol, open_time LIMIT 50""", ["symbol", "open_time", "log_return"], ["log_return"]))
+def q_sample_cap(spark, sf_dir):
+    return Dd.sample_uniform(features_d(spark, sf_dir), _KEY_D, 0.1, 42, cap=50).select("symbol", "open_time", "log_return")
+
+
+_STRATA = {"LARGE_CAP|true": 0.5, "LARGE_CAP|false": 0.05, "SMALL_CAP|true": 0.2, "SMALL_CAP|false": 0.01}
 
 
-@register("sample_stratified", None, "rows-only: sampleBy per tier x stress state, seed 42")
+@register("sample_stratified", _LAB + " SELECT symbol, open_time, tier, is_stress FROM lab WHERE " + " OR ".join(
+    f"(tier = '{k.split('|')[0]}' AND is_stress = {k.split('|')[1]} AND substr({_HASH_D}, 1, 8) < '{Dd.hash_limit(f)}')" for k, f in _STRATA.items()))
 def q_sample_stratified(spark, sf_dir):
     lab = S.label_stress_minutes(features_d(spark, sf_dir), STRESS_TEST)
-    strata = [f"{t}|{s}" for t in ("LARGE_CAP", "SMALL_CAP") for s in ("true", "false", "null")]
-    return Dd.sample_stratified(lab, ["tier", "is_stress"], 0.01, 42, strata).select(
-        "symbol", "open_time", "tier", "is_stress")
+    return Dd.sample_stratified(lab, _KEY_D, ["tier", "is_stress"], _STRATA, 42).select("symbol", "open_time", "tier", "is_stress")
 
 
 # ---------------------------------------------------------------- step 11: README-declared extensions
@@ -614,8 +627,8 @@ def q_realized_vol(spark, sf_dir):
 
 
 @register("drawdown", O.final(O.with_ctes(O.BARS_D) + """ SELECT symbol, open_time, close,
-    close / max(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) - 1.0 AS drawdown,
-    close / max(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) - 1.0 <= -0.5
+    close / NULLIF(max(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING), 0) - 1.0 AS drawdown,
+    close / NULLIF(max(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING), 0) - 1.0 <= -0.5
       AS is_drawdown_stress
     FROM bars_d""", ["symbol", "open_time", "close", "drawdown", "is_drawdown_stress"], ["close", "drawdown"]))
 def q_drawdown(spark, sf_dir):
@@ -651,8 +664,9 @@ _XC_LAGS = (0, 1, 2, 3, 6, 12)
 lags AS (SELECT unnest([{', '.join(str(x) for x in _XC_LAGS)}]) AS lag)
 SELECT r.symbol, l.lag,
   count(CASE WHEN d.number_of_trades IS NOT NULL AND r.parkinson_var_1m IS NOT NULL THEN 1 END) AS n,
-  covar_pop(CAST(d.number_of_trades AS DOUBLE), r.parkinson_var_1m)
-    / NULLIF(sqrt(var_pop(CAST(d.number_of_trades AS DOUBLE)) * var_pop(r.parkinson_var_1m)), 0) AS corr
+  CASE WHEN coalesce(var_pop(CASE WHEN r.parkinson_var_1m IS NOT NULL THEN CAST(d.number_of_trades AS DOUBLE) END), 0) > 0
+        AND coalesce(var_pop(CASE WHEN d.number_of_trades IS NOT NULL THEN r.parkinson_var_1m END), 0) > 0
+       THEN corr(CAST(d.number_of_trades AS DOUBLE), r.parkinson_var_1m) END AS corr
 FROM feat_e r CROSS JOIN lags l
 JOIN feat_e d ON d.symbol = 'BTC-USDT' AND d.open_time = r.open_time - to_hours(l.lag)
 WHERE r.symbol <> 'BTC-USDT'
@@ -712,7 +726,7 @@ def _var_sql() -> str:
     for h, ln in enumerate(lines, 1):
         ctes.append(f"ir{h} AS (SELECT *, {ln} FROM {chain})")
         chain = f"ir{h}"
-    coef = "CASE WHEN abs(det) > 1e-30 THEN ({a} * {b} - {c} * {e}) / det END"
+    coef = "CASE WHEN abs(det) > 1e-12 * suu * svv THEN ({a} * {b} - {c} * {e}) / det END"
     return (_FDB + f""",
 v1 AS (SELECT symbol, open_time, ret, btc_ret, lag(ret) OVER w AS y1, lag(btc_ret) OVER w AS x1
        FROM j WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
@@ -745,4 +759,4 @@ def q_var1_irf(spark, sf_dir):
 def q_stream_bars(spark, sf_dir):
     from tickstat.streaming.bars import stream_event_bars
 
-    return stream_event_bars(spark, sf_dir, "1 hour", "2 hours")
+    return stream_event_bars(spark, sf_dir, "1 hour")

@@ -67,7 +67,7 @@ def build_parser() -> argparse.ArgumentParser:
 def _stress(a) -> S.StressParams:
     kw = dict(q=a.stress_q, exact=a.exact)
     if a.large_caps:
-        kw["large_caps"] = a.large_caps
+        kw["large_caps"] = kw["day_large_caps"] = a.large_caps
     return S.StressParams(**kw)
 
 

@@ -97,7 +97,11 @@ def _event_symbol() -> Column:
 
 def event_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as trades: id, price, qty, quote_qty, time, maker flag, symbol."""
-    ev = table(spark, sf_dir, "events")
+    return trades_of_events(table(spark, sf_dir, "events"))
+
+
+def trades_of_events(ev: DataFrame) -> DataFrame:
+    """Trades of an ``events`` table or stream."""
     qty = (F.col("user_id") % 10 + 1).cast("double")
     return ev.select(
         _event_symbol().alias("symbol"),

@@ -1,7 +1,7 @@
 """Trades arriving as files -> bars, with Structured Streaming.
 
-The aggregation is the batch ``trades_to_bars`` (N1) on an event-time window
-with a watermark, so state for closed bars is dropped. Output mode is
+The aggregation is the batch ``trades_to_bars`` (N1) on an event-time window;
+with a watermark, state for closed bars is dropped. Output mode is
 ``update`` through ``foreachBatch``: every micro-batch appends the bars it
 changed, tagged with the batch id, to a Parquet folder; a reader keeps the
 latest version of each bar. Unlike append mode this does not hold back the
@@ -18,31 +18,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickstat.functions.timecols import instant_to_ntz, ntz_to_instant
+from tickstat.operators.ext import bar_aggregates
 from tickstat.session import ensure_checkpoint_dir
+from tickstat.sources.fixtures import trades_of_events
 
 
-def stream_trades_to_bars(trades: DataFrame, width: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
-    """Streaming bars from a streaming trade DataFrame (event time ``time``)."""
-    order = F.struct("time", "id")
-    taker = ~F.col("is_buyer_maker")
-    return (
-        trades.withWatermark("time", watermark)
-        .groupBy("symbol", F.window("time", width).alias("w"))
-        .agg(
-            F.min_by("price", order).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", order).alias("close"),
-            F.sum("qty").alias("volume"),
-            F.sum("quote_qty").alias("quote_asset_volume"),
-            F.count(F.lit(1)).alias("number_of_trades"),
-            F.sum(F.when(taker, F.col("qty")).otherwise(F.lit(0.0))).alias("taker_buy_base_asset_volume"),
-            F.sum(F.when(taker, F.col("quote_qty")).otherwise(F.lit(0.0))).alias("taker_buy_quote_asset_volume"),
-        )
-        .select("symbol", F.col("w.start").alias("open_time"), "open", "high", "low", "close", "volume",
-                "quote_asset_volume", "number_of_trades", "taker_buy_base_asset_volume",
-                "taker_buy_quote_asset_volume")
-    )
+def stream_trades_to_bars(trades: DataFrame, width: str = "1 minute", watermark: str | None = "10 minutes") -> DataFrame:
+    """Streaming bars from a streaming trade DataFrame (event time ``time``).
+
+    A live stream needs a watermark to bound its state, and drops trades that
+    come later than it. A bounded replay of stored files, which come in no time
+    order, takes ``watermark=None``: no trade is late, and the state holds one
+    row per bar of the replay."""
+    if watermark is not None:
+        trades = trades.withWatermark("time", watermark)
+    bars = trades.groupBy("symbol", F.window("time", width).alias("w")).agg(*bar_aggregates())
+    return bars.select("symbol", F.col("w.start").alias("open_time"), *[c for c in bars.columns if c not in ("symbol", "w")])
 
 
 def run_available_now(bars: DataFrame, out: str, checkpoint: str) -> None:
@@ -64,23 +55,23 @@ def latest_bars(spark: SparkSession, out: str, schema: StructType | None = None)
             .select("symbol", "open_time", "_b.*"))
 
 
-def event_trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's ``events`` table read as a file stream of trades; event
-    time becomes an instant (wall clock read as UTC), as watermarks need."""
-    from tickstat.sources.fixtures import _event_symbol
-
+def event_trade_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The ``events`` table (one file or a folder of part files) read as a file
+    stream of trades; event time becomes an instant (wall clock read as UTC),
+    as watermarks need. ``max_files`` bounds the files of one micro-batch."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    qty = (F.col("user_id") % 10 + 1).cast("double")
-    return ev.select(
-        _event_symbol().alias("symbol"), F.col("event_id").alias("id"), F.col("value").alias("price"),
-        qty.alias("qty"), (F.col("value") * qty).alias("quote_qty"), ntz_to_instant("ts").alias("time"),
-        (F.col("user_id") % 2 == 0).alias("is_buyer_maker"))
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # a pattern: it may match a folder or a single file (a plain path must be a folder)
+    trades = trades_of_events(reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]"))
+    return trades.withColumn("time", ntz_to_instant("time")).drop("is_best_match")
 
 
-def stream_event_bars(spark: SparkSession, sf_dir: str, width: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
+def stream_event_bars(spark: SparkSession, sf_dir: str, width: str = "1 hour", max_files: int | None = None) -> DataFrame:
+    """Bars of the whole stored table, replayed as a stream without a watermark."""
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-bars-{uuid.uuid4().hex[:12]}"
-    run_available_now(stream_trades_to_bars(event_trade_stream(spark, sf_dir), width, watermark),
+    run_available_now(stream_trades_to_bars(event_trade_stream(spark, sf_dir, max_files), width, None),
                       f"{base}/out", f"{base}/checkpoint")
     bars = latest_bars(spark, f"{base}/out")
     return bars.withColumn("open_time", instant_to_ntz("open_time"))
