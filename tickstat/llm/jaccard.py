@@ -48,15 +48,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
 from .components import components
-from .store import stored, without
+from .store import sent, stored, without
 
 #: Columns of a row in one block: at least this many, under twice as many.
 BLOCK = 32
 #: Rows of a candidate group in one row block.
-ROWS = 256
+ROWS = 1024
 #: Lists up to this length are compared pair by pair, longer ones by leaders.
 SMALL_LIST = 32
+#: Columns of one incidence block.
+WIDTH = 1024
 CHUNK = 1 << 14
+#: Candidates a task gathers before it folds them into a spanning forest.
+FOLD = 1 << 19
 BITS = 24
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -260,18 +264,52 @@ class _Lists:
         yield from self.pairs(key[few], ids[few], maps[few], sizes[few])
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same connected groups, one for each node but the smallest of its group."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    rest = label != np.arange(len(nodes))
+    return nodes[rest], nodes[label[rest]]
+
+
 def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that keep connected whatever may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, rest = _Lists(num, den), None
 
-        def out(found) -> Iterator[pa.RecordBatch]:
-            found = [(np.minimum(a, b), np.maximum(a, b)) for a, b in found if len(a)]
-            if found:
-                links = np.stack([np.concatenate(x) for x in zip(*found)])
-                links = np.unique(links[:, links[0] != links[1]], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out(found, last=False) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for a, b in found:
+                held.append((a, b))
+                size += len(a)
+                if size >= FOLD:
+                    held[:] = [forest(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0])
+                    if size >= FOLD // 2:
+                        yield emit()
+            if last and size:
+                held[:] = [forest(*(np.concatenate(x) for x in zip(*held)))]
+                yield emit()
+
+        def emit() -> pa.RecordBatch:
+            nonlocal size
+            a, b = held.pop()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
@@ -288,8 +326,7 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
             if lists_key is not None and lists.key != lists_key:
                 raise AssertionError("an open list is a long one")
             rest = [x[last:] for x in now]
-        if rest is not None:
-            yield from out(lists.feed(*rest))
+        yield from out(lists.feed(*rest) if rest is not None else (), last=True)
 
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
@@ -338,18 +375,22 @@ def _with_first(rows: DataFrame) -> DataFrame:
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Overlap counts of all rows: the incidence matrix times its transpose, summed over column blocks."""
     sizes = np.array([len(s) for s in sets])
-    columns, at = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+    columns, at, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
+    # a column of one row adds to no overlap but the row's own
+    shared = count[at] > 1
+    row, at = row[shared], (np.cumsum(count > 1) - 1)[at[shared]]
+    columns = columns[count > 1]
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
-    total = np.zeros((len(sets), len(sets)), np.float64)
-    width = 4096
-    for lo in range(0, len(columns), width):
-        a, b = np.searchsorted(at, [lo, lo + width])
-        part = np.zeros((len(sets), width), np.float32)
+    total = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2 ** 24 are exact
+    for lo in range(0, len(columns), WIDTH):
+        a, b = np.searchsorted(at, [lo, lo + WIDTH])
+        part = np.zeros((len(sets), WIDTH), np.float32)
         part[row[a:b], at[a:b] - lo] = 1
         total += part @ part.T
-    return np.rint(total).astype(np.int64)
+    np.fill_diagonal(total, sizes)
+    return total
 
 
 def _in_blocks(num: int, den: int):
@@ -359,11 +400,13 @@ def _in_blocks(num: int, den: int):
         values, limits = _values(table["grams"].combine_chunks() if table["grams"].num_chunks != 1 else table["grams"].chunk(0), np.uint64)
         n = np.diff(limits)
         shared = overlaps([values[limits[i] : limits[i + 1]] for i in range(len(ids))])
-        linked = shared * den >= num * (n[:, None] + n[None, :] - shared)
+        linked = np.empty(shared.shape, bool)
+        for i in range(len(ids)):  # |A and B| / |A or B| >= num / den, in integers
+            linked[i] = shared[i].astype(np.int64) * (den + num) >= num * (n[i] + n)
+        del shared
         label = np.arange(len(ids))
         while True:  # the smallest row reachable inside this block
-            new = np.where(linked, label[None, :], len(ids)).min(axis=1)
-            new = np.minimum(new, label)
+            new = np.array([label[linked[i]].min(initial=label[i]) for i in range(len(ids))])
             new = new[new]
             if (new == label).all():
                 break
@@ -379,7 +422,7 @@ def links(docs: DataFrame, digest: DataFrame, k: int, num: int, den: int) -> Dat
     equal sets, to connect every linked pair."""
     entries = _deal(digest.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.min_by(F.struct("sizes", "dealt", "maps", "keys"), "id").alias("e")).select("id", "n", "e.*"))
     groups = stored(components(_candidates(entries, num, den)), "groups")
-    whole = _whole(docs, groups, k).join(groups.withColumnRenamed("node", "id"), "id").select(F.col("component").alias("comp"), "id", "n", "grams")
+    whole = _whole(docs, groups, k).join(sent(groups.withColumnRenamed("node", "id")), "id").select(F.col("component").alias("comp"), "id", "n", "grams")
     whole = stored(whole, "grams")
     first = whole.where("id = comp").select("comp", F.col("n").alias("first_n"), F.col("grams").alias("first"))
     seen = stored(_with_first(whole.join(first, "comp").select("comp", "id", "n", "first_n", "grams", "first")), "seen")
@@ -389,8 +432,9 @@ def links(docs: DataFrame, digest: DataFrame, k: int, num: int, den: int) -> Dat
     near = seen.join(open_, "comp").where(f"id <> comp and (not linked or gap >= least - {1 - num / den + 1e-9})").select("comp", "id")
     many = near.groupBy("comp").agg(F.count("*").alias("rows")).where("rows > 1")
     cut = near.join(many, "comp").select("comp", "id", F.ceil(F.col("rows") / ROWS).cast("int").alias("cuts"))
-    dealt = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)")))
-    pairs = dealt.join(whole.select("id", "grams"), "id").select("comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "grams")
+    dealt = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    dealt = sent(stored(dealt, "cuts"))
+    pairs = whole.select("id", "grams").join(dealt, "id").withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)"))).select("comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "grams")
     more = pairs.groupBy("comp", "p", "q").applyInArrow(_in_blocks(num, den), "a bigint, b bigint")
     return seen.where("linked and id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more)
 

@@ -35,8 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MOST_SENT = 2_000_000
 
 
+def sent(small: DataFrame) -> DataFrame:
+    """A stored table marked for broadcast while it has few rows (of a few numbers each)."""
+    return F.broadcast(small) if small.count() <= MOST_SENT else small
+
+
 def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """The rows whose key isn't in ``gone`` (one column); rows with a null key stay."""
     gone = stored(gone.toDF("_gone"), "gone")
-    few = gone.count() <= MOST_SENT
-    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["_gone"], "left_anti")
+    return docs.join(sent(gone), docs[key] == gone["_gone"], "left_anti")
