@@ -124,17 +124,12 @@ def lag_effects(features: DataFrame, p: ShockParams = ShockParams(), calendar: D
 
 
 def lag_effects_union(features: DataFrame, p: ShockParams = ShockParams()) -> DataFrame:
-    """H1: the reference's form -- one join per lag, then a union by name.
-    Kept as the cross-check of ``lag_effects``."""
+    """H1: one shifted calendar per lag, united by name, and one join with the
+    receivers. Kept as the cross-check of ``lag_effects``."""
     cal = shock_calendar(features, p)
-    rec = _receivers(features, p)
-    parts = []
-    for lag in p.lags:
-        key = F.timestamp_add(_UNITS[p.unit], F.lit(-int(lag)), F.col("open_time"))
-        j = rec.withColumn("_t", key).join(cal.withColumnRenamed("open_time", "_t"), "_t").drop("_t")
-        parts.append(j.withColumn("lag", F.lit(int(lag))))
-    joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return _effects(joined, p)
+    parts = [cal.select(F.lit(int(lag)).alias("lag"), F.timestamp_add(_UNITS[p.unit], F.lit(int(lag)), F.col("open_time")).alias("open_time"), "any_shock") for lag in p.lags]
+    shifted = reduce(lambda a, b: a.unionByName(b), parts)
+    return _effects(_receivers(features, p).join(shifted, "open_time"), p)
 
 
 def top_by_delta(effects: DataFrame, lag: int = 0, k: int = 20) -> DataFrame:

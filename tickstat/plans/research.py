@@ -19,6 +19,7 @@ from tickstat.operators import shock as K
 from tickstat.operators import stress as S
 from tickstat.operators.features import bar_features, layout_by_symbol
 from tickstat.operators.quality import quality_report
+from tickstat.session import require_utc
 from tickstat.sources.candles import read_candles
 from tickstat.sources.sinks import write_csv, write_small, write_table
 
@@ -40,12 +41,14 @@ def features_job(spark: SparkSession, raw: str | DataFrame, out: str, max_files:
     """Candles (folder of <BASE>-<QUOTE>.parquet or a DataFrame) -> features
     table, written straight from the window's partitioning (no extra
     shuffle with the default layout)."""
+    require_utc(spark)
     candles = raw if isinstance(raw, DataFrame) else read_candles(spark, raw, max_files=max_files)
     write_table(layout_by_symbol(bar_features(candles, bucket), layout), f"{out}/features_1m", rebalance=False)
     return f"{out}/features_1m"
 
 
 def quality_job(spark: SparkSession, features: str, out: str) -> None:
+    require_utc(spark)
     write_small(quality_report(spark.read.parquet(features)), f"{out}/quality_report")
 
 
@@ -53,6 +56,7 @@ def stress_job(spark: SparkSession, features: str, out: str, p: S.StressParams =
                workers: int = 4) -> None:
     """RQ1: tier x stress-minute comparison (Parquet + one CSV), plot table,
     stress-day summary and box statistics."""
+    require_utc(spark)
     f = spark.read.parquet(features)
     labelled = S.label_stress_minutes(f, p)          # threshold computed once
 
@@ -72,6 +76,7 @@ def stress_job(spark: SparkSession, features: str, out: str, p: S.StressParams =
 def shock_job(spark: SparkSession, features: str, out: str, p: K.ShockParams = K.ShockParams(),
               min_shock_obs: int = 200, exclude_leveraged: bool = True, workers: int = 4) -> None:
     """RQ2: lag effects (written once), then best lags, stats and histograms."""
+    require_utc(spark)
     f = spark.read.parquet(features)
     write_small(K.lag_effects(f, p), f"{out}/rq2_results/lag_effects", files=4)
     eff = spark.read.parquet(f"{out}/rq2_results/lag_effects")
@@ -94,6 +99,7 @@ def beta_job(spark: SparkSession, features: str, out: str, p: B.BetaParams = B.B
              workers: int = 4) -> None:
     """RQ3: overall and regime betas in one aggregation (written once), then
     pivot, hyper-sensitive list, regime summary and top changes."""
+    require_utc(spark)
     f = spark.read.parquet(features)
     write_small(B.regime_betas(f, p), f"{out}/rq3_results/betas_all")
     allb = spark.read.parquet(f"{out}/rq3_results/betas_all")

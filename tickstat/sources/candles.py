@@ -12,16 +12,10 @@ from tickstat.functions.symbols import base_asset, quote_asset
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
-    """Sorted file paths directly under ``path`` (any Hadoop file system).
-
-    Only names travel to the driver, never data."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        raise FileNotFoundError(f"No such path: {path}")
-    out = [st.getPath().toString() for st in fs.listStatus(hpath) if st.getPath().getName().endswith(suffix)]
-    return sorted(out)
+    """Sorted paths of the files directly under ``path`` (any file system that
+    Spark reads). The files' contents are not read; only names travel."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path")
+    return sorted(r.path for r in names.collect())
 
 
 def read_candles(
@@ -46,7 +40,7 @@ def read_candles(
             files.extend(list_files(spark, p) if not p.endswith(".parquet") else [p])
         files = sorted(files)[:max_files]
         if not files:
-            raise FileNotFoundError(f"No parquet files found under: {paths}")
+            raise FileNotFoundError(f"nothing to read: no *.parquet file in {paths}")
         paths = files
     reader = spark.read.schema(schema) if schema is not None else spark.read
     df = reader.parquet(*paths)

@@ -19,10 +19,13 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def write_small(df: DataFrame, path: str, mode: str = "overwrite", files: int = 1) -> None:
-    """Small result (summaries, a few thousand rows): ``files`` output files."""
-    df.coalesce(files).write.mode(mode).parquet(path)
+    """Small result (summaries, a few thousand rows): ``files`` output files.
+
+    The result is shuffled, not coalesced, so that the aggregate that makes it
+    keeps its own partitions."""
+    df.repartition(files).write.mode(mode).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True) -> None:
     """One CSV file with a header, for a small summary table."""
-    df.coalesce(1).write.mode(mode).option("header", str(header).lower()).csv(path)
+    df.repartition(1).write.mode(mode).option("header", str(header).lower()).csv(path)
