@@ -33,8 +33,9 @@ def plot_table(compare: DataFrame, metrics: Sequence[str] = PLOT_METRICS) -> Dat
 
 def box_stats(labelled: DataFrame, keys: Sequence[str] = ("tier", "is_stress"),
               columns: Sequence[str] = BOX_COLUMNS, whisker: float = 1.5, exact: bool = False) -> DataFrame:
-    """Per group and column: n, q1, median, q3 (linear interpolation, as a
-    box plot draws them) and the whiskers -- the most extreme values within
+    """Per group and column: n, q1, median, q3 (with ``exact`` by linear
+    interpolation, as a box plot draws them; else elements of the data within
+    the sketch's rank error) and the whiskers -- the most extreme values within
     ``whisker`` x IQR of the box. Outliers are not listed. All rows are used;
     nothing is sampled or collected."""
     keys = list(keys)
@@ -42,7 +43,7 @@ def box_stats(labelled: DataFrame, keys: Sequence[str] = ("tier", "is_stress"),
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in columns])).alias("_s")
     ).select(*keys, F.col("_s.m").alias("metric"), F.col("_s.v").alias("value")).where(F.col("value").isNotNull())
-    q = quantiles(stacked, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys + ["metric"], "cont", exact)
+    q = quantiles(stacked, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys + ["metric"], "cont" if exact else "disc", exact)
     iqr = F.col("q3") - F.col("q1")
     kk = keys + ["metric"]
     fences = q.select(*[F.col(k).alias(f"_f_{k}") for k in kk], "q1", "median", "q3",
@@ -51,7 +52,7 @@ def box_stats(labelled: DataFrame, keys: Sequence[str] = ("tier", "is_stress"),
     # fences: one row per (group, column); groups are tier x stress state here.
     # Keys are renamed so the join is unambiguous when both sides share lineage.
     cond = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in kk]
-    j = stacked.join(F.broadcast(fences), cond, "inner").select(*kk, "value", "q1", "median", "q3", "_lo_fence",
+    j = stacked.join(fences, cond, "inner").select(*kk, "value", "q1", "median", "q3", "_lo_fence",
                                                               "_hi_fence")
     return j.groupBy(*keys, "metric").agg(
         F.count(F.lit(1)).alias("n"),

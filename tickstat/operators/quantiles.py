@@ -1,52 +1,35 @@
 """Grouped quantiles: exact (distributed selection) or approximate (sketch).
 
-Exact mode never gathers a group in one task, so a group holding a third of
-all rows is fine:
-
-1. ``hist``: count rows per (keys, value). Partial aggregation folds repeated
-   values (e.g. a zero-volume flood) map-side, so every distinct value becomes
-   one row.
-2. Range-partition ``hist`` by (keys, value). Each partition holds a
-   contiguous value block of a group; per (partition, group) we keep
-   (min, max, weight) -- a table of about partitions + groups rows.
-3. Only that block table reaches the driver. Running weights over it give,
-   for each wanted rank, the one block that holds it and the rank inside it.
-4. Filter the input rows to the target blocks (a map-side filter), count the
-   surviving values and take the running weight inside each block (one block
-   = one range partition at most); the picked values (groups x ranks) come
-   back and form the small result table.
+Exact mode is one lazy plan for any number of groups, and never gathers a group
+in one task, so a group holding a third of all rows is fine:
+
+1. Per group, the row count and, from one ``percentile_approx`` sketch, a
+   bracket of values around each wanted rank. The sketch's rank error is at
+   most n / accuracy; the bracket is twice as wide on either side, so the
+   wanted value lies inside.
+2. The brackets (groups x probabilities rows) are joined back by key. Each row
+   above its bracket goes, rows below are only counted, and rows inside are
+   counted per value; partial aggregation folds all of this map-side.
+3. What is left per group and probability is the bracket's few values (about
+   4 n / accuracy, or a group of at most 4 x accuracy rows) and the count below: a running count finds the rank.
 
 Discrete rank ``max(1, ceil(n*p))`` and continuous position ``(n-1)*p`` with
 linear interpolation ``lo + (hi - lo) * frac`` follow the SQL
 ``percentile_disc`` / ``quantile_cont`` definitions.
 
 Approximate mode is a single ``percentile_approx`` aggregate (bounded memory,
-mergeable partial state): the production default for very large groups.
+mergeable partial state): the production default for very large groups. It
+returns elements of the data, so it is refused for ``kind="cont"``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# Above this many targets the selection uses a size-checked broadcast join
-# instead of one literal predicate per target.
-_MAX_INLINE_TARGETS = 32
-# Above this many targets the selection falls back to a shuffle join.
-_MAX_BROADCAST_TARGETS = 2_000_000
-
-
-def _key_match(keys: Sequence[str], values: Sequence) -> Column:
-    cond = F.lit(True)
-    for k, v in zip(keys, values):
-        cond = cond & F.col(k).eqNullSafe(F.lit(v))
-    return cond
-
 
 def quantiles(
     df: DataFrame,
@@ -69,102 +52,61 @@ def quantiles(
     data = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     if not exact:
         if kind == "cont":
-            data = data.withColumn("_v", F.col("_v").cast("double"))
+            raise ValueError("the approximate mode returns elements of the data: use kind='disc', or exact=True to interpolate")
         return data.groupBy(*keys).agg(
             *[F.percentile_approx("_v", float(p), accuracy).alias(n) for n, p in probs.items()]
         )
-    return _exact(data, probs, keys, kind)
-
-
-def _exact(data: DataFrame, probs: Mapping[str, float], keys: list[str], kind: str) -> DataFrame:
-    spark = data.sparkSession
-    vtype = data.schema["_v"].dataType
-    key_fields = [data.schema[k] for k in keys]
-
-    # 1. value histogram: partial aggregation folds repeated values map-side
-    hist = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    # 2. contiguous blocks of (keys, value); about partitions + groups rows
-    blocks = (
-        hist.repartitionByRange(*keys, "_v")
-        .withColumn("_pid", F.spark_partition_id())
-        .groupBy("_pid", *keys)
-        .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_bw"))
-        .collect()
-    )
-    # 3. targets on the driver: (group, name, which, block, rank in block, frac)
-    by_group: dict[tuple, list] = {}
-    for b in blocks:
-        by_group.setdefault(tuple(b[k] for k in keys), []).append(b)
-    targets = []  # (group, name, which, lo, hi, r, frac)
-    for g, bl in by_group.items():
-        bl.sort(key=lambda b: b["_lo"])
-        n = sum(b["_bw"] for b in bl)
-        for name, p in probs.items():
-            p = float(p)
-            if kind == "disc":
-                wanted = [("lo", max(1, math.ceil(n * p)), 0.0)]
-            else:
-                rn = (n - 1) * p
-                fl = math.floor(rn)
-                wanted = [("lo", fl + 1, rn - fl), ("hi", math.ceil(rn) + 1, rn - fl)]
-            for which, k, frac in wanted:
-                end = 0
-                for b in bl:
-                    start, end = end, end + b["_bw"]
-                    if start < k <= end:
-                        targets.append((g, name, which, b["_lo"], b["_hi"], k - start, frac))
-                        break
-    # 4. pick the r-th value inside each target block (one block <= one range partition)
-    if targets:
-        if len(targets) <= _MAX_INLINE_TARGETS:
-            conds = [F.when(_key_match(keys, t[0]) & F.col("_v").between(F.lit(t[3]), F.lit(t[4])), F.lit(i))
-                     for i, t in enumerate(targets)]
-            # filter the raw rows to the target blocks first, then count the
-            # few surviving values (partial aggregation folds a hot value)
-            tagged = (data.select("_v", F.explode(F.filter(F.array(*conds), lambda x: x.isNotNull())).alias("_tid"))
-                      .groupBy("_tid", "_v").agg(F.count(F.lit(1)).alias("_w")))
-            tagged = tagged.withColumn("_r", F.element_at(F.array(*[F.lit(t[5]) for t in targets]), F.col("_tid") + 1))
+    return _exact(data, probs, keys, kind, accuracy)
+
+
+def _exact(data: DataFrame, probs: Mapping[str, float], keys: list[str], kind: str, accuracy: int) -> DataFrame:
+    names = list(probs)
+    margin = 2.0 / accuracy
+    wanted = [float(probs[n]) for n in names]
+    ends = [min(max(p + d, 0.0), 1.0) for p in wanted for d in (-margin, margin)]
+    groups = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_ends"),
+                                       F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    n = F.col("_n")
+    few = n <= 4 * accuracy  # a bracket of a small group may be narrower than one rank: take all of it
+
+    def target(i: int, p: float):
+        position = n * p if kind == "disc" else (n - 1) * p
+        if kind == "disc":
+            first = last = F.greatest(F.ceil(position), F.lit(1)).cast("long")
         else:
-            tschema = T.StructType(
-                [T.StructField("_tid", T.IntegerType(), False)]
-                + [T.StructField(f.name, f.dataType, True) for f in key_fields]
-                + [T.StructField("_lo", vtype, True), T.StructField("_hi", vtype, True),
-                   T.StructField("_r", T.LongType(), True)])
-            small = spark.createDataFrame([Row(i, *t[0], t[3], t[4], t[5]) for i, t in enumerate(targets)], tschema)
-            if len(targets) <= _MAX_BROADCAST_TARGETS:
-                small = F.broadcast(small)  # size checked: len(targets) rows
-            cond = [data[k].eqNullSafe(small[k]) for k in keys] + [data["_v"].between(small["_lo"], small["_hi"])]
-            tagged = (data.join(small, on=cond, how="inner").select(data["_v"], small["_tid"], small["_r"])
-                      .groupBy("_tid", "_r", "_v").agg(F.count(F.lit(1)).alias("_w")))
-        wt = Window.partitionBy("_tid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        picked = dict(
-            tagged.withColumn("_run", F.sum("_w").over(wt))
-            .groupBy("_tid")
-            .agg(F.min(F.when(F.col("_run") >= F.col("_r"), F.col("_v"))).alias("_val"))
-            .collect()
-        )
+            first, last = F.floor(position).cast("long") + 1, F.ceil(position).cast("long") + 1
+        return F.struct(F.lit(i).alias("i"), first.alias("first"), last.alias("last"), (position - F.floor(position)).alias("frac"),
+                        F.when(few, F.col("_least")).otherwise(F.col("_ends")[2 * i]).alias("lo"),
+                        F.when(few, F.col("_most")).otherwise(F.col("_ends")[2 * i + 1]).alias("hi"))
+
+    targets = groups.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.explode(F.array(*[target(i, p) for i, p in enumerate(wanted)])).alias("_t"))
+    if not keys:
+        return _whole(data, targets, names, kind)
+    joined = data.join(targets, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)])
+    return _pick(joined, keys, names, kind, data.schema["_v"].dataType)
+
+
+def _whole(data: DataFrame, targets: DataFrame, names: list[str], kind: str) -> DataFrame:
+    """Without keys the targets are one array of a few numbers; a constant key joins it."""
+    keyed = targets.withColumn("_one", F.lit(1))
+    joined = data.withColumn("_key", F.lit(1)).join(F.broadcast(keyed), F.col("_key") == F.col("_one"))
+    return _pick(joined, [], names, kind, data.schema["_v"].dataType)
+
+
+def _pick(joined: DataFrame, keys: list[str], names: list[str], kind: str, value_type) -> DataFrame:
+    """Rows with their targets -> one row per group with the picked values."""
+    v, t = F.col("_v"), F.col("_t")
+    counted = joined.where(v <= t["hi"]).groupBy(*keys, t.alias("_t"), F.when(v >= t["lo"], v).alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
+    order = Window.partitionBy(*keys, "_t").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumn("_run", F.sum("_w").over(order)).where("_x is not null")
+    picked = run.groupBy(*keys, "_t").agg(
+        F.min(F.when(F.col("_run") >= t["first"], F.col("_x"))).alias("_first"), F.min(F.when(F.col("_run") >= t["last"], F.col("_x"))).alias("_last"))
+    if kind == "disc":
+        value, out_type = F.col("_first"), value_type
     else:
-        picked = {}
-    # 5. assemble one row per group (groups x names values)
-    vals: dict[tuple, dict] = {g: {} for g in by_group}
-    for i, (g, name, which, _lo, _hi, _r, frac) in enumerate(targets):
-        vals[g].setdefault(name, {})[which] = (picked.get(i), frac)
-    out_type = vtype if kind == "disc" else T.DoubleType()
-    rows = []
-    for g, per in vals.items():
-        out = []
-        for name in probs:
-            got = per.get(name, {})
-            if kind == "disc":
-                out.append(got.get("lo", (None, 0.0))[0])
-            else:
-                lo, frac = got.get("lo", (None, 0.0))
-                hi = got.get("hi", (None, 0.0))[0]
-                out.append(None if lo is None or hi is None else float(lo) + (float(hi) - float(lo)) * frac)
-        rows.append(Row(*g, *out))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in key_fields]
-                          + [T.StructField(nm, out_type, True) for nm in probs])
-    return spark.createDataFrame(rows, schema)
+        lo, hi = F.col("_first").cast("double"), F.col("_last").cast("double")
+        value, out_type = lo + (hi - lo) * t["frac"], "double"
+    return picked.groupBy(*keys).agg(*[F.max(F.when(t["i"] == i, value)).cast(out_type).alias(n) for i, n in enumerate(names)])
 
 
 def quantile_value(df: DataFrame, value: str, p: float, kind: str = "disc", exact: bool = True,
