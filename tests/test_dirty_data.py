@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickstat.operators import dist, ext, stress
+from tickstat.operators.features import bar_features
+from tickstat.sources.trades import dashed, read_trades
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -61,3 +63,16 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert capped == ids(dist.sample_uniform(frame.repartition(3), ["k"], 0.1, cap=20)) and set(capped) <= set(one)
     strata = ids(dist.sample_stratified(frame, ["k"], ["s"], {"1": 0.2}))
     assert strata and all(k % 2 for k in strata)
+
+
+def test_trade_files_to_features(spark, tmp_path):
+    rows = [(1, 10.0, 1.0, 10.0, 1_700_000_000_123, False, True), (2, 12.0, 2.0, 24.0, 1_700_000_001_000, True, True), (3, 11.0, 1.0, 11.0, 1_700_000_100_000, False, True)]
+    frame = spark.createDataFrame(rows, "id long, price double, qty double, quote_qty double, time long, is_buyer_maker boolean, is_best_match boolean")
+    for pair in ("BTCUSDT", "ADABTC"):
+        frame.toPandas().to_parquet(tmp_path / f"{pair}.parquet")
+    got = bar_features(ext.trades_to_bars(read_trades(spark, str(tmp_path)), "1 minute")).orderBy("symbol", "open_time").collect()
+    assert [(r.symbol, r.base_asset, r.quote_asset, r.close, r.number_of_trades) for r in got] == [
+        ("ADA-BTC", "ADA", "BTC", 12.0, 2), ("ADA-BTC", "ADA", "BTC", 11.0, 1), ("BTC-USDT", "BTC", "USDT", 12.0, 2), ("BTC-USDT", "BTC", "USDT", 11.0, 1)]
+    assert got[0].open_time == dt.datetime(2023, 11, 14, 22, 13)
+    names = spark.createDataFrame([("ETHUSDT",), ("ETH-USDT",), ("USDT",), ("XYZ",), ("BTCFDUSD",)], "p string").select(dashed(F.col("p")).alias("s"))
+    assert [r.s for r in names.collect()] == ["ETH-USDT", "ETH-USDT", "USDT", "XYZ", "BTC-FDUSD"]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickstat.functions import bars as fb
+from tickstat.functions.symbols import base_asset, quote_asset
 from tickstat.operators.series import previous_value
 from tickstat.schemas import COUNT_COLUMNS, PRICE_COLUMNS, VOLUME_COLUMNS, require_columns
 
@@ -40,6 +41,8 @@ def bar_features(candles: DataFrame, bucket: str = "month") -> DataFrame:
     require_columns(candles, ["open_time", "symbol", "high", "low", "close", "volume",
                               "quote_asset_volume", "taker_buy_quote_asset_volume"], "candles")
     df = normalize_types(candles)
+    # bars made from trades or by resampling have no asset columns: they follow from the symbol
+    df = df.withColumns({c: f() for c, f in (("base_asset", base_asset), ("quote_asset", quote_asset)) if c not in df.columns})
     df = previous_value(df, "close", "_prev_close", unit=bucket)
     lr = fb.log_return("close", "_prev_close")
     return (

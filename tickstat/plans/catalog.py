@@ -541,6 +541,7 @@ def q_sample_stratified(spark, sf_dir):
 # ---------------------------------------------------------------- step 11: README-declared extensions
 from tickstat.operators import ext as X  # noqa: E402
 from tickstat.sources.fixtures import event_trades  # noqa: E402
+from tickstat.sources.trades import normalize_trades  # noqa: E402
 
 _TE = O.with_ctes(O.TRADES_E)
 _TB_COLS = ["symbol", "open_time", "open", "high", "low", "close", "volume", "quote_asset_volume", "number_of_trades",
@@ -558,6 +559,23 @@ def q_trades_to_bars(spark, sf_dir):
     return X.trades_to_bars(event_trades(spark, sf_dir), "1 hour")
 
 
+# raw trades as the exchange stores them (pair without a dash, time in milliseconds) up to the stress comparison
+@register("trades_to_stress", O.final(O.with_ctes(O.TRADES_E, """
+bars_t AS (SELECT symbol, date_trunc('hour', time) AS open_time, split_part(symbol, '-', 1) AS base_asset,
+    arg_max(price, (time, id)) AS close, max(price) AS high, min(price) AS low,
+    sum(qty) AS volume, sum(quote_qty) AS quote_asset_volume, count(*) AS number_of_trades,
+    sum(CASE WHEN NOT is_buyer_maker THEN quote_qty ELSE 0.0 END) AS taker_buy_quote_asset_volume
+    FROM (SELECT * REPLACE (date_trunc('millisecond', time) AS time) FROM trades_e) GROUP BY symbol, date_trunc('hour', time))""",
+    O.features("bars_t", "feat_t"), O.stress_minutes_ctes("feat_t")) + f""",
+lab AS (SELECT f.*, {O.tier_case('base_asset', LARGE_CAP_LIST)} AS tier, sm.is_stress FROM feat_t f LEFT JOIN sm ON f.open_time = sm.open_time)
+SELECT tier, is_stress, {O.QUALITY_SQL} FROM lab GROUP BY tier, is_stress""", ["tier", "is_stress"] + O.QUALITY_COLS, _QD))
+def q_trades_to_stress(spark, sf_dir):
+    raw = event_trades(spark, sf_dir).withColumns(
+        {"symbol": F.replace(F.col("symbol"), F.lit("-"), F.lit("")), "time": F.unix_millis(F.col("time").cast("timestamp"))})
+    bars = X.trades_to_bars(normalize_trades(raw), "1 hour")
+    return S.stress_compare(materialize(bar_features(bars)), STRESS_TEST)
+
+
 _RS_DBL = ["open", "high", "low", "close", "volume", "quote_asset_volume", "taker_buy_base_asset_volume",
            "taker_buy_quote_asset_volume"]
 

@@ -18,7 +18,9 @@ import sys
 from tickstat.operators import beta as B
 from tickstat.operators import shock as K
 from tickstat.operators import stress as S
+from tickstat.operators.ext import trades_to_bars
 from tickstat.plans import research as R
+from tickstat.sources.trades import read_trades
 
 
 def _names(s: str) -> tuple:
@@ -33,7 +35,8 @@ def build_parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="tickstat")
     sub = ap.add_subparsers(dest="job", required=True)
     f = sub.add_parser("features", help="candles -> features table")
-    f.add_argument("--raw", required=True)
+    f.add_argument("--raw", required=True, help="folder of candle files, or of trade files with --trades")
+    f.add_argument("--trades", metavar="WIDTH", default=None, help="the files hold trades: make bars of this width first, e.g. '1 minute'")
     f.add_argument("--out", required=True)
     f.add_argument("--max-files", type=int, default=None)
     for name in ("quality", "stress", "shock", "beta"):
@@ -42,13 +45,14 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument("--out", required=True)
     a = sub.add_parser("all", help="features, then every research job")
     a.add_argument("--raw", required=True)
+    a.add_argument("--trades", metavar="WIDTH", default=None)
     a.add_argument("--out", required=True)
     a.add_argument("--max-files", type=int, default=None)
     for p in (sub.choices["stress"], sub.choices["shock"], sub.choices["beta"], a):
         p.add_argument("--exact", action="store_true", help="exact quantiles instead of percentile_approx")
     for p in (sub.choices["stress"], a):
         p.add_argument("--stress-q", type=float, default=0.95)
-        p.add_argument("--large-caps", type=_names, default=None, help="comma list (default BTC,ETH)")
+        p.add_argument("--large-caps", type=_names, default=None, help="comma list for both grains (default: 14 assets per minute, BTC,ETH per day)")
     for p in (sub.choices["shock"], a):
         p.add_argument("--shock-q", type=float, default=0.99)
         p.add_argument("--lags", type=_ints, default=K.LAGS)
@@ -87,7 +91,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         spark = SparkSession.builder.appName(f"tickstat-{a.job}").getOrCreate()
     if a.job in ("features", "all"):
-        feat = R.features_job(spark, a.raw, a.out, max_files=a.max_files)
+        raw = trades_to_bars(read_trades(spark, a.raw), a.trades) if a.trades else a.raw
+        feat = R.features_job(spark, raw, a.out, max_files=a.max_files)
     else:
         feat = a.features
     if a.job in ("quality", "all"):
