@@ -131,3 +131,14 @@ def test_cli_all_jobs_on_candle_files(spark, sf_small):
     assert f.count() == len(bars) and f.select("symbol").distinct().count() == bars["symbol"].nunique()
     assert spark.read.parquet(f"{d}/out/rq1_compare").count() >= 2
     assert os.path.exists(f"{d}/out/rq3_results/betas_overall/_SUCCESS")
+
+
+def test_registered_queries_prune_the_feature_table(spark, sf_small):
+    """Filters and columns reach the scan of the shared feature table."""
+    from tickstat.plans.catalog import REGISTRY
+
+    for name, columns in (("btc_pick", 4), ("daily_close", 6)):
+        plan = REGISTRY[name].build(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+        assert scans and all("PushedFilters: [" in s and "symbol" in s.split("PushedFilters:")[1] for s in scans), name
+        assert all(s.split("ReadSchema: struct<")[1].count(":") <= columns for s in scans), name

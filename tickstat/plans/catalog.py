@@ -7,6 +7,7 @@ rounded canonically, like the oracle's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -43,12 +44,13 @@ def register(name: str, sql: str | None, note: str = ""):
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several jobs of one query read.
 
-    Reliable ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (a
-    shared folder on a cluster; set only when unset): later jobs read the
-    written files instead of recomputing the fixture and its window, and a
-    lost executor does not force recomputation from the raw tables."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    One Parquet table in the shared folder (``spark.checkpoint.dir``): later
+    jobs read the columns and rows they need from it instead of recomputing the
+    fixture and its window, and a lost executor does not force recomputation
+    from the raw tables."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/features-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def features_d(spark, sf_dir):
