@@ -194,16 +194,16 @@ def test_long_lists_lose_no_link():
     """Leaders, over chunks, keep connected whatever passes the bound."""
     rng = np.random.default_rng(0)
     for num, den in ((9, 10), (8, 10)):
-        maps = [int(x) for x in rng.integers(0, 1 << 62, 6)]
+        maps = [int(x) for x in rng.integers(0, 1 << 62, 6)]  # the lower half; the upper half stays as the group's number
         rows = []
         for m in maps:
             for _ in range(60):
                 for _ in range(rng.integers(0, 4)):
                     m ^= 1 << int(rng.integers(0, 62))
-                rows.append((m, int(rng.integers(28, 36))))
+                rows.append((m, int(rng.integers(28, 36)), maps.index(min(maps, key=lambda x: (x ^ m).bit_count()))))
         rng.shuffle(rows)
         ids, size = np.arange(len(rows)), np.array([r[1] for r in rows])
-        m = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        m = np.array([[r[0], r[2]] for r in rows], np.int64).view(np.uint64)
         lists, found = jaccard._Lists(num, den), []
         for lo in range(0, len(rows), 50):
             s = slice(lo, lo + 50)
@@ -212,7 +212,7 @@ def test_long_lists_lose_no_link():
         x, y = jaccard.forest(a, b)
         label = dict(zip(x.tolist(), y.tolist()))
         for i in range(len(rows)):
-            gap = np.bitwise_count(m ^ m[i]).astype(int)
+            gap = np.bitwise_count(m ^ m[i]).sum(axis=1).astype(int)
             for j in np.flatnonzero((gap * (den + num) <= (size + size[i]) * (den - num)) & (np.minimum(size, size[i]) * den >= np.maximum(size, size[i]) * num)):
                 assert label.get(i, i) == label.get(int(j), int(j))
 

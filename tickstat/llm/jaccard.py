@@ -13,12 +13,13 @@ is exact: the bounds below only discard what cannot link.
    one cut in common). If two rows reach the threshold as a whole, they reach
    it inside one block at least. In that block they share one of the first
    n - ceil(t n) + 1 columns of each, so only those are dealt out by column.
-   A dealt entry carries the block's size and a 64-bit parity map of the
+   A dealt entry carries the block's size and a 128-bit parity map of the
    block's columns: the maps of two rows differ in at most as many bits as the
    blocks differ in columns, so pairs beyond the size-derived bound go.
-   A column shared by many rows is handled in order with leaders: a row joins
-   the leaders within its own bound plus theirs, which keeps all rows that may
-   link connected without looking at all pairs.
+   A column shared by many rows is handled in order with leaders: a row belongs
+   to a leader very near to it and joins all leaders within its bound plus that
+   nearness, which keeps all rows that may link connected without looking at
+   all pairs.
 3. The connected groups of these candidates get their whole rows. Each row's
    overlap with the group's smallest row is counted; that settles copies of one
    text in one pass. Where rows stay apart, the group is cut into row blocks
@@ -92,10 +93,21 @@ def _sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return total[limits[1:]] - total[limits[:-1]]
 
 
-def _xors(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.bitwise_xor.accumulate(values, out=total[1:])
-    return total[limits[1:]] ^ total[limits[:-1]]
+def _parity_maps(g: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """128 bits for each range of hashes: bit b tells whether an odd number of them has the place b."""
+    place = B.mix(g ^ _SALT) & np.uint64(127)
+    out = np.empty((len(limits) - 1, 2), np.uint64)
+    for half in (0, 1):
+        total = np.zeros(len(g) + 1, np.uint64)
+        own = (place >> np.uint64(6)) == half
+        np.bitwise_xor.accumulate(np.where(own, np.uint64(1) << (place & np.uint64(63)), np.uint64(0)), out=total[1:])
+        out[:, half] = total[limits[1:]] ^ total[limits[:-1]]
+    return out
+
+
+def _gap(maps: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many bits parity maps differ; never more than the sets differ in members."""
+    return np.bitwise_count(maps ^ other).sum(axis=-1, dtype=np.int64)
 
 
 def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -138,7 +150,7 @@ def _block_entries(g: np.ndarray, limits: np.ndarray, num: int, den: int) -> tup
         at = np.repeat(first_block[:-1], size) + block
         counts = np.bincount(at, minlength=first_block[-1])
         stop = np.concatenate([[0], np.cumsum(counts)])
-        maps = _xors(np.uint64(1) << (B.mix(own ^ _SALT) & np.uint64(63)), stop)
+        maps = _parity_maps(own, stop)
         p = np.where(counts > 0, counts - _least(counts, num, den) + 1, 0)
         rank = np.arange(len(own)) - np.repeat(stop[:-1], counts)
         chosen = rank < np.repeat(p, counts)
@@ -147,7 +159,7 @@ def _block_entries(g: np.ndarray, limits: np.ndarray, num: int, den: int) -> tup
         out.append((np.repeat(rows, 1 << lev)[full], counts[full], maps[full], p[full], keys))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z, z.astype(np.uint64)
+        return z, z, np.zeros((0, 2), np.uint64), z, z.astype(np.uint64)
     if len(out) == 1:
         return out[0]
     # blocks in row order, entries in block order
@@ -172,14 +184,14 @@ def _digest(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 per_row = np.bincount(row, weights=p, minlength=hi - lo).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(limits)), pa.array(_sums(B.mix(g), limits).view(np.int64)), pa.array(_sums(B.mix(g ^ _SALT), limits).view(np.int64)),
-                     _binaries(size.astype(np.int16), blocks), _binaries(p.astype(np.int16), blocks), _binaries(maps, blocks), _binaries(keys, per_row)],
+                     _binaries(size.astype(np.int16), blocks), _binaries(p.astype(np.int16), blocks), _binaries(maps.ravel(), 2 * blocks), _binaries(keys, per_row)],
                     names=["id", "n", "f1", "f2", "sizes", "dealt", "maps", "keys"])
 
     return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, sizes binary, dealt binary, maps binary, keys binary")
 
 
 def _deal(classes: DataFrame) -> DataFrame:
-    """(key, id, map, sizes) for each entry; sizes: the row's size times 65536 plus the block's."""
+    """(key, id, map, map2, sizes) for each entry; sizes: the row's size times 65536 plus the block's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,14 +200,15 @@ def _deal(classes: DataFrame) -> DataFrame:
                 ids, n = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 size, stop = _values(part.column(2), np.int16)
                 p, _ = _values(part.column(3), np.int16)
-                maps, _ = _values(part.column(4), np.uint64)
+                maps = _values(part.column(4), np.uint64)[0].reshape(-1, 2)
                 keys, _ = _values(part.column(5), np.uint64)
                 row = np.repeat(np.arange(len(ids)), np.diff(stop))
                 packed = n[row] * 65536 + size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.repeat(ids[row], p)), pa.array(np.repeat(maps, p).view(np.int64)), pa.array(np.repeat(packed, p))], names=["key", "id", "map", "sizes"])
+                    [pa.array(keys.view(np.int64)), pa.array(np.repeat(ids[row], p)), *(pa.array(np.repeat(maps[:, half], p).view(np.int64)) for half in (0, 1)), pa.array(np.repeat(packed, p))],
+                    names=["key", "id", "map", "map2", "sizes"])
 
-    return classes.select("id", "n", "sizes", "dealt", "maps", "keys").mapInArrow(run, "key bigint, id bigint, map bigint, sizes bigint")
+    return classes.select("id", "n", "sizes", "dealt", "maps", "keys").mapInArrow(run, "key bigint, id bigint, map bigint, map2 bigint, sizes bigint")
 
 
 class _Lists:
@@ -221,32 +234,35 @@ class _Lists:
             a, b = same, same + step
             num, den = self.num, self.den
             ok = np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
-            ok &= np.bitwise_count(maps[a] ^ maps[b]).astype(np.int64) * (den + num) <= (size[a] + size[b]) * (den - num)
+            ok &= _gap(maps[a], maps[b]) * (den + num) <= (size[a] + size[b]) * (den - num)
             yield ids[a[ok]], ids[b[ok]]
 
     def long(self, ids, maps, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A long list, or the next chunk of it; the leaders so far are used first."""
         size = sizes & 65535
+        # a row belongs to a leader within a quarter of its reach; whatever links
+        # with it lies within its own reach and that quarter of the leader
         reach = self._reach(size)
-        wide = reach + reach * self.den // self.num + 2
+        near_by = reach // 4
+        wide = reach + reach * self.den // (4 * self.num) + 1
         open_ = np.ones(len(ids), bool)
-        lead_ids, lead_maps = self.leaders or (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        lead_ids, lead_maps = self.leaders or (np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
         new_ids, new_maps = [], []
         for i in range(len(lead_ids)):
-            gap = np.bitwise_count(maps ^ lead_maps[i])
+            gap = _gap(maps, lead_maps[i])
             near = np.flatnonzero(gap <= wide)
-            open_ &= gap > reach
+            open_ &= gap > near_by
             yield ids[near], np.full(len(near), lead_ids[i])
         while len(left := np.flatnonzero(open_)):
             at = left[0]
-            gap = np.bitwise_count(maps ^ maps[at])
-            open_ &= gap > reach
+            gap = _gap(maps, maps[at])
+            open_ &= gap > near_by
             open_[at] = False
             near = np.flatnonzero(gap <= wide)
             new_ids.append(ids[at])
             new_maps.append(maps[at])
             yield ids[near], np.full(len(near), ids[at])
-        self.leaders = (np.concatenate([lead_ids, np.array(new_ids, np.int64)]), np.concatenate([lead_maps, np.array(new_maps, np.uint64)]))
+        self.leaders = (np.concatenate([lead_ids, np.array(new_ids, np.int64)]), np.concatenate([lead_maps, np.array(new_maps, np.uint64).reshape(-1, 2)]))
 
     def feed(self, key, ids, maps, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Whole lists (or, for the key kept open, a further chunk)."""
@@ -312,8 +328,8 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            now[2] = now[2].view(np.uint64)
+            key, ids, first, second, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            now = [key, ids, np.stack([first, second], axis=1).view(np.uint64), sizes]
             if rest is not None:
                 now = [np.concatenate([r, x]) for r, x in zip(rest, now)]
             last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
