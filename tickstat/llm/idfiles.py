@@ -9,10 +9,13 @@ bits in ``control``, four values to a byte, the first in the lowest bits. The
 reader looks each control byte up in a table of 256 x 4 lengths, sums these to
 the places of the values, and gathers the bytes.
 
-Tokens come from the tokenizers library. Its normaliser folds white space and
-its splitter drops it, so white-space runs limit every token: the words of a
-block are folded and each different word is encoded once. Special tokens are
-not added; the end id is appended to every document.
+Tokens come from the tokenizers library. Its splitter drops white space and
+never joins letters, digits and punctuation in one token (but for an apostrophe
+and the letters after it), and its normaliser folds case. So a block is cut at
+white space and between ASCII or Latin-1 letters, digits and ASCII punctuation,
+pieces equal but for case are folded, and each different piece is encoded once.
+Where a text names a special token, it is only cut at white space. Special
+tokens are not added; the end id is appended to every document.
 
 Scale: texts are read once and not shuffled. The ids go to the shared folder,
 their frequencies are counted there (at most one row per vocabulary entry
@@ -45,9 +48,15 @@ END = 2
 BLOCK = 8 << 20
 CACHE = 600_000
 
+#: Bytes: white space, letters, digits, punctuation, and those that stay with what is beside them.
+_SPACE, _LETTER, _DIGIT, _PUNCTUATION, _BESIDE = range(5)
+_KINDS = np.array([_SPACE if b in (9, 10, 11, 12, 13, 32) else _BESIDE if b > 127 or b < 32 or b in (39, 127) else _DIGIT if 48 <= b < 58 else _LETTER if chr(b).isalpha() else _PUNCTUATION for b in range(256)], np.uint8)
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+#: Codes to hash: as they are, and with ASCII letters in lower case.
 _RAW = np.arange(256, dtype=np.uint8)
-_RAW[[9, 10, 11, 12, 13, 32]] = 0
 _RAW[0] = 255
+_FOLDED = _RAW.copy()
+_FOLDED[65:91] += 32
 
 #: Lengths of the four values of each control byte.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -96,22 +105,46 @@ def _tools(path: str) -> tuple:
     return _WORDS[path]
 
 
+def cut(block: np.ndarray, limits: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the pieces of a block; no token reaches over their limits."""
+    if not len(block):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _KINDS[block]
+    # the Latin-1 letters: C3 and any byte but those of the two signs among them
+    lead = np.flatnonzero(block[:-1] == 0xC3)
+    lead = lead[(block[lead + 1] != 0x97) & (block[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    edge = np.ones(len(block) + 1, bool)
+    left, right = kind[:-1], kind[1:]
+    apart = (left == _SPACE) | (right == _SPACE)
+    edge[1:-1] = apart | ((left != right) & (left != _BESIDE) & (right != _BESIDE)) if fine else apart
+    edge[limits] = True
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    text = kind[start] != _SPACE
+    return start[text], end[text]
+
+
 def block_ids(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, limits of the rows) of rows lo..hi, without end ids."""
     tokenizer, pieces = _tools(path)
-    row, h, start, end = B.words(data, offsets, lo, hi, _RAW)
-    if not len(h):
+    block = data[int(offsets[lo]) : int(offsets[hi])]
+    raw = block.tobytes()
+    plain = not any(x in raw for x in _SPECIAL)
+    start, end = cut(block, offsets[lo : hi + 1] - offsets[lo], plain)
+    if not len(start):
         return np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64)
+    h = B.span_hashes((_FOLDED if plain else _RAW)[block], start, end)
+    h = h if plain else B.mix(h + np.uint64(1))  # apart from the folded pieces
     distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
     new = pieces.missing(distinct)
     if new.any():
-        raw = data[int(offsets[lo]) : int(offsets[hi])].tobytes()
         at = first[new]
         found = [e.ids for e in tokenizer.encode_batch([raw[s:e].decode() for s, e in zip(start[at].tolist(), end[at].tolist())], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         pieces.add(distinct[new], np.fromiter((i for x in found for i in x), np.int32, int(count.sum())), count)
     ids, ends = pieces.fill(distinct, which)
-    return ids, ends[B.row_limits(row, hi - lo)]
+    return ids, ends[np.searchsorted(start, offsets[lo : hi + 1] - offsets[lo])]
 
 
 def _with_end(ids: np.ndarray, limits: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
