@@ -4,6 +4,7 @@ time-shift property of SURVEY section 5."""
 
 from pyspark.sql import functions as F
 
+from tickstat.functions.symbols import LARGE_CAP_TWO
 from tickstat.operators import stress as S
 from tickstat.operators.features import bar_features
 from tickstat.plans.catalog import features_d
@@ -13,7 +14,7 @@ from tickstat.sources.fixtures import daily_bars
 def test_stress_goldens_sf001(spark, sf_mid):
     f = features_d(spark, sf_mid)
     assert f.count() == 38372
-    p = S.StressParams(exact=True)
+    p = S.StressParams(exact=True, large_caps=LARGE_CAP_TWO)  # the goldens are those of the two-asset tier
     assert S.stress_threshold(f, p) == 3.2772627313515983
     sizes = {(r.tier, r.is_stress): r.n_bars for r in S.stress_compare(f, p).collect()}
     assert sizes == {("LARGE_CAP", False): 4297, ("LARGE_CAP", True): 230, ("LARGE_CAP", None): 249,

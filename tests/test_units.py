@@ -141,7 +141,7 @@ def test_missing_columns_raise(spark):
     import pytest
 
     eff = spark.createDataFrame([("A", 1)], "symbol string, lag int")
-    with pytest.raises(ValueError, match="Missing columns"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         K.best_lag(eff, "delta_vol", 1)
 
 
