@@ -246,22 +246,36 @@ class _Lists:
         near_by = reach // 4
         wide = reach + reach * self.den // (4 * self.num) + 1
         open_ = np.ones(len(ids), bool)
+        label = np.arange(len(ids))  # rows already connected have one label
         lead_ids, lead_maps = self.leaders or (np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
         new_ids, new_maps = [], []
+
+        def join(near: np.ndarray) -> np.ndarray:
+            """Gives the rows one label; returns the labels they had."""
+            own = label[near]
+            if (own == own[0]).all():
+                return own[:1]
+            had = np.unique(own)
+            label[np.isin(label, had)] = had[0]
+            return had
+
         for i in range(len(lead_ids)):
             gap = _gap(maps, lead_maps[i])
             near = np.flatnonzero(gap <= wide)
             open_ &= gap > near_by
-            yield ids[near], np.full(len(near), lead_ids[i])
+            if len(near):
+                had = join(near)
+                yield ids[had], np.full(len(had), lead_ids[i])
         while len(left := np.flatnonzero(open_)):
             at = left[0]
             gap = _gap(maps, maps[at])
             open_ &= gap > near_by
             open_[at] = False
-            near = np.flatnonzero(gap <= wide)
             new_ids.append(ids[at])
             new_maps.append(maps[at])
-            yield ids[near], np.full(len(near), ids[at])
+            had = join(np.flatnonzero(gap <= wide))
+            if len(had) > 1:
+                yield ids[had[1:]], np.full(len(had) - 1, ids[had[0]])
         self.leaders = (np.concatenate([lead_ids, np.array(new_ids, np.int64)]), np.concatenate([lead_maps, np.array(new_maps, np.uint64).reshape(-1, 2)]))
 
     def feed(self, key, ids, maps, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
