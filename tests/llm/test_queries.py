@@ -265,6 +265,21 @@ def test_licenses(spark, sf_small, texts, odd, nothing):
     assert licenses.scan(nothing).collect() == []
 
 
+def test_licenses_of_files_with_whole_notices(spark):
+    notice = {label: text for label, _, text in licenses.TEMPLATES}  # the last of each label
+    two = [(a, b) for a in ("mit", "apache-2", "gpl-3", "bsd", "isc") for b in ("mit", "apache-2", "gpl-3", "bsd", "all-rights-reserved") if a != b]
+    files = [(x,) for x in notice] + two
+    # other files, in which the templates' words are more and less common
+    other = ["some words of a common text", "this software is provided as is with permission", "the public domain license", "free"] * 30
+    rows = [(i, " ; ".join(notice[x] for x in f)) for i, f in enumerate(files)] + [(1000 + i, t) for i, t in enumerate(other)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, f in enumerate(files):
+        assert set(f) <= set(found[i].labels) and found[i].score > 0.99, f
+    half = "permission is hereby granted free of charge to all"
+    twice = spark.createDataFrame([(1, half), (1, half), (2, "x")], "doc_id bigint, text string")
+    assert [r.labels for r in licenses.scan(twice).collect()] == [[], [], []]  # repeated rows don't add up
+
+
 def _exact(rows, asked, k=10):
     out = {}
     for q, v in asked:

@@ -2,20 +2,22 @@
 
 Base phrases are looked for exactly, at every place. The method adds labels: a
 fixed table of licence templates is indexed by word (template, offset). Over
-all documents the document frequency of the templates' words is counted. Each
-file that mentions a licence word looks up its ``RARE`` words of highest IDF;
-every posting of such a word at place p votes for the template starting at
-p - offset. Votes that agree on a start are added up as the share of the
-template's IDF mass they explain, and a template counts where that share
-reaches ``SHARE`` and its mandatory key phrase stands in the file.
+all documents the document frequency of the templates' words is counted. Of
+each template the words of highest IDF are indexed, so many that the others
+hold less than ``SHARE`` of its IDF mass; a start that reaches the share thus
+has one of them in place. A place p of such a word in a file proposes the
+template's start p - offset, and each proposed start is verified: the IDF mass
+of all the template's words that stand in place there. A template counts where
+that reaches ``SHARE`` of its mass and its mandatory key phrase stands in the
+file.
 
 Words are runs of ASCII letters, ASCII digits and non-ASCII characters, lower
 case. (``lower`` also folds non-ASCII letters; no base phrase holds a letter
 that a non-ASCII character folds to, so base places are those of ASCII folding.)
 
-Scale: two passes over the texts, none shuffled. What is shuffled: counts of the
-templates' words (bounded), the places of rare licence words of files that
-mention one, and small rows per document. The templates' postings and the
+Scale: two passes over the texts, none shuffled; starts are proposed and
+verified within the file's row. What is shuffled: counts of the templates' words
+(bounded) and small rows per document. The templates' postings and the
 frequencies are tables of fixed size.
 
 Null texts have no words. Rows are told apart by id and text, so repeated rows
@@ -31,7 +33,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import stored
 
-RARE = 8
 SHARE = 0.6
 
 #: Base phrases and their labels.
@@ -95,25 +96,46 @@ def _base(texts: DataFrame) -> DataFrame:
     )
 
 
+def _rare(words: list[str], idf: dict[str, float]) -> list[str]:
+    """The template's words of highest IDF, until the others hold less than ``SHARE`` of its mass."""
+    mass = rest = sum(idf[w] for w in words)
+    rare = []
+    for w in sorted(set(words), key=lambda w: (-idf[w], w)):
+        if rest < (SHARE - 1e-9) * mass:
+            break
+        rare.append(w)
+        rest -= words.count(w) * idf[w]
+    return rare
+
+
 def _matches(rows: DataFrame, n: int, frequency: dict[str, int]) -> DataFrame:
     """(doc_id, row, labels, score) of the templates found."""
     idf = {w: math.log((1 + n) / (1 + frequency.get(w, 0))) + 1e-6 for w in VOCABULARY}
-    mass = [sum(idf[w] for w in t.split()) for _, _, t in TEMPLATES]
-    postings = rows.sparkSession.createDataFrame(
-        [(w, i, o, idf[w] / mass[i]) for i, (_, _, t) in enumerate(TEMPLATES) for o, w in enumerate(t.split())], "word string, template int, offset int, share double")
-    weight = F.create_map(*(F.lit(x) for w in VOCABULARY for x in (w, idf[w])))
-    words = F.split(F.trim("padded"), " ")
-    rows = rows.select("doc_id", "row", words.alias("words"), F.array_compact(F.array(*(F.when(F.col("padded").contains(f" {key} "), F.lit(i)) for i, (_, key, _) in enumerate(TEMPLATES)))).alias("keys"))
-    rows = rows.where(F.size("keys") > 0)
-    held = F.array_intersect("words", F.array(*map(F.lit, VOCABULARY)))
-    rare = F.transform(F.slice(F.array_sort(F.transform(held, lambda w: F.struct((-weight[w]).alias("o"), w.alias("w")))), 1, RARE), lambda x: x["w"])
-    rows = rows.withColumn("rare", rare)
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains("rare", x["word"]))
-    places = rows.select("doc_id", "row", "keys", F.explode(places).alias("p")).select("doc_id", "row", "keys", "p.word", "p.pos")
-    voted = places.join(F.broadcast(postings), "word").where(F.array_contains("keys", F.col("template")))
-    starts = voted.groupBy("doc_id", "row", "template", (F.col("pos") - F.col("offset")).alias("start")).agg(F.sum("share").alias("share"))
-    label = F.array(*(F.lit(x) for x, _, _ in TEMPLATES))[F.col("template")]
-    return starts.where(F.col("share") >= SHARE).groupBy("doc_id", "row").agg(F.collect_set(label).alias("labels"), F.max(F.least("share", F.lit(1.0))).alias("score"))
+    words = [t.split() for _, _, t in TEMPLATES]
+    rare = [_rare(t, idf) for t in words]
+    fields = lambda **x: F.struct(*(F.lit(v).alias(k) for k, v in x.items()))
+    postings = [F.array(*(fields(word=w, template=i, offset=o) for o, w in enumerate(t) if w in rare[i])) for i, t in enumerate(words)]
+    wanted = F.array(*(F.array(*(fields(word=w, offset=o, share=idf[w] / sum(idf[x] for x in t)) for o, w in enumerate(t))) for t in words))
+    # the postings of the templates whose key phrase is there; columns used in lambdas are used elsewhere too, or they would be computed again for every element
+    mine = F.flatten(F.array_compact(F.array(*(F.when(F.col("padded").contains(f" {key} "), postings[i]) for i, (_, key, _) in enumerate(TEMPLATES)))))
+    rows = rows.select("doc_id", "row", F.split(F.trim("padded"), " ").alias("words"), mine.alias("postings")).where(F.size("postings") > 0)
+    known = sorted({w for r in rare for w in r})
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: x["word"].isin(*known) & F.exists("postings", lambda q: q["word"] == x["word"]))
+    rows = rows.select("doc_id", "row", "words", "postings", F.when(F.size("postings") > 0, places).alias("places"))
+    # a start and its template as one number, as plain numbers are told apart by hash
+    many = len(TEMPLATES)
+    starts = F.transform("places", lambda p: F.transform(F.filter("postings", lambda q: q["word"] == p["word"]), lambda q: (p["pos"] - q["offset"]).cast("bigint") * many + q["template"]))
+    rows = rows.select("doc_id", "row", "words", F.array_distinct(F.flatten(starts)).alias("starts"))
+    share = lambda template, start: F.aggregate(
+        F.get(wanted, template), F.lit(0.0), lambda total, x: total + F.when(F.get("words", start + x["offset"]) == x["word"], x["share"]).otherwise(0.0))
+    template, start = (lambda s: F.pmod(s, F.lit(many)).cast("int")), (lambda s: F.floor(s / many).cast("int"))
+    found = F.filter(F.transform("starts", lambda s: F.struct(template(s).alias("template"), share(template(s), start(s)).alias("share"))), lambda x: x["share"] >= SHARE - 1e-9)
+    found = rows.select("doc_id", "row", found.alias("found")).dropDuplicates(["doc_id", "row"]).where(F.size("found") > 0)
+    label = F.array(*(F.lit(x) for x, _, _ in TEMPLATES))
+    return found.select(
+        "doc_id", "row", F.array_distinct(F.transform("found", lambda x: F.get(label, x["template"]))).alias("labels"),
+        F.array_max(F.transform("found", lambda x: F.least(x["share"], F.lit(1.0)))).alias("score"),
+    )
 
 
 def scan(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
