@@ -189,6 +189,16 @@ def test_main_text_of_odd_markup():
     assert found[0] == " ".join(["word"] * 4000) and found[1] == "a < b and c\n\nx" and found[2] == "deep"
 
 
+def test_main_text_after_hidden_elements():
+    whole = "<article><p>one {} two</p><p>three</p></article>"
+    # closed by themselves, without an end tag, and elements whose names only begin like a hidden one
+    for odd in ("<svg width='1'/>", "<svg/>", "<math />", "<iframe src=x />", "<object data=x>", "<canvas>", "<video controls>", "<svg><svg></svg>", "<video-player></video-player>", "<title-bar></title-bar>", "<select-box x='>'>"):
+        assert htmltext.main_texts([whole.format(odd)], htmltext.tree()) == ["one two\n\nthree"], odd
+    for gone in ("<svg><text>x</text></svg>", "<svg><svg>x</svg>x</svg>", "<svg><svg>x</svg>", "<object><object>x</object>", "<video><video>x</video>", "<svg a='/>'><g/>x</svg >", "<script>'<p>x'</script\n>", "<title>x</title>", "<iframe>x</iframe>", "<object><p>x</p></object>", "<audio>x</audio>", "<select><option>x</select>"):
+        assert htmltext.main_texts([whole.format(gone)], htmltext.tree()) == ["one two\n\nthree"], gone
+    assert htmltext.main_texts(["<article><p>a" + "<svg>" * 30000 + "<object>" * 30000 + "b</p></article>"], htmltext.tree()) == ["ab"]
+
+
 def test_decision_tree_learns_its_table():
     table = np.array(htmltext.LABELLED, float)
     assert (htmltext.classify(htmltext.tree(), table[:, :-1]) == (table[:, -1] == 1)).mean() > 0.97

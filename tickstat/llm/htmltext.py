@@ -66,7 +66,11 @@ LABELLED = (
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 FRAME_TAGS = frozenset("nav footer aside form menu dialog fieldset button select label input figcaption".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|audio|video|title"
+RAW_TAGS = "script|style|textarea|title|iframe"
+HIDDEN_TAGS = "noscript|template|svg|math|object|canvas|select|audio|video"
+#: Closed by a slash: foreign elements, and in pages written as XHTML the empty embedded ones.
+SELF_CLOSED = "svg|math|iframe|object"
+NESTED_TAGS = frozenset(["svg", "object", "template"])
 #: Words in class or id that name what isn't content.
 NAMES = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|adv|advert[a-z]*|advertisement|sponsor[a-z]*|promo[a-z]*|banner[a-z]*|cookie[a-z]*|consent|notice[a-z]*|alert[a-z]*|sidebar[a-z]*|side|menu[a-z]*|nav[a-z]*|breadcrumb[a-z]*|footer[a-z]*|masthead|topbar"
@@ -74,11 +78,47 @@ NAMES = re.compile(
 )
 _MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article-?body|post-?(?:body|content)|entry-?content|main-?content|article-?content)(?:$|[^a-z])")
 
+#: A tag's attributes, up to the closing bracket.
+_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+# an element that isn't shown goes up to its end tag; one that closes itself, or whose end tag is missing, is its tag alone (raw text goes on to the end)
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<hidden>" + HIDDEN_TAGS + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=hidden)\s*+>|\Z)"
-    r"|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s>/]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<alone>" + SELF_CLOSED + r")(?=[\s/>])(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+/>"
+    r"|<(?P<raw>" + RAW_TAGS + r")(?=[\s/>])" + _REST + r">.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
+    r"|<(?P<hidden>" + HIDDEN_TAGS + r")(?=[\s/>])" + _REST + r">"
+    r"|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s>/]*+)(?P<rest>" + _REST + r"|[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
+_SAME = {t: re.compile(rf"<(?P<close>/?){t}(?=[\s/>]){_REST}>", re.I | re.S) for t in HIDDEN_TAGS.split("|")}
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each start tag of the name ends: where its end tag ends; without the unclosed ones."""
+    out, opened = {}, []
+    for m in _SAME[tag].finditer(page):
+        if not m["close"]:
+            if not m[0].endswith("/>"):
+                opened.append(m.end())
+        elif tag in NESTED_TAGS:
+            if opened:
+                out[opened.pop()] = m.end()
+        else:
+            out.update(dict.fromkeys(opened, m.end()))
+            opened.clear()
+    return out
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, re.Match]]:
+    """(start, end, match) of each tag or hidden part, in order."""
+    at, ends = 0, {}
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if tag := (m["hidden"] or "").lower():
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            at = ends[tag].get(at, at)
+        yield m.start(), at, m
+
+
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -117,9 +157,9 @@ def cut(page: str) -> Blocks:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
+    for start, end, m in _tokens(page):
+        text(page[at:start])
+        at = end
         tag = m["tag"]
         if not tag:
             continue
