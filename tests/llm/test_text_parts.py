@@ -199,6 +199,15 @@ def test_main_text_after_hidden_elements():
     assert htmltext.main_texts(["<article><p>a" + "<svg>" * 30000 + "<object>" * 30000 + "b</p></article>"], htmltext.tree()) == ["ab"]
 
 
+def test_main_text_keeps_parts_with_slug_names():
+    kept = ['<h2 id="related-work">', '<h2 id="comments">', '<section id="naval-battles">', '<div class="side-by-side">', '<section id="legal-history">', '<section id="notice">', '<div class="alerting-systems">', '<div data-id="ad">', '<figure><figcaption>', "<p class='legal-theory'>", '<div id="socialism">']
+    gone = ['<div class="ad">', '<div class="ad-slot-2">', '<section class="comments">', '<div id="comments">', '<ul class="related-posts">', '<div role="navigation">', '<div class="box cookie-notice">', '<div class="social-share">', '<article class="comment">', '<div class="newsletter_signup">', "<nav>"]
+    for part in kept + gone:
+        end = "".join(f"</{x.split()[0].split('>')[0]}>" for x in reversed(part.split("<")[1:]))
+        want = ["one"] + ["some words of it"] * (part in kept) + ["two"]
+        assert htmltext.main_texts([f"<main><p>one</p>{part}some words of it{end}<p>two</p></main>"], htmltext.tree()) == ["\n\n".join(want)], part
+
+
 def test_decision_tree_learns_its_table():
     table = np.array(htmltext.LABELLED, float)
     assert (htmltext.classify(htmltext.tree(), table[:, :-1]) == (table[:, -1] == 1)).mean() > 0.97

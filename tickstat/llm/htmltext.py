@@ -64,18 +64,25 @@ LABELLED = (
 
 #: Tag names.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-FRAME_TAGS = frozenset("nav footer aside form menu dialog fieldset button select label input figcaption".split())
+FRAME_TAGS = frozenset("nav footer aside form menu dialog fieldset button select label input".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = "script|style|textarea|title|iframe"
 HIDDEN_TAGS = "noscript|template|svg|math|object|canvas|select|audio|video"
 #: Closed by a slash: foreign elements, and in pages written as XHTML the empty embedded ones.
 SELF_CLOSED = "svg|math|iframe|object"
 NESTED_TAGS = frozenset(["svg", "object", "template"])
-#: Words in class or id that name what isn't content.
-NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|adv|advert[a-z]*|advertisement|sponsor[a-z]*|promo[a-z]*|banner[a-z]*|cookie[a-z]*|consent|notice[a-z]*|alert[a-z]*|sidebar[a-z]*|side|menu[a-z]*|nav[a-z]*|breadcrumb[a-z]*|footer[a-z]*|masthead|topbar"
-    r"|comment[a-z]*|reply|replies|respond|disqus|share[a-z]*|sharing|social|related|recommend[a-z]*|newsletter[a-z]*|subscri[a-z]*|signup|login|popup|modal|overlay|widget[a-z]*|toolbar|pagination|pager|legal|copyright|disclaimer)(?:$|[^a-z])"
+#: Words that name what isn't content. A class, role or id does where it is made of these and of PLAIN words only.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertising advertisement advertisements sponsor sponsors sponsored promo promos promotion promotions banner banners cookie cookies consent notice notices alert alerts"
+    " sidebar sidebars menu menus nav navs navbar navigation breadcrumb breadcrumbs footer masthead topbar contentinfo complementary"
+    " comment comments commentlist reply replies respond disqus share shares sharing sharebar social related recommend recommended recommendation recommendations newsletter newsletters subscribe subscription"
+    " signup login popup modal overlay widget widgets toolbar pagination pager legal copyright disclaimer".split()
 )
+PLAIN = frozenset(
+    "area articles bar block body bottom box btn button buttons card cards center column container content count cta dialog footer form foot global group head header holder icon icons inline inner item items"
+    " js left link links list main media message meta middle mobile module outer page pages panel policy popular post posts primary right row secondary section site slot small stories text thread title to top unit video videos wp wrap wrapper".split()
+)
+_ARTICLE_NAMES = frozenset("comment comments reply replies advert adverts advertisement sponsor sponsored".split())
 _MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article-?body|post-?(?:body|content)|entry-?content|main-?content|article-?content)(?:$|[^a-z])")
 
 #: A tag's attributes, up to the closing bracket.
@@ -119,7 +126,23 @@ def _tokens(page: str) -> Iterator[tuple[int, int, re.Match]]:
         yield m.start(), at, m
 
 
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _names(tag: str, given: list[tuple[str, str]], main: int, words: frozenset = NAMES) -> bool:
+    """Whether the element's class, role or id names what isn't content. Ids of
+    headings, and of other than plain containers inside an article, are slugs of its text."""
+    ids = tag not in _HEADINGS and (not main or tag in ("div", "ul", "ol"))
+    for name, value in given:
+        if ids or name.lower() != "id":
+            for token in value.strip("\"'").lower().split():
+                parts = [x for x in re.split("[^a-z]+", token) if x]
+                if not words.isdisjoint(parts) and all(x in NAMES or x in PLAIN for x in parts):
+                    return True
+    return False
 
 
 class Blocks:
@@ -179,8 +202,9 @@ def cut(page: str) -> Blocks:
             if depth is not None:
                 del stack[depth:]
         else:
-            names = " ".join(x.strip("\"'") for x in _NAMED.findall(m["rest"])).lower() if "=" in m["rest"] else ""
-            if not block and not (names and NAMES.search(names)):
+            given = _NAMED.findall(m["rest"]) if "=" in m["rest"] else []
+            names = " ".join(x.strip("\"'") for _, x in given).lower()
+            if not block and not (given and _names(tag, given, stack[-1][1][0] if stack else 0)):
                 stack.append((tag, where))
                 continue
             flush()
@@ -200,8 +224,8 @@ def cut(page: str) -> Blocks:
             main = int(main or tag in ("article", "main") or "main" in names.split() or bool(names and _MAIN_NAMES.search(names)))
             frame = int(frame or tag in FRAME_TAGS or (tag == "header" and not main))
             if tag not in ("html", "body", "article", "main"):
-                named = int(named or bool(names and NAMES.search(names)))
-            elif tag == "article" and main and names and re.search(r"comment|reply|advert|sponsor", names):
+                named = int(named or bool(given and _names(tag, given, main)))
+            elif tag == "article" and main and given and _names(tag, given, main, _ARTICLE_NAMES):
                 named = 1
             if tag != "hr":
                 stack.append((tag, (main, frame, named)))
