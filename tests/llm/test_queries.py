@@ -78,6 +78,18 @@ def test_pii(spark, sf_small, texts, odd, nothing):
     assert pii.spans(nothing).collect() == []
 
 
+def test_pii_long_secrets_and_any_case(spark):
+    long = "".join(f"aB{i}" for i in range(300))
+    values = [f"token={long}", f"secret: {long[:128]}.{long}-{long}", f"token = \"{long[:200]}\"", f"Password: {long[:20]}", f"API_KEY={long[:20]}", f"x Secret={long[:40]}", "0123456789abcdef" * 20, "password=hunter2hunter2"]
+    rows = [(i, f"see {v} here") for i, v in enumerate(values)] * 10
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in pii.spans(frame).collect():
+        assert [(x.kind, x.v) for x in r.spans][-1][0] == "secret"
+        assert sum(len(x.v) for x in r.spans) >= len(values[r.doc_id]) - 2, values[r.doc_id]
+    for r in pii.redact(frame).collect():
+        assert "aB" not in r.text and "cdef" not in r.text and r.text.startswith("see "), r.text
+
+
 def test_pii_on_hard_texts(spark):
     hard = ["a@b@c.d a@b.c%x@y.z 1.2.3.4.5.6.7.8 999.1.1.1 0000255.1.1.1", "+1 (555) 555-1234 +1 5 +12345678901234567 4111-1111-1111-1111-", "😀 4111111111111111 😀x@y.zé " + "1" * 5000 + " a@" + "b." * 4000 + "c +1" + " " * 3000 + "é", "1 " * 4000, "5 4111111111111111 1-4111111111111111"]
     rng = random.Random(5)

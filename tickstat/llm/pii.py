@@ -43,9 +43,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+SECRET_WORDS = "password|passwd|pwd|token|secret|api_key"
 FURTHER = (
     r"(?<![A-Za-z0-9+])(?:AKIA[A-Z0-9]{16}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}"
-    r"|(?:password|passwd|pwd|token|secret|api_key)[\x20]{0,3}[=:][\x20]{0,3}\"?[A-Za-z0-9+/_.-]{8,128}+\"?|[0-9a-f]{24,128}+|[0-9]{7,34}+)(?![A-Za-z0-9])"
+    r"|(?i:" + SECRET_WORDS + r")[\x20]{0,3}[=:][\x20]{0,3}\"?[A-Za-z0-9+/_.-]{8,}+\"?|[0-9a-f]{24,}+|[0-9]{7,34}+)(?![A-Za-z0-9])"
 )
 #: Fixed word lists of the gazetteer and context labelers.
 DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu")
@@ -59,7 +60,7 @@ _PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "further":
 def _cut(text: Column) -> dict[str, Column]:
     """Gaps and matches of each pattern; only for texts that can have a match."""
     digit = text.rlike("[0-9]")
-    gates = {"email": text.contains("@"), "ip": digit, "card": digit, "phone": text.contains("+"), "further": digit | text.rlike("password|passwd|pwd|token|secret|api_key|[0-9a-f]{24}")}
+    gates = {"email": text.contains("@"), "ip": digit, "card": digit, "phone": text.contains("+"), "further": digit | text.rlike(f"(?i:{SECRET_WORDS})|[0-9a-f]{{24}}")}
     gaps = {f"_gaps_{k}": F.when(gates[k], F.split(text, p, -1)) for k, p in _PATTERNS.items()}
     return gaps | {f"_found_{k}": F.when(gates[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))) for k, p in _PATTERNS.items()}
 
@@ -138,7 +139,7 @@ def _votes(c: Column) -> list[Column]:
         vote(is_("email", "ip", "ssn") | (is_("phone", "localphone") & v.rlike(r"[0-9]{3}[)\x20.-]+[0-9]{3}[.-][0-9]{4}$")) | v.rlike(r"^AKIA|^[0-9a-f]{28,}$|[=:]"), is_("account") & (F.length(d) < 9)),
         vote(is_("card", "account") & F.length(d).between(14, 19) & luhn(d), is_("account") & F.length(d).between(14, 19) & ~luhn(d)),
         vote(
-            (is_("email") & v.rlike(r"\.(" + "|".join(DOMAIN_ENDS) + ")$")) | (is_("card", "account") & (F.length(d) > 13) & d.rlike("^(4|5[1-5]|3[47]|6011|65)")) | (is_("phone", "localphone") & d.rlike("^1?[2-9]")) | v.rlike("^AKIA|^(password|token|secret|api_key)"),
+            (is_("email") & v.rlike(r"\.(" + "|".join(DOMAIN_ENDS) + ")$")) | (is_("card", "account") & (F.length(d) > 13) & d.rlike("^(4|5[1-5]|3[47]|6011|65)")) | (is_("phone", "localphone") & d.rlike("^1?[2-9]")) | v.rlike("^AKIA|^(?i:password|token|secret|api_key)"),
             (is_("ip") & v.rlike(r"^(0|127|255)\.")) | (is_("iban") & ~v.rlike("^(DE|FR|ES|GB|IT|NL|AT|BE|CH|PL|PT|SE)")),
         ),
         vote(before.rlike(r"(^|[^a-z])(" + CUES + r")[^a-z]{0,4}$"), before.rlike(r"(^|[^a-z])(" + COUNTER_CUES + r")[^a-z]{0,4}$")),
