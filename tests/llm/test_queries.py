@@ -237,6 +237,20 @@ def test_jaccard_of_odd_texts(odd, nothing):
     assert jaccard.without_copies(odd).columns == odd.columns
 
 
+def test_copies_with_repeated_and_null_ids(spark):
+    words = lambda seed, n=40: " ".join(f"w{seed}x{i}" for i in range(n))
+    a, b, c, d, e = map(words, range(5))
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, c), (7, c), (None, d), (None, d), (None, d + " end"), (None, c), (9, e), (8, e), (8, e), (None, "x"), (None, "x"), (1, "y")]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, k int")
+    kept = jaccard.without_copies(frame)
+    assert kept.columns == frame.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(x for x in found if x[0] is not None) == [(1, "y"), (3, a), (5, b), (7, c), (8, e)]
+    assert sorted(t.replace(" end", "") for i, t in found if i is None) == sorted([d, "x"])
+    items = spark.createDataFrame([(1, words(0, 12)), (2, words(3, 12))], "item_id bigint, text string")
+    assert sorted(r.k for r in decontaminate.clean(frame, items).collect()) == [k for k, (_, t) in enumerate(rows) if t not in (a, d, d + " end")]
+
+
 def test_main_text(spark, sf_small):
     pages = table(spark, sf_small, "pages")
     found = queries.op6_main_text(spark, sf_small).collect()

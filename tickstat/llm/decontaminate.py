@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks as B
-from .store import stored, without
+from .store import stored, told_apart, without
 
 GRAM = 5
 WINDOW = 10
@@ -210,6 +210,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns: str) -> Data
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", **columns: str) -> DataFrame:
-    """The documents without any hit, all columns as they are (a document whose id is null has no match)."""
-    return without(docs, doc_id, matches(docs, benchmark, doc_id=doc_id, **columns).where(F.col("item_id").isNotNull()).select("doc_id").distinct())
+def clean(docs: DataFrame, benchmark: DataFrame, *, doc_id="doc_id", doc_text="text", **columns: str) -> DataFrame:
+    """The documents without any hit, all columns as they are. Documents are told
+    apart by id and text, so those with null or repeated ids take part."""
+    rows, _ = told_apart(docs, doc_id, doc_text)
+    return without(rows, "_key", matches(rows, benchmark, doc_id="_key", doc_text=doc_text, **columns).where(F.col("item_id").isNotNull()).select("doc_id").distinct()).drop("_key")

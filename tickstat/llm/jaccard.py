@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import blocks as B
 from .components import components
-from .store import sent, stored, without
+from .store import sent, stored, told_apart, without
 
 #: Columns of a row in one block: at least this many, under twice as many.
 BLOCK = 32
@@ -482,7 +482,20 @@ def jaccard_classes(docs: DataFrame, *, doc_id="doc_id", text="text", words: int
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def without_copies(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
-    """One document of each class (the smallest id), all columns as they are.
-    Rows with a null id stay."""
-    return without(docs, doc_id, jaccard_classes(docs, doc_id=doc_id, **options).where("component_id <> doc_id").select("doc_id").distinct())
+def without_copies(docs: DataFrame, *, doc_id="doc_id", text="text", **options) -> DataFrame:
+    """One document of each class (the smallest id, null ids last), all columns
+    as they are. Rows are told apart by id and text: of rows repeated with both
+    one stays, and an id with several texts is a document for each of them."""
+    rows, odd = told_apart(docs, doc_id, text, once=True)
+    found = jaccard_classes(rows, doc_id="_key", text=text, **options).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_stays"))
+    if odd:
+        # classes with a hashed key: who stays is found by the ids themselves
+        found = stored(found, "classes")
+        ids = rows.select("_key", F.col(doc_id).cast("bigint").alias("_id"))
+        hashed = stored(ids.where("not _key <=> _id"), "hashed")
+        classes = stored(found.join(sent(hashed), "_key", "left_semi").select("_stays").distinct(), "odd-classes")
+        order = F.expr("case when _id is not null then struct(false as none, _id as id, _key as key) when _hashed then struct(true as none, _key as id, _key as key) else struct(false as none, _key as id, _key as key) end")
+        members = found.join(sent(classes), "_stays").join(sent(hashed.withColumn("_hashed", F.lit(True))), "_key", "left")
+        first = stored(members.groupBy("_stays").agg(F.min(order)["key"].alias("_first")), "first")
+        found = found.join(sent(first), "_stays", "left").select("_key", F.coalesce("_first", "_stays").alias("_stays"))
+    return without(rows, "_key", found.where("_stays <> _key").select("_key").distinct()).drop("_key")

@@ -44,3 +44,19 @@ def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """The rows whose key isn't in ``gone`` (one column); rows with a null key stay."""
     gone = stored(gone.toDF("_gone"), "gone")
     return docs.join(sent(gone), docs[key] == gone["_gone"], "left_anti")
+
+
+def told_apart(docs: DataFrame, doc_id: str, text: str, once: bool = False) -> tuple[DataFrame, bool]:
+    """The documents with a column _key that tells them apart by id and text, and
+    whether that differs from the id: the id where it occurs once, a hash of
+    both where it is null or repeated. With ``once``, one row of each key."""
+    kind = "bigint" if dict(docs.dtypes)[doc_id] in ("tinyint", "smallint", "int", "bigint") else "string"
+    own = docs.withColumn("_key", F.col(doc_id).cast(kind))
+    care = own.groupBy("_key").count().where("count > 1 or _key is null")
+    care = stored(care.select(F.col("_key").alias("_care")), "repeated")
+    if care.isEmpty():
+        return own, False
+    on = F.expr("_key <=> _care")
+    hashed = F.xxhash64(F.col("_key").isNull(), "_key", F.col(text).isNull(), F.col(text).cast("string")).cast(kind)
+    odd = own.join(sent(care), on, "left_semi").withColumn("_key", hashed)
+    return own.join(sent(care), on, "left_anti").unionByName(odd.dropDuplicates(["_key"]) if once else odd), True
