@@ -74,6 +74,67 @@ def test_bpe_keeps_a_bounded_number_of_pieces(monkeypatch):
     assert found == [large.encode(data, offsets, i, i + 1)[0].tolist() for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("part", [7, 40, 300])
+def test_bpe_of_texts_cut_into_parts(monkeypatch, part):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.RANKS), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "PART", part)
+    monkeypatch.setattr(bpe, "REPLAY", 64)
+    coder = bpe.Encoder(bpe.ranks(P.path(bpe.RANKS)))
+    texts = _random_texts(1500, "ab 'strevlmd\n\t1é! 日😀　二x", 120, 5) + ["日本" * 50 + "。" + "語" * 30, "it's I'll 's'll" * 20, "", "a" * 900]
+    data, offsets = B.text_bytes(pa.array(texts))
+    ids, limits = coder.encode(data, offsets, 0, len(texts))
+    for i, t in enumerate(texts):
+        assert ids[limits[i] : limits[i + 1]].tolist() == library.encode_ordinary(t)
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert b"".join(p.tobytes() for p in bpe.parts(raw, part)) == t.encode()
+
+
+def test_bpe_tells_pieces_with_one_hash_apart(monkeypatch):
+    table = bpe.ranks(P.path(bpe.RANKS))
+    texts = _random_texts(200, "abcde fgh", 60, 7)
+    data, offsets = B.text_bytes(pa.array(texts))
+    right, right_limits = bpe.Encoder(table).encode(data, offsets, 0, len(texts))
+    plain_hash = bpe._piece_hash
+    poor = lambda codes, a, b: plain_hash(codes, a, b) >> np.uint64(58)
+    check = bpe._check_hash(data, offsets[:-1], offsets[1:])
+    monkeypatch.setattr(bpe, "_piece_hash", poor)
+    monkeypatch.setattr(bpe, "_check_hash", lambda codes, a, b: plain_hash(bpe._OTHER_BYTES[codes], a, b))
+    assert (bpe._check_hash(data, offsets[:-1], offsets[1:]) == check).all()
+    found, limits = bpe.Encoder(bpe.Ranks(P.path(bpe.RANKS))).encode(data, offsets, 0, len(texts))
+    assert (found == right).all() and (limits == right_limits).all()
+
+
+def test_one_text_of_64_mb_needs_little_memory():
+    """In a process of its own, so that its peak is its own."""
+    code = """
+import hashlib, resource, numpy as np, public_tokenizers as P
+from tickstat.llm import bpe
+rng = np.random.default_rng(1)
+words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(30000)]
+one = " ".join(words) + "\\n"
+raw = np.frombuffer((one * (1 + (64 << 20) // len(one))).encode(), np.uint8)
+table = bpe.ranks(P.path(bpe.RANKS))
+coder = bpe.Encoder(table)
+first = coder._part(raw[: len(one)], np.array([len(one)]))[0]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+back, n = hashlib.sha256(), 0
+for part in bpe.parts(raw, bpe.PART):
+    ids, _ = coder._part(part, np.array([len(part)]))
+    n += len(ids)
+    back.update(bpe.decode(ids, table).tobytes())
+assert back.hexdigest() == hashlib.sha256(raw.tobytes()).hexdigest()
+assert abs(n - len(first) * (len(raw) // len(one))) <= 2 * len(raw) // len(one)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 250, done.stdout
+
+
 def test_merge_out_of_rank_order():
     """A rank file in which a merge opens a pair of lower rank."""
     table = object.__new__(bpe.Ranks)

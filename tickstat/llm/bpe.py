@@ -15,12 +15,18 @@ rank than its own, that piece alone is encoded again pair by pair, so every
 piece gets exactly the ids of the rank file, whatever its order. A piece that
 is itself a token is that token, as the library has it.
 
-Scale: nothing is shuffled; a task's memory is bounded by one block of text, and
-the encoded pieces kept between batches are bounded by ``CACHE`` pieces.
-
-Null texts count as empty: no ids, and the digests of no bytes. Long texts are
-whole (a block holds whole rows, one at least). Repeated rows give equal rows,
-empty tables empty results, further columns are ignored by ``encode``.
+Scale: nothing is shuffled. A task holds one part of about ``PART`` bytes of
+text at a time: parts are whole rows, and a longer text is cut where a piece
+surely ends (``parts``), so that one very long text needs no more memory than
+many short ones; only a single piece is never cut. New pieces are replayed
+``REPLAY`` bytes at a time. The encoded pieces kept between parts are bounded by
+``CACHE`` pieces and ``CACHE_IDS`` ids. Pieces are known by a hash and told
+apart by a second one; where that differs, the piece is encoded by itself.
+Rows of ids leave in batches of about ``OUT`` bytes of text (one row at least).
+
+Null texts count as empty: no ids, and the digests of no bytes. Texts are
+encoded whole. Repeated rows give equal rows, empty tables empty results,
+further columns are ignored by ``encode``.
 """
 
 from __future__ import annotations
@@ -40,8 +46,11 @@ from pyspark.sql import DataFrame, functions as F
 from . import blocks as B
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-BLOCK = 8 << 20
+PART = 4 << 20
+REPLAY = 2 << 20
 CACHE = 600_000
+CACHE_IDS = 8 << 20
+OUT = 4 << 20
 NONE = np.int32(2**31 - 1)
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _LIMIT = range(5)
@@ -128,6 +137,7 @@ class Ranks:
         h = _piece_hash(codes, self.ends[:-1], self.ends[1:])
         order = np.argsort(h)
         self.whole_hash, self.whole_id = h[order], order.astype(np.int32)
+        self.whole_check = _check_hash(codes, self.ends[:-1], self.ends[1:])[order]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (B.mix(keys.view(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
@@ -146,15 +156,29 @@ class Ranks:
         return out
 
     def plain(self, piece: bytes) -> list[int]:
-        """Ids of one piece, pair by pair."""
-        parts = [bytes([b]) for b in piece]
-        while len(parts) > 1:
-            best = min((self.rank.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if best[0] == NONE:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.rank[p] for p in parts]
+        """Ids of one piece, pair by pair: the pair of lowest rank first, the leftmost of equal ones."""
+        n = len(piece)
+        end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it's merged away
+        before = list(range(-1, n - 1))
+        rank = lambda i: self.rank.get(piece[i : end[end[i]]]) if end[i] < n else None
+        heap = [(r, i, end[end[i]]) for i in range(n - 1) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            if not end[i] or end[i] >= n or end[end[i]] != stop:
+                continue  # one of the two parts has changed since
+            gone = end[i]
+            end[i], end[gone] = stop, 0
+            if stop < n:
+                before[stop] = i
+            for j in (before[i], i):
+                if j >= 0 and (r := rank(j)) is not None:
+                    heapq.heappush(heap, (r, j, end[end[j]]))
+        out, i = [], 0
+        while i < n:
+            out.append(self.rank[piece[i : end[i]]])
+            i = end[i]
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -166,13 +190,56 @@ def _piece_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return B.mix(B.span_hashes(codes, start, end) + (end - start).astype(np.uint64))
 
 
+#: Another order of the bytes, for the second hash.
+_OTHER_BYTES = np.random.default_rng(77).permutation(256).astype(np.uint8)
+
+
+def _check_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _piece_hash(_OTHER_BYTES[codes], start, end)
+
+
+def _last_cut(points: np.ndarray) -> int:
+    """The last place of a text's part where a piece starts whatever stands
+    before or behind the part; 0 if there is none. Such a place lies between two
+    classes, not behind white space (which may join what follows) and not
+    between an apostrophe and a letter (a contraction)."""
+    kind = _classes()[points]
+    sure = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE) & ~((points[:-1] == 0x27) & (kind[1:] == _LETTER))
+    at = np.flatnonzero(sure)
+    return int(at[-1]) + 1 if len(at) else 0
+
+
+def parts(raw: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """A text's bytes in parts of about ``limit`` bytes; pieces never cross them."""
+    lo, size = 0, limit
+    while len(raw) - lo > size:
+        hi = lo + size
+        while raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        for tail in (1 << 12, size):  # a short look at the end, then the whole part
+            a = max(lo, hi - tail)
+            while raw[a] & 0xC0 == 0x80:
+                a += 1
+            points = np.frombuffer(raw[a:hi].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            found = _last_cut(points)
+            if found or a == lo:
+                break
+        if not found:
+            size *= 2
+            continue
+        hi -= len(points[found:].tobytes().decode("utf-32-le").encode("utf-8"))
+        yield raw[lo:hi]
+        lo, size = hi, limit
+    yield raw[lo:]
+
+
 def replay(data: np.ndarray, limits: np.ndarray, table: Ranks, bands: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """(ids, limits) of pieces given as bytes; the merges of the rank file in order, over all pieces at once."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int32), np.zeros(len(limits), np.int64)
     tok = table.byte[data]
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     ends = limits[1:][limits[1:] > limits[:-1]] - 1
     last = np.zeros(n + 1, bool)
     last[ends] = True
@@ -265,65 +332,104 @@ def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 class Encoder:
-    """Encodes batches; keeps the pieces seen, up to a bound."""
+    """Encodes parts of texts; keeps the pieces seen, up to a bound."""
 
     def __init__(self, table: Ranks):
         self.table = table
         self._empty()
 
     def _empty(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
+        self.hash = self.check = np.zeros(0, np.uint64)
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, codes: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Adds pieces that are not known yet."""
+    def _learn(self, codes: np.ndarray, h: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Adds pieces that are not known yet; h is in ascending order."""
+        own, counts = [], []
         size = end - start
-        data = gather(codes, start, size)
-        ids, limits = replay(data, np.concatenate([[0], np.cumsum(size)]), self.table)
-        first, count = limits[:-1].copy(), np.diff(limits)
-        at = np.minimum(np.searchsorted(self.table.whole_hash, h), len(self.table.whole_hash) - 1)
-        token = self.table.whole_hash[at] == h
-        first[token] = len(ids) + self.table.whole_id[at[token]]
-        count[token] = 1
-        ids = np.concatenate([ids, np.arange(len(self.table.tokens), dtype=np.int32)])
-        ids = gather(ids, first, count)
-        merged = np.concatenate([self.hash, h])
-        order = np.argsort(merged, kind="stable")
-        self.hash = merged[order]
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])[order]
-        self.size = np.concatenate([self.size, count])[order]
-        self.ids = np.concatenate([self.ids, ids])
+        group = np.cumsum(size) // REPLAY
+        for which in np.split(np.arange(len(h)), np.flatnonzero(np.diff(group)) + 1):
+            ids, limits = replay(gather(codes, start[which], size[which]), np.concatenate([[0], np.cumsum(size[which])]), self.table)
+            first, count = limits[:-1].copy(), np.diff(limits)
+            at = np.minimum(np.searchsorted(self.table.whole_hash, h[which]), len(self.table.whole_hash) - 1)
+            token = np.flatnonzero(self.table.whole_hash[at] == h[which])
+            token = token[self.table.whole_check[at[token]] == check[which[token]]]
+            ids = np.concatenate([ids, self.table.whole_id[at[token]]])
+            first[token], count[token] = len(ids) - len(token) + np.arange(len(token)), 1
+            own.append(gather(ids, first, count))
+            counts.append(count)
+        count = np.concatenate(counts)
+        at = np.searchsorted(self.hash, h)
+        self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(count) - count)
+        self.size = np.insert(self.size, at, count)
+        self.check = np.insert(self.check, at, check)
+        self.hash = np.insert(self.hash, at, h)
+        self.ids = np.concatenate([self.ids, *own])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, limits of the rows) of rows lo..hi."""
-        raw = data[int(offsets[lo]) : int(offsets[hi])]
+        """(ids, limits of the rows) of rows lo..hi; a longer block goes by parts."""
+        ids, limits = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        done = 0
+        for a, b in B.row_blocks(offsets[lo : hi + 1], PART):
+            a, b = a + lo, b + lo
+            raw = data[int(offsets[a]) : int(offsets[b])]
+            for part in parts(raw, PART) if b == a + 1 else (raw,):
+                ends = offsets[a + 1 : b + 1] - offsets[a] if b > a + 1 else np.array([len(part)])
+                own, own_limits = self._part(part, ends)
+                ids.append(own)
+                if b > a + 1:
+                    limits.append(done + own_limits[1:])
+                done += len(own)
+            if b == a + 1:
+                limits.append(np.array([done]))
+        return np.concatenate(ids), np.concatenate(limits)
+
+    def _part(self, raw: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, limits of the rows) of one part; its rows end at the given bytes."""
+        rows = len(row_ends)
         points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
-        byte_at = np.concatenate([[0], np.cumsum(width)])
-        row_end = np.searchsorted(byte_at, offsets[lo + 1 : hi + 1] - offsets[lo])
+        byte_at = np.zeros(len(points) + 1, np.int32)
+        np.cumsum(width, out=byte_at[1:])
+        row_end = np.searchsorted(byte_at, row_ends)
         start = cut(np.insert(points, row_end, _BREAK))
+        n_points = len(points)
+        del points, width
         # back to places without the breaks
-        breaks = row_end + np.arange(hi - lo)
+        breaks = row_end + np.arange(rows)
         start = start[~np.isin(start, breaks)]
         start = start - np.searchsorted(breaks, start)
-        end = np.concatenate([start[1:], [len(points)]])
         limits = np.searchsorted(start, np.concatenate([[0], row_end]))
         if not len(start):
-            return np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64)
-        b0, b1 = byte_at[start], byte_at[end]
-        h = _piece_hash(raw, b0, b1)
+            return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
+        b0, b1 = byte_at[start].astype(np.int64), byte_at[np.concatenate([start[1:], [n_points]])].astype(np.int64)
+        del byte_at, start
+        h, check = _piece_hash(raw, b0, b1), _check_hash(raw, b0, b1)
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        del h
         known = np.isin(distinct, self.hash, assume_unique=True)
-        if len(self.hash) + (~known).sum() > CACHE and len(self.hash):
+        if len(self.hash) and (len(self.hash) + (~known).sum() > CACHE or len(self.ids) > CACHE_IDS):
             self._empty()
             known[:] = False
         new = first[~known]
         if len(new):
-            self._learn(raw, distinct[~known], b0[new], b1[new])
+            self._learn(raw, distinct[~known], check[new], b0[new], b1[new])
         at = np.searchsorted(self.hash, distinct)[which]
         size = self.size[at]
+        other = np.flatnonzero(self.check[at] != check)
+        del which, check, distinct, first
+        if not len(other):
+            ends = np.concatenate([[0], np.cumsum(size)])
+            return gather(self.ids, self.start[at], size), ends[limits]
+        # pieces whose first hash is another piece's: each by itself
+        place, more, n = self.start[at], [], len(self.ids)
+        for i in other.tolist():
+            piece = raw[b0[i] : b1[i]].tobytes()
+            own = [self.table.rank[piece]] if piece in self.table.rank else self.table.plain(piece)
+            place[i], size[i] = n, len(own)
+            more += own
+            n += len(own)
         ends = np.concatenate([[0], np.cumsum(size)])
-        return gather(self.ids, self.start[at], size), ends[limits]
+        return gather(np.concatenate([self.ids, np.array(more, np.int32)]), place, size), ends[limits]
 
 
 def decode(ids: np.ndarray, table: Ranks) -> np.ndarray:
@@ -347,24 +453,39 @@ def encode(docs: DataFrame, *, doc_id="doc_id", text="text", path: str | None =
     path = path or public_tokenizers.path(RANKS)
     key_type = docs.schema[doc_id].dataType.simpleString()
 
+    def digest(coder: Encoder, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, digest of the ids, digest of the decoded bytes) of each row, part by part."""
+        for a, b in B.row_blocks(offsets[lo : hi + 1], PART):
+            raw = data[int(offsets[lo + a]) : int(offsets[lo + b])]
+            long = b == a + 1
+            n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+            for part in parts(raw, PART) if long else (raw,):
+                ids, limits = coder._part(part, np.array([len(part)]) if long else offsets[lo + a + 1 : lo + b + 1] - offsets[lo + a])
+                ends = np.concatenate([[0], np.cumsum(coder.table.ends[ids + 1] - coder.table.ends[ids])])[limits]
+                packed, back = ids.astype("<u4").tobytes(), decode(ids, coder.table).tobytes()
+                if long:
+                    n += len(ids)
+                    of_ids.update(packed)
+                    of_bytes.update(back)
+                else:
+                    sha = lambda x: hashlib.sha256(x).hexdigest()
+                    for i in range(b - a):
+                        yield int(limits[i + 1] - limits[i]), sha(packed[4 * limits[i] : 4 * limits[i + 1]]), sha(back[ends[i] : ends[i + 1]])
+            if long:
+                yield n, of_ids.hexdigest(), of_bytes.hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path)
         for batch in batches:
             data, offsets = B.text_bytes(batch.column(1))
-            for lo, hi in B.row_blocks(offsets, BLOCK):
-                ids, limits = coder.encode(data, offsets, lo, hi)
-                key, sizes = batch.column(0).slice(lo, hi - lo), pa.array(np.diff(limits).astype(np.int64))
-                if not digests:
-                    yield pa.RecordBatch.from_arrays([key, sizes, pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+            for lo, hi in B.row_blocks(offsets, OUT):
+                key = batch.column(0).slice(lo, hi - lo)
+                if digests:
+                    n, a, b = zip(*digest(coder, data, offsets, lo, hi))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                     continue
-                size = coder.table.ends[ids + 1] - coder.table.ends[ids]
-                back = decode(ids, coder.table).tobytes()
-                ends = np.concatenate([[0], np.cumsum(size)])[limits]
-                packed = ids.astype("<u4").tobytes()
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                yield pa.RecordBatch.from_arrays(
-                    [key, sizes, pa.array([sha(packed[4 * a : 4 * b]) for a, b in zip(limits[:-1], limits[1:])], pa.string()), pa.array([sha(back[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, limits = coder.encode(data, offsets, lo, hi)
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(limits)), pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
     rest = "ids array<int>" if not digests else "ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {key_type}, n_tokens bigint, {rest}")
