@@ -16,6 +16,7 @@ from . import licenses as L
 from . import pii as P
 from . import shards as S
 from . import toxicity as X
+from . import variants as V
 from .store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.jaccard_classes(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = V.runs(table(spark, sf_dir, "documents"))
+    return V.group(V.counts(runs.select(V.damaged(runs)))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -82,4 +88,5 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
+    "op12_variants": op12_variants,
 }

@@ -37,7 +37,40 @@ SELECT dw.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.x = dw.doc_id GROUP BY dw.doc_id, n.n
 """
 
+#: crc32 (as in RFC 1952) of a text's UTF-8 bytes, from a 256-entry table made by rule.
+CRC = "tab AS (SELECT list(list_reduce(list_prepend(i, list_transform(range(8), lambda k: 0::BIGINT)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i))"
+
+
+def _crc(text: str) -> str:
+    """SQL of the unsigned crc32 of a text expression; ``tab`` has to be in scope."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+OP12 = rf"""
+WITH RECURSIVE {CRC},
+run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS x FROM documents) WHERE length(x) >= 7),
+hashed AS (SELECT r, {_crc("d || ':' || r")} AS h FROM run, tab),
+w AS (
+  SELECT x AS word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS x FROM hashed)
+  WHERE length(x) >= 7 GROUP BY x HAVING count(*) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pair AS (
+  SELECT x.word AS s, y.word AS r, y.n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON w.word = a || b
+  UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON w.word = a || b),
+best AS (SELECT s, count(*) AS n_near, arg_min(r, row(-n, r)) AS r, max(n) AS n FROM pair GROUP BY s),
+form AS (SELECT word, w.n, n_near, CASE WHEN best.n >= 10 * w.n THEN r END AS form, CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n FROM w LEFT JOIN best ON s = word),
+chain AS (SELECT word, word AS got, 0 AS step FROM form UNION ALL SELECT chain.word, form.form, step + 1 FROM chain JOIN form ON form.word = chain.got WHERE form.form IS NOT NULL),
+root AS (SELECT word, arg_max(got, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, CAST(n AS BIGINT) AS n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM form JOIN root USING (word)
+"""
+
 SQL: dict[str, str] = {
     "op5_jaccard": OP5,
     "op10_decontaminate": OP10,
+    "op12_variants": OP12,
 }
