@@ -16,8 +16,9 @@ from . import licenses as L
 from . import pii as P
 from . import shards as S
 from . import toxicity as X
+from . import trie as T
 from . import variants as V
-from .store import table
+from .store import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,11 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.group(V.counts(runs.select(V.damaged(runs)))).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(T.ranked(table(spark, sf_dir, "conversations")), "ranked")
+    return T.prefix_trie(*T.regrafted(turns))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -89,4 +95,5 @@ QUERIES: dict[str, Query] = {
     "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
     "op12_variants": op12_variants,
+    "op13_trie": op13_trie,
 }

@@ -69,8 +69,32 @@ root AS (SELECT word, arg_max(got, step) AS root FROM chain GROUP BY word)
 SELECT word, form, root, CAST(n AS BIGINT) AS n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM form JOIN root USING (word)
 """
 
+OP13 = rf"""
+WITH {CRC},
+turn AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+size AS (SELECT c, count(*) AS n FROM turn GROUP BY c),
+plan AS (SELECT c, c - c % 5 AS base, {_crc("CAST(c AS VARCHAR)")} % 9 AS h FROM size, tab),
+cut AS (SELECT plan.*, least(h, coalesce(n, 0)) AS k FROM plan LEFT JOIN size ON size.c = plan.base),
+again AS (
+  SELECT cut.c, p, r, x FROM cut JOIN turn ON turn.c = cut.base AND p <= h
+  UNION ALL SELECT cut.c, k + p - h, r, x FROM cut JOIN turn ON turn.c = cut.c AND p > h),
+path AS (SELECT cut.c, coalesce(list([r, x] ORDER BY p) FILTER (p IS NOT NULL), []) AS l FROM cut LEFT JOIN again ON again.c = cut.c GROUP BY cut.c),
+pre AS (SELECT c, len(l) AS n, d, l[1:d] AS k FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM path)),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * octet_length(encode(coalesce(k[-1][2], ''))) AS saved, string_agg(c, ',' ORDER BY c) FILTER (n = d) AS ends FROM pre GROUP BY d, k),
+named AS (SELECT pre.c, pre.d, node.conv_id FROM pre JOIN node ON node.d = pre.d AND node.k = pre.k),
+edge AS (SELECT node.*, named.conv_id AS parent_conv_id FROM node LEFT JOIN named ON named.c = node.conv_id AND named.d = node.d - 1),
+kids AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n FROM edge WHERE d > 0 GROUP BY ALL),
+val AS (SELECT edge.*, coalesce(kids.n, 0) AS n_children FROM edge LEFT JOIN kids USING (conv_id, d)),
+total AS (
+  SELECT named.conv_id, named.d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM val JOIN named ON named.c = val.conv_id AND named.d <= val.d GROUP BY named.conv_id, named.d)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM val JOIN total USING (conv_id, d)
+"""
+
 SQL: dict[str, str] = {
     "op5_jaccard": OP5,
     "op10_decontaminate": OP10,
     "op12_variants": OP12,
+    "op13_trie": OP13,
 }
