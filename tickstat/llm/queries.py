@@ -14,6 +14,7 @@ from . import idfiles as I
 from . import jaccard as J
 from . import licenses as L
 from . import pii as P
+from . import secretscan as K
 from . import shards as S
 from . import toxicity as X
 from . import trie as T
@@ -73,6 +74,13 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.jaccard_classes(table(spark, sf_dir, "documents"), words=3, similarity=(90, 100))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = K.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, K.KINDS[:3]), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = V.runs(table(spark, sf_dir, "documents"))
     return V.group(V.counts(runs.select(V.damaged(runs)))).select("word", "form", "root", "n", "n_near", "form_n")
@@ -94,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_shards": op9_shards,
     "op10_decontaminate": op10_decontaminate,
+    "op11_secrets": op11_secrets,
     "op12_variants": op12_variants,
     "op13_trie": op13_trie,
 }
