@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickstat.functions.symbols import KEEP_QUOTES, is_leveraged_contains, quote_allowed
 from tickstat.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 from tickstat.operators.quantiles import quantile_value, quantiles
+from tickstat.sources.shared import stored
 
 REGIMES = ("BULL", "BEAR", "NEUTRAL")
 BETA_COLS = ("n", "beta", "var_x", "cov_xy", "mean_x", "mean_y")
@@ -154,9 +155,15 @@ def top_delta_beta(pivot: DataFrame) -> DataFrame:
             .orderBy(F.col("delta_beta_bear_minus_bull").desc_nulls_last(), F.col("symbol")))
 
 
+def strongest(betas: DataFrame, by: str, k: int = 15) -> DataFrame:
+    """The k rows with the largest ``by`` (symbol breaks ties): hyper-sensitive
+    pairs by ``beta``, regime changes by ``delta_beta_bear_minus_bull``."""
+    return betas.orderBy(F.col(by).desc_nulls_last(), F.col("symbol")).limit(k)
+
+
 def hyper_sensitive(overall: DataFrame, p: BetaParams = BetaParams()) -> DataFrame:
     """Overall betas at or above the ``hyper_q`` quantile of all betas."""
-    nn = overall.where(F.col("beta").isNotNull())
+    nn = stored(overall.where(F.col("beta").isNotNull()), "betas")  # one row per symbol, read for the cutoff and the list
     cut = quantile_value(nn, "beta", p.hyper_q, exact=p.exact, accuracy=p.accuracy)
     return nn.where(F.col("beta") >= F.lit(cut).cast("double")).orderBy(F.col("beta").desc(), F.col("symbol"))
 

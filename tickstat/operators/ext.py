@@ -17,7 +17,8 @@ from tickstat.functions.bars import guarded_div
 from tickstat.functions.symbols import LARGE, LARGE_CAP_TWO, MID, SMALL
 from tickstat.operators.joins import broadcast_if_small
 from tickstat.operators.quantiles import quantiles
-from tickstat.operators.series import last_known, previous_value, previous_values, rolling, running_total
+from tickstat.sources.shared import stored
+from tickstat.operators.series import last_known, previous_value, previous_values, running_total, trailing_moments
 
 
 # ------------------------------------------------------------------ N1, N2, N5: bars
@@ -133,11 +134,13 @@ def drawdown(features: DataFrame, threshold: float = 0.2, unit: str = "month") -
 
 
 def rolling_beta(joined: DataFrame, seconds: int, min_n: int = 2, y: str = "ret", x: str = "btc_ret") -> DataFrame:
-    """Beta of ``y`` on ``x`` over a trailing time window per symbol."""
-    out = rolling(joined.select("symbol", "open_time", y, x), {
-        "_n": F.count(F.col(y)), "_cov": F.covar_pop(y, x), "_var": F.var_pop(x)}, seconds)
-    beta = F.when((F.col("_n") >= min_n) & (F.abs("_var") > F.lit(1e-18)), F.col("_cov") / F.col("_var"))
-    return out.select("symbol", "open_time", F.col("_n").alias("n_window"), beta.alias("rolling_beta"))
+    """Beta of ``y`` on ``x`` over a trailing time window per symbol, in time
+    linear in the rows whatever the window's length (see ``trailing_moments``)."""
+    out = trailing_moments(joined.select("symbol", "open_time", y, x), y, x, seconds)
+    m = F.col("_m")
+    cov, var = F.when(m["n"] > 0, m["c"] / m["n"]), F.when(m["nx"] > 0, m["v"] / m["nx"])
+    beta = F.when((m["ny"] >= min_n) & (F.abs(var) > F.lit(1e-18)), cov / var)
+    return out.select("symbol", "open_time", m["ny"].cast("bigint").alias("n_window"), beta.alias("rolling_beta"))
 
 
 def cusum_break(features: DataFrame, symbols: Sequence[str] = ("BTC-USDT", "ETH-USDT"),
@@ -167,8 +170,7 @@ def intensity_jumps(features: DataFrame, q: float = 0.99, exact: bool = False, u
                        unit=unit)
     d = d.withColumn("trade_jump", F.abs(F.col("number_of_trades") - F.col("_prev"))).drop("_prev")
     thr = quantiles(d, "trade_jump", {"jump_threshold": q}, ["symbol"], exact=exact)
-    # thresholds: one row per symbol, already a local table built from the collected picks
-    return d.join(F.broadcast(thr), "symbol", "left").withColumn(
+    return d.join(broadcast_if_small(stored(thr, "jump_thresholds")), "symbol", "left").withColumn(
         "is_jump", F.col("trade_jump") >= F.col("jump_threshold"))
 
 

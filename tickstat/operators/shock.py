@@ -13,6 +13,7 @@ from tickstat.functions.symbols import is_leveraged_regex
 from tickstat.operators.joins import MAX_BROADCAST_ROWS, fits_broadcast
 from tickstat.operators.quantiles import quantiles
 from tickstat.schemas import LAG_EFFECT_COLUMNS, require_columns
+from tickstat.sources.shared import stored
 
 # Fixed values from the reference: driver pairs and the scanned lags (minutes).
 DRIVERS = ("BTC-USDT", "ETH-USDT")
@@ -46,9 +47,11 @@ def shock_calendar(features: DataFrame, p: ShockParams = ShockParams()) -> DataF
 
     A driver bar is a shock when trades >= its threshold; null trades and a
     missing driver count as no shock. The reference's full outer join of the
-    two drivers is one group-by here (same rows, no outer join)."""
-    thr = F.broadcast(shock_thresholds(features, p))  # at most len(p.drivers) rows
-    drv = features.where(F.col("symbol").isin(list(p.drivers))).select("open_time", "symbol", "number_of_trades")
+    two drivers is one group-by here (same rows, no outer join). The drivers'
+    rows are written once, so the features are read once for the thresholds
+    and the calendar."""
+    drv = stored(features.where(F.col("symbol").isin(list(p.drivers))).select("open_time", "symbol", "number_of_trades"), "drivers")
+    thr = F.broadcast(shock_thresholds(drv, p))  # at most len(p.drivers) rows
     flag = F.coalesce((F.col("number_of_trades") >= F.col("threshold")).cast("int"), F.lit(0))
     return (
         drv.join(thr, "symbol", "left")
@@ -110,7 +113,7 @@ def lag_effects(features: DataFrame, p: ShockParams = ShockParams(), calendar: D
     """
     if p.unit not in _UNITS:
         raise ValueError(f"unit must be one of {sorted(_UNITS)}")
-    cal = calendar if calendar is not None else shock_calendar(features, p)
+    cal = calendar if calendar is not None else stored(shock_calendar(features, p), "calendar")
     lags = F.array(*[F.lit(int(x)) for x in p.lags])
     if fits_broadcast(cal, p.max_broadcast_rows):
         rec = _receivers(features, p).select("*", F.explode(lags).alias("lag"))
@@ -126,7 +129,7 @@ def lag_effects(features: DataFrame, p: ShockParams = ShockParams(), calendar: D
 def lag_effects_union(features: DataFrame, p: ShockParams = ShockParams()) -> DataFrame:
     """H1: one shifted calendar per lag, united by name, and one join with the
     receivers. Kept as the cross-check of ``lag_effects``."""
-    cal = shock_calendar(features, p)
+    cal = stored(shock_calendar(features, p), "calendar")
     parts = [cal.select(F.lit(int(lag)).alias("lag"), F.timestamp_add(_UNITS[p.unit], F.lit(int(lag)), F.col("open_time")).alias("open_time"), "any_shock") for lag in p.lags]
     shifted = reduce(lambda a, b: a.unionByName(b), parts)
     return _effects(_receivers(features, p).join(shifted, "open_time"), p)
@@ -142,6 +145,11 @@ def top_by_delta(effects: DataFrame, lag: int = 0, k: int = 20) -> DataFrame:
     )
 
 
+def top_best_lags(best: DataFrame, metric: str = "delta_vol", k: int = 10) -> DataFrame:
+    """The k symbols with the strongest response at their best lag (symbol breaks ties)."""
+    return best.orderBy(F.col(f"best_{metric}").desc_nulls_last(), F.col("symbol").asc()).limit(k)
+
+
 def _lag_col(df: DataFrame) -> str:
     return "lag" if "lag" in df.columns else "lag_min"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickstat.functions.symbols import LARGE_CAP_LIST, LARGE_CAP_TWO, tier
 from tickstat.operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 from tickstat.operators.quantiles import quantile_value, quantiles
+from tickstat.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -58,8 +59,9 @@ def stress_minutes(features: DataFrame, p: StressParams = StressParams()) -> Dat
     """M5: per minute, the BTC bar and ``is_stress`` = Parkinson >= threshold.
 
     Null Parkinson or a null threshold (no BTC at all) gives a null flag."""
-    thr = stress_threshold(features, p)
-    return btc_pick(features, p).withColumn(
+    pick = stored(btc_pick(features, p), "btc_pick")  # one row per minute, read for the threshold and the flag
+    thr = quantile_value(pick, "btc_parkinson_var_1m", p.q, exact=p.exact, accuracy=p.accuracy)
+    return pick.withColumn(
         "is_stress", F.col("btc_parkinson_var_1m") >= F.lit(thr).cast("double")
     )
 
@@ -72,6 +74,7 @@ def stress_days(features: DataFrame, p: StressParams = StressParams()) -> DataFr
         .groupBy(F.to_date("open_time").alias("date"))
         .agg(F.avg("parkinson_var_1m").alias("btc_daily_vol"))
     )
+    daily = stored(daily, "btc_days")
     thr = quantile_value(daily, "btc_daily_vol", p.q, exact=p.exact, accuracy=p.day_accuracy)
     return daily.withColumn("is_stress", F.col("btc_daily_vol") >= F.lit(thr).cast("double"))
 

@@ -530,11 +530,11 @@ def q_sample_cap(spark, sf_dir):
     return Dd.sample_uniform(features_d(spark, sf_dir), _KEY_D, 0.1, 42, cap=50).select("symbol", "open_time", "log_return")
 
 
-_STRATA = {"LARGE_CAP|true": 0.5, "LARGE_CAP|false": 0.05, "SMALL_CAP|true": 0.2, "SMALL_CAP|false": 0.01}
+_STRATA = {"LARGE_CAP|true": 0.5, "LARGE_CAP|false": 0.05, "SMALL_CAP|true": 0.2, "SMALL_CAP|false": 0.01, "LARGE_CAP|null": 0.3, "SMALL_CAP|null": 0.02}
 
 
 @register("sample_stratified", _LAB + " SELECT symbol, open_time, tier, is_stress FROM lab WHERE " + " OR ".join(
-    f"(tier = '{k.split('|')[0]}' AND is_stress = {k.split('|')[1]} AND substr({_HASH_D}, 1, 8) < '{Dd.hash_limit(f)}')" for k, f in _STRATA.items()))
+    f"(tier = '{k.split('|')[0]}' AND is_stress IS NOT DISTINCT FROM {k.split('|')[1]} AND substr({_HASH_D}, 1, 8) < '{Dd.hash_limit(f)}')" for k, f in _STRATA.items()))
 def q_sample_stratified(spark, sf_dir):
     lab = S.label_stress_minutes(features_d(spark, sf_dir), STRESS_TEST)
     return Dd.sample_stratified(lab, _KEY_D, ["tier", "is_stress"], _STRATA, 42).select("symbol", "open_time", "tier", "is_stress")
@@ -542,6 +542,8 @@ def q_sample_stratified(spark, sf_dir):
 
 # ---------------------------------------------------------------- step 11: README-declared extensions
 from tickstat.operators import ext as X  # noqa: E402
+from tickstat.operators.breaks import structural_breaks  # noqa: E402
+from tickstat.operators.var import var_irf  # noqa: E402
 from tickstat.sources.fixtures import event_trades  # noqa: E402
 from tickstat.sources.trades import normalize_trades  # noqa: E402
 
@@ -774,6 +776,89 @@ def q_var1_irf(spark, sf_dir):
     return X.var1_irf(B.regime_input(features_d(spark, sf_dir), BETA_TEST), horizon=_VAR_H, min_n=3)
 
 
+_VARP_H = 4
+
+
+def _varp_sql(p_max: int = 2) -> str:
+    """VAR of order 1 to ``p_max`` by Gauss-Jordan steps, one common table each; BIC picks the order."""
+    names = ["ret", "btc_ret"] + [f"{v}{j}" for j in range(1, p_max + 1) for v in ("y", "x")]
+    lags = ", ".join(f"lag(ret, {j}) OVER w AS y{j}, lag(btc_ret, {j}) OVER w AS x{j}" for j in range(1, p_max + 1))
+    moments = ", ".join(f"covar_pop({a}, {b}) AS m_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names))
+    ctes = [f"v1 AS (SELECT symbol, open_time, ret, btc_ret, {lags} FROM j WINDOW w AS (PARTITION BY symbol ORDER BY open_time))",
+            f"mo AS (SELECT symbol, count(*) AS n, {moments} FROM v1 WHERE {' AND '.join(f'{a} IS NOT NULL' for a in names)} GROUP BY symbol HAVING count(*) >= 30)"]
+    orders = []
+    for p in range(1, p_max + 1):
+        at, last = list(range(2, 2 + 2 * p)), "mo"
+        keep = ", ".join(f"m_{i}_{j}" for i in (0, 1) for j in range(2 + 2 * p))
+        for k in at:
+            cols = [f"m_{i}_{j} - m_{i}_{k} * m_{k}_{j} / m_{k}_{k} AS m_{i}_{j}" if i != k else f"m_{k}_{j} / m_{k}_{k} AS m_{k}_{j}" for i in at for j in [0, 1, *at]]
+            ctes.append(f"g{p}_{k} AS (SELECT symbol, n, {keep}, {', '.join(cols)} FROM {last})")
+            last = f"g{p}_{k}"
+        sig = lambda a, b: f"m_{a}_{b}" + "".join(f" - m_{i}_{a} * m_{b}_{i}" for i in at)  # noqa: E731, B023
+        ctes.append(f"s{p} AS (SELECT *, {sig(0, 0)} AS syy, {sig(1, 1)} AS sxx, {sig(0, 1)} AS sxy FROM {last})")
+        ctes.append(f"h{p}_0 AS (SELECT *, ln(syy * sxx - sxy * sxy) + {4 * p} * ln(n) / n AS bic, sxy / sqrt(sxx) AS xy0, sqrt(sxx) AS xx0, "
+                    f"sqrt((syy * sxx - sxy * sxy) / sxx) AS yy0, 0.0::DOUBLE AS yx0 FROM s{p})")
+        for h in range(1, _VARP_H + 1):
+            step = lambda shock, c: " + ".join(f"m_{2 * j}_{c} * {shock}y{h - j} + m_{2 * j + 1}_{c} * {shock}x{h - j}" for j in range(1, min(p, h) + 1))  # noqa: E731, B023
+            ctes.append(f"h{p}_{h} AS (SELECT *, {step('x', 0)} AS xy{h}, {step('x', 1)} AS xx{h}, {step('y', 0)} AS yy{h}, {step('y', 1)} AS yx{h} FROM h{p}_{h - 1})")
+        of = lambda s: " + ".join(f"{s}y{h} * {s}y{h}" for h in range(_VARP_H + 1))
+        orders.append(f"SELECT symbol, n, {p}::BIGINT AS p, bic, {', '.join(f'xy{h} AS irf_{h}' for h in range(_VARP_H + 1))}, ({of('x')}) / ({of('x')} + {of('y')}) AS fevd FROM h{p}_{_VARP_H}")
+    ctes.append(f"allp AS ({' UNION ALL '.join(orders)})")
+    return _FDB + ", " + ",\n".join(ctes) + " SELECT * FROM allp QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bic, p) = 1"
+
+
+_VARP_COLS = ["symbol", "n", "p", "bic", *[f"irf_{h}" for h in range(_VARP_H + 1)], "fevd"]
+
+
+@register("var_irf", O.final(_varp_sql(), _VARP_COLS, _VARP_COLS[3:]))
+def q_var_irf(spark, sf_dir):
+    return var_irf(B.regime_input(features_d(spark, sf_dir), BETA_TEST), p_max=2, horizon=_VARP_H, criterion="bic", min_n=30)
+
+
+_BREAK_LAGS, _BREAK_MIN = 3, 20
+_BREAK_COLS = ["symbol", "round", "seg_start", "seg_end", "n", "break_place", "break_time", "statistic", "mean_before", "mean_after"]
+
+
+def _breaks_sql() -> str:
+    lags = ", ".join(f"lag(x, {j}) OVER w AS x{j}" for j in range(1, _BREAK_LAGS + 1))
+    lrv = "sum((x - m) * (x - m)) / max(n)" + "".join(f" + {2.0 * (1 - j / (_BREAK_LAGS + 1))!r} * sum((x - m) * (x{j} - m)) / max(n)" for j in range(1, _BREAK_LAGS + 1))
+    return _FEO + f""",
+b0 AS (SELECT symbol, open_time, CAST(number_of_trades AS BIGINT) AS x FROM feat_e WHERE number_of_trades IS NOT NULL),
+b1 AS (SELECT *, row_number() OVER w AS k, sum(x) OVER w AS s, {lags} FROM b0 WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+b2 AS (SELECT *, count(*) OVER a AS n, sum(x) OVER a AS t, CAST(sum(x) OVER a AS DOUBLE) / count(*) OVER a AS m FROM b1 WINDOW a AS (PARTITION BY symbol)),
+b3 AS (SELECT symbol, max(n) AS n, max(t) AS t, {lrv} AS lrv FROM b2 GROUP BY symbol),
+b4 AS (SELECT symbol, open_time, k, s, abs(s - k * m) AS c FROM b2 WHERE k >= {_BREAK_MIN} AND n - k >= {_BREAK_MIN}
+       QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY abs(s - k * m) DESC, k) = 1)
+SELECT symbol, CAST(1 AS INTEGER) AS round, CAST(0 AS BIGINT) AS seg_start, n AS seg_end, n, k AS break_place, open_time AS break_time, c / sqrt(lrv * n) AS statistic,
+  CAST(s AS DOUBLE) / k AS mean_before, CAST(t - s AS DOUBLE) / (n - k) AS mean_after
+FROM b3 JOIN b4 USING (symbol) WHERE lrv > 0 AND c / sqrt(lrv * n) > 0.9"""
+
+
+@register("structural_breaks", O.final(_breaks_sql(), _BREAK_COLS, _BREAK_COLS[7:]))
+def q_structural_breaks(spark, sf_dir):
+    return structural_breaks(features_e(spark, sf_dir), None, lags=_BREAK_LAGS, rounds=1, critical=0.9, min_size=_BREAK_MIN)
+
+
+# ---------------------------------------------------------------- G3: the reference's previews
+_B10 = _best_cols("delta_vol")
+
+
+@register("best_lag_top10", O.final(_FEB + f" SELECT {_B10[2]} FROM best_delta_vol ORDER BY delta_vol DESC NULLS LAST, symbol LIMIT 10", _B10[0], _B10[1]))
+def q_best_lag_top10(spark, sf_dir):
+    return K.top_best_lags(K.best_lag(_effects_e(spark, sf_dir), "delta_vol", MIN_OBS_TEST))
+
+
+@register("hyper_top15", O.final(_FDB + " SELECT o.* FROM overall o WHERE o.beta IS NOT NULL ORDER BY o.beta DESC, symbol LIMIT 15", O.BETA_OUT, O.BETA_DBL))
+def q_hyper_top15(spark, sf_dir):
+    return B.strongest(B.betas_overall(_betas_d(spark, sf_dir)).where("beta is not null"), "beta")
+
+
+@register("top_delta15", O.final(_FDB + """ SELECT * FROM bpiv WHERE beta_bull IS NOT NULL AND beta_bear IS NOT NULL
+    ORDER BY delta_beta_bear_minus_bull DESC NULLS LAST, symbol LIMIT 15""", _PIV_COLS, _PIV_COLS[3:]))
+def q_top_delta15(spark, sf_dir):
+    return B.strongest(B.top_delta_beta(B.beta_pivot(B.betas_by_regime(_betas_d(spark, sf_dir)))), "delta_beta_bear_minus_bull")
+
+
 # ---------------------------------------------------------------- step 12: streaming bars
 @register("stream_bars", REGISTRY["trades_to_bars"].sql)
 def q_stream_bars(spark, sf_dir):
