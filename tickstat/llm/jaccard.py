@@ -28,8 +28,9 @@ is exact: the bounds below only discard what cannot link.
 4. The links found give the components by contraction.
 
 Nothing is capped, sampled or collected: groups of any size go through the
-same steps, split by row blocks. The only broadcast is a bit table of fixed
-size (2 MB) that spares most texts the second tokenising.
+same steps, split by row blocks that are bounded in rows and in columns; rows of
+a large group meet its smallest row in parts. Only tables of a checked number of
+rows are broadcast; beyond it they are joined by a shuffle.
 
 Words are runs of anything but space and the controls 9 to 13, with ASCII
 letters lower-cased. A text of fewer words than n has its whole word sequence
@@ -53,8 +54,11 @@ from .store import sent, stored, told_apart, without
 
 #: Columns of a row in one block: at least this many, under twice as many.
 BLOCK = 32
-#: Rows of a candidate group in one row block.
+#: Rows of a candidate group in one row block, and their columns (64 MB), on average.
 ROWS = 1024
+GRAMS = 8 << 20
+#: Rows of a group that meet one copy of its smallest row.
+SALTED = 64
 #: Lists up to this length are compared pair by pair, longer ones by leaders.
 SMALL_LIST = 32
 #: Columns of one incidence block.
@@ -62,7 +66,6 @@ WIDTH = 1024
 CHUNK = 1 << 14
 #: Candidates a task gathers before it folds them into a spanning forest.
 FOLD = 1 << 19
-BITS = 24
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -362,31 +365,16 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _whole(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(id, n, grams) of the documents in ``groups`` and of few others."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = B.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - BITS)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(3)).astype(np.int32)), pa.array((1 << (slot & np.uint64(7)).astype(np.int64)).astype(np.int32))], names=["byte", "bit"])
-
-    rows = groups.select("node").mapInArrow(mark, "byte int, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
-    table = np.zeros(1 << (BITS - 3), np.uint8)
-    table[rows["byte"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64).astype(np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    """(id, n, grams) of the documents in ``groups``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            slot = B.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)
-            batch = batch.filter(pa.array((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1))
-            if not batch.num_rows:
-                continue
             data, offsets = B.text_bytes(batch.column(1))
             for lo, hi in B.row_blocks(offsets):
                 g, limits = _sets(data, offsets, lo, hi, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(limits)), _binaries(g, np.diff(limits))], names=["id", "n", "grams"])
 
-    return docs.where("id is not null").mapInArrow(run, "id bigint, n bigint, grams binary")
+    return docs.join(sent(groups.select(F.col("node").alias("id"))), "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, n bigint, grams binary")
 
 
 def _with_first(rows: DataFrame) -> DataFrame:
@@ -454,14 +442,19 @@ def links(docs: DataFrame, digest: DataFrame, k: int, num: int, den: int) -> Dat
     groups = stored(components(_candidates(entries, num, den)), "groups")
     whole = _whole(docs, groups, k).join(sent(groups.withColumnRenamed("node", "id")), "id").select(F.col("component").alias("comp"), "id", "n", "grams")
     whole = stored(whole, "grams")
-    first = whole.where("id = comp").select("comp", F.col("n").alias("first_n"), F.col("grams").alias("first"))
-    seen = stored(_with_first(whole.join(first, "comp").select("comp", "id", "n", "first_n", "grams", "first")), "seen")
+    # a large group's rows are dealt out, and its smallest row goes along to each part
+    large = groups.groupBy("component").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts")).where("salts > 1").withColumnRenamed("component", "comp")
+    large = sent(stored(large, "large"))
+    salted = whole.join(large, "comp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    first = salted.where("id = comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("n").alias("first_n"), F.col("grams").alias("first"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    seen = stored(_with_first(salted.join(first, ["comp", "salt"]).select("comp", "id", "n", "first_n", "grams", "first")), "seen")
     seen = seen.withColumn("linked", F.expr(f"shared * {den} >= {num} * (n + first_n - shared)")).withColumn("gap", F.expr("1 - shared / (n + first_n - shared)"))
     # rows that the first row leaves open, and the settled ones near enough to link with one of them (the Jaccard distance is a metric)
     open_ = seen.where("not linked").groupBy("comp").agg(F.count("*").alias("n_open"), F.min("gap").alias("least"))
-    near = seen.join(open_, "comp").where(f"id <> comp and (not linked or gap >= least - {1 - num / den + 1e-9})").select("comp", "id")
-    many = near.groupBy("comp").agg(F.count("*").alias("rows")).where("rows > 1")
-    cut = near.join(many, "comp").select("comp", "id", F.ceil(F.col("rows") / ROWS).cast("int").alias("cuts"))
+    near = seen.join(open_, "comp").where(f"id <> comp and (not linked or gap >= least - {1 - num / den + 1e-9})").select("comp", "id", "n")
+    many = near.groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).where("rows > 1")
+    cut = near.join(many.withColumnRenamed("grams", "all"), "comp").select("comp", "id", F.ceil(F.greatest(F.col("rows") / ROWS, F.col("all") / GRAMS)).cast("int").alias("cuts"))
     dealt = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     dealt = sent(stored(dealt, "cuts"))
     pairs = whole.select("id", "grams").join(dealt, "id").withColumn("other", F.explode(F.expr("sequence(0, cuts - 1)"))).select("comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "grams")
