@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -314,6 +315,22 @@ def _exact(rows, asked, k=10):
     return out
 
 
+def test_licenses_over_line_breaks_and_usual_notices(spark):
+    fsf = "is free software: you can redistribute it and/or modify it\nunder the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    want = {
+        "All rights\nreserved": ["all-rights-reserved"], "All  rights \t reserved.": ["all-rights-reserved"], "This is free and unencumbered software released into the public\ndomain.": ["public-domain"],
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": ["gpl-3"], "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": ["gpl-2"], "// SPDX-License-Identifier: GPL-3.0-or-later": ["gpl-3"],
+        "# SPDX-License-Identifier: MIT": ["mit"], "SPDX-License-Identifier: BSD-2-Clause": ["bsd-2"], "SPDX-License-Identifier: LGPL-2.1": ["lgpl-2"], fsf.format("", 3): ["gpl-3"], fsf.format("", 2): ["gpl-2"],
+        fsf.format("Affero ", 3): ["agpl-3"], fsf.format("Lesser ", 3): ["lgpl", "lgpl-3"],
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": ["bsd", "bsd-3"],
+        "the rights of the public are reserved in this domain": [], "a permission slip": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id bigint, text string")
+    found = {r.doc_id: list(r.labels) for r in licenses.scan(docs).collect()}
+    texts = list(want)
+    assert {texts[i]: x for i, x in found.items()} == want
+
+
 def test_neighbours(spark, sf_small):
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf_small, "embeddings").collect()]
     want = _exact(rows, [r for r in rows if r[0] % 100 == 0])
@@ -341,6 +358,38 @@ def test_neighbours_of_odd_vectors(spark):
     assert hnsw.nearest(frame.where("false"), frame.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("size", [1e-300, 1e-30, 1.0, 1e20, 1e300])
+def test_neighbours_of_any_finite_size(spark, size):
+    rng = np.random.default_rng(3)
+    few = [(i, (rng.normal(size=4) * size).tolist()) for i in (0, 1, 2, 100, 200)] + [(300, [size, 0.0, 0.0])]
+    found = {}
+    for r in hnsw.nearest(spark.createDataFrame(few, "vec_id bigint, embedding array<double>"), spark.createDataFrame(few, "vec_id bigint, embedding array<double>").where("vec_id % 100 = 0")).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score / size))
+    plain_ = {i: np.array(v) / size for i, v in few}
+    for q in (0, 100, 200):
+        want = sorted((np.linalg.norm(plain_[q] - v), i) for i, v in plain_.items() if i != q and len(v) == 4)
+        assert [x[1] for x in sorted(found[q])] == [i for _, i in want] and np.allclose([x[2] for x in sorted(found[q])], [d for d, _ in want], rtol=1e-9)
+    assert 300 not in found
+
+
+def test_graph_of_tiny_and_huge_vectors():
+    rng = np.random.default_rng(5)
+    for size in (1e-25, 1e-200, 1e150):
+        x = rng.normal(size=(600, 12)) * size
+        table = hnsw._build(pa.table({"cid": np.arange(600), "v": pa.array(x.tolist()), "dim": np.full(600, 12, np.int32), "shard": np.zeros(600, np.int32)}))
+        ids, sizes = np.frombuffer(table["ids"][0].as_py(), np.int64), np.frombuffer(table["sizes"][0].as_py(), np.int64)
+        flat, levels, at = np.frombuffer(table["links"][0].as_py(), np.int32), [], 0
+        for level, n in enumerate(sizes.tolist()):
+            width = hnsw.LINKS * (2 if level == 0 else 1)
+            levels.append(flat[at : at + n * width].reshape(n, width).astype(np.int64))
+            at += n * width
+        graph = hnsw.Graph(np.ldexp(x[ids], -hnsw._scale(x)), sizes.tolist(), levels)
+        q = x[:50]
+        found = ids[np.maximum(graph.search(hnsw._near_shard(q, hnsw._scale(x)), 64), 0)]
+        near = np.argsort((((q[:, None] - x[None]) / size) ** 2).sum(2), axis=1)[:, :10]
+        assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, near)]) > 0.97
+
+
 def test_neighbours_over_shards(spark, sf_small, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD", 100)
     monkeypatch.setattr(hnsw, "QUERIES", 2)

@@ -10,10 +10,15 @@ search the graph built so far in lockstep; links are chosen by the usual
 heuristic (a candidate is linked if it is nearer to the node than to any link
 chosen before), both ways, and shrunk by the same rule where a list is full.
 
-All queries go to all shards: query blocks of bounded size are joined with the
-shards' rows by shard number, each task descends the levels and runs a beam
-search for the whole block at once, and the shards' best classes are merged by
-distance, computed in double precision from the original vectors.
+All queries go to all shards: query blocks of bounded size are sent to the
+shards, a task opens a shard's graph once for ``TURNS`` blocks and reads these one
+by one, descends the levels and runs a beam search for a whole block at once,
+and the shards' best classes are merged by distance, computed in double
+precision from the original vectors.
+
+Graphs work in the shard's own scale (a power of two, so nothing is rounded) and
+distances are scaled before they are squared: vectors of any finite size take
+part. A shard of at most ``EF_SEARCH`` vectors is searched whole.
 
 Scale: the index is stored in the shared folder, one row per shard, so a lost
 executor costs a shard; memory is bounded by one shard and one query block.
@@ -42,6 +47,8 @@ LINKS = 16
 EF_BUILD = 64
 EF_SEARCH = 192
 BATCH = 512
+#: Query blocks that one copy of a shard's graph serves.
+TURNS = 16
 
 
 def distances(queries: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,11 +57,23 @@ def distances(queries: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.nd
     return np.einsum("qnd,qnd->qn", gap, gap)
 
 
+def exact_distances(queries: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distances in double precision, for components of any finite size: each
+    gap is scaled by a power of two, which rounds nothing, before it is squared."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        gap = vectors[at] - queries[:, None, :]
+        far = np.isinf(gap).any(axis=2)
+        gap[far] = (vectors[at] / 2 - queries[:, None, :] / 2)[far] if far.any() else 0.0
+        _, e = np.frexp(np.abs(gap).max(axis=2, initial=0.0))
+        gap = np.ldexp(gap, -e[:, :, None])
+        return np.ldexp(np.sqrt(np.einsum("qnd,qnd->qn", gap, gap)), e + far)
+
+
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, squared distances), nearest first, of a beam search on one level
     for all queries at once; -1 where there are fewer."""
     q = len(queries)
-    ids, dist = np.full((q, ef), -1, np.int64), np.full((q, ef), np.inf, np.float32)
+    ids, dist = np.full((q, ef), -1, np.int64), np.full((q, ef), np.inf, vectors.dtype)
     done = np.ones((q, ef), bool)
     seen = np.zeros((q, len(vectors)), bool)
     w = min(starts.shape[1], ef)
@@ -79,7 +98,7 @@ def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np
         fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
         r, c = np.nonzero(fresh)
         seen[live[r], near[r, c]] = True
-        d = np.where(fresh, distances(queries[live], vectors, np.maximum(near, 0)), np.inf).astype(np.float32)
+        d = np.where(fresh, distances(queries[live], vectors, np.maximum(near, 0)), np.inf).astype(vectors.dtype)
         better = (d < dist[live, -1][:, None]).any(1)
         if not better.any():
             continue
@@ -102,7 +121,7 @@ def choose(vectors: np.ndarray, ids: np.ndarray, dist: np.ndarray, most: int) ->
     square = np.einsum("qcd,qcd->qc", v, v)
     between = square[:, :, None] + square[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
     chosen = np.zeros((q, c), bool)
-    nearest = np.full((q, c), np.inf, np.float32)  # to a chosen link
+    nearest = np.full((q, c), np.inf, vectors.dtype)  # to a chosen link
     count = np.zeros(q, int)
     for j in range(c):
         take = (ids[:, j] >= 0) & (dist[:, j] < nearest[:, j]) & (count < most)
@@ -135,7 +154,7 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, nodes: np.ndarray, chosen
     start = np.searchsorted(owner, hit)
     rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
     width = 2 * most
-    ids, dist = np.full((len(hit), width), -1, np.int64), np.full((len(hit), width), np.inf, np.float32)
+    ids, dist = np.full((len(hit), width), -1, np.int64), np.full((len(hit), width), np.inf, vectors.dtype)
     inside = rank < width
     row = np.searchsorted(hit, owner[inside])
     ids[row, rank[inside]], dist[row, rank[inside]] = other[inside], d[inside]
@@ -176,7 +195,7 @@ class Graph:
             mates = np.arange(lo, hi)
             starts = np.zeros((hi - lo, 1), np.int64) if lo else np.full((hi - lo, 1), -1, np.int64)
             square = np.einsum("nd,nd->n", vectors[lo:hi], vectors[lo:hi])
-            inner = np.maximum(square[:, None] + square[None, :] - 2 * vectors[lo:hi] @ vectors[lo:hi].T, 0).astype(np.float32)
+            inner = np.maximum(square[:, None] + square[None, :] - 2 * vectors[lo:hi] @ vectors[lo:hi].T, 0).astype(vectors.dtype)
             np.fill_diagonal(inner, np.inf)
             for k in range(len(sizes) - 1, -1, -1):
                 own = mates < sizes[k]
@@ -185,7 +204,7 @@ class Graph:
                 if known:
                     starts, dist = beam(vectors[:known], levels[k][:known], vectors[lo:hi], starts, width)
                 else:
-                    starts, dist = np.full((hi - lo, 1), -1, np.int64), np.full((hi - lo, 1), np.inf, np.float32)
+                    starts, dist = np.full((hi - lo, 1), -1, np.int64), np.full((hi - lo, 1), np.inf, vectors.dtype)
                 if own.any():
                     m = int(own.sum())
                     ids = np.concatenate([starts[:m], np.broadcast_to(mates[:m], (m, m))], 1)
@@ -203,7 +222,9 @@ class Graph:
         return graph
 
     def search(self, queries: np.ndarray, ef: int) -> np.ndarray:
-        """(queries, ef) node numbers, -1 where there are fewer."""
+        """(queries, ef) node numbers, -1 where there are fewer; all nodes of a small graph."""
+        if len(self.vectors) <= ef:
+            return np.tile(np.arange(len(self.vectors)), (len(queries), 1))
         starts = np.zeros((len(queries), 1), np.int64)
         for k in range(len(self.sizes) - 1, 0, -1):
             starts, _ = beam(self.vectors[: self.sizes[k]], self.levels[k], queries, starts, 1)
@@ -227,12 +248,23 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _scale(exact: np.ndarray) -> int:
+    """The power of two that brings a shard's largest component under one."""
+    return int(np.frexp(np.abs(exact).max())[1])
+
+
+def _near_shard(queries: np.ndarray, scale: int) -> np.ndarray:
+    """Queries in a shard's scale; of those 2 ** 60 times larger than the shard only the direction counts."""
+    _, own = np.frexp(np.abs(queries).max(axis=1, initial=0.0))
+    return np.ldexp(queries, -np.maximum(scale, own - 60)[:, None])
+
+
 def _build(table: pa.Table) -> pa.Table:
     """One shard's index as one row."""
     ids = table["cid"].to_numpy()
     order, sizes = Graph.order(ids)
     exact = _matrix(table["v"])[order]
-    graph = Graph.build(exact.astype(np.float32), sizes)
+    graph = Graph.build(np.ldexp(exact, -_scale(exact)), sizes)
     return pa.table({
         "dim": table["dim"].slice(0, 1), "shard": table["shard"].slice(0, 1), "ids": [ids[order].tobytes()], "vectors": [np.ascontiguousarray(exact).tobytes()],
         "sizes": [np.array(sizes, np.int64).tobytes()], "links": [b"".join(x.astype(np.int32).tobytes() for x in graph.levels)],
@@ -248,45 +280,58 @@ def index(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding", k: int
     return classes, stored(built, "graphs")
 
 
-def _search(blocks: DataFrame, k: int) -> DataFrame:
-    """(query_id, cid, score): each query's k + 1 best classes of each shard."""
+def _search(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, cid, score): each query's k + 1 best classes of each shard.
+    Each group's first row is a shard's graph; its query blocks follow."""
+
+    def opened(ids: bytes, vectors: bytes, sizes: bytes, links: bytes, dim: int):
+        exact, flat = np.frombuffer(vectors, np.float64).reshape(-1, dim), np.frombuffer(links, np.int32)
+        levels, at = [], 0
+        sizes = np.frombuffer(sizes, np.int64)
+        for level, size in enumerate(sizes.tolist()):
+            width = LINKS * (2 if level == 0 else 1)
+            levels.append(flat[at : at + size * width].reshape(size, width).astype(np.int64))
+            at += size * width
+        scale = _scale(exact)
+        return np.frombuffer(ids, np.int64), exact, scale, Graph(np.ldexp(exact, -scale), sizes.tolist(), levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, qids, qs, ids, vectors, sizes, links = (batch.column(j)[i].as_py() for j in range(7))
-                qids, ids, sizes = (np.frombuffer(x, np.int64) if isinstance(x, bytes) else np.array(x, np.int64) for x in (qids, ids, sizes))
-                exact, queries = np.frombuffer(vectors, np.float64).reshape(-1, dim), np.array(qs, np.float64).reshape(-1, dim)
-                flat, levels, at = np.frombuffer(links, np.int32), [], 0
-                for level, size in enumerate(sizes.tolist()):
-                    width = LINKS * (2 if level == 0 else 1)
-                    levels.append(flat[at : at + size * width].reshape(size, width).astype(np.int64))
-                    at += size * width
-                graph = Graph(exact.astype(np.float32), sizes.tolist(), levels)
+                dim, part, qids, qs, *graph = (batch.column(j)[i].as_py() for j in range(8))
+                if part < 0:
+                    here = opened(*graph, dim)
+                    continue
+                ids, exact, scale, graph = here
+                qids, queries = np.array(qids, np.int64), np.array(qs, np.float64).reshape(-1, dim)
                 for lo in range(0, len(queries), QUERIES):
                     q = queries[lo : lo + QUERIES]
-                    found = graph.search(q.astype(np.float32), EF_SEARCH)
-                    score = np.where(found >= 0, np.sqrt(distances(q, exact, np.maximum(found, 0))), np.inf)
-                    cid = np.where(found >= 0, ids[np.maximum(found, 0)], np.iinfo(np.int64).max)
+                    found = graph.search(_near_shard(q, scale), EF_SEARCH)
+                    none = found < 0
+                    score = np.where(none, np.inf, exact_distances(q, exact, np.maximum(found, 0)))
+                    cid = np.where(none, np.iinfo(np.int64).max, ids[np.maximum(found, 0)])
                     best = np.lexsort((cid, score), axis=1)[:, : k + 1]
-                    score, cid = np.take_along_axis(score, best, 1), np.take_along_axis(cid, best, 1)
-                    r, c = np.nonzero(np.isfinite(score))
+                    score, cid, none = (np.take_along_axis(x, best, 1) for x in (score, cid, none))
+                    r, c = np.nonzero(~none)
                     yield pa.RecordBatch.from_arrays([pa.array(qids[lo : lo + QUERIES][r]), pa.array(cid[r, c]), pa.array(score[r, c])], names=["query_id", "cid", "score"])
 
-    return blocks.select("dim", "qids", "qs", "ids", "vectors", "sizes", "links").mapInArrow(run, "query_id bigint, cid bigint, score double")
+    return rows.select("dim", "part", "qids", "qs", "ids", "vectors", "sizes", "links").mapInArrow(run, "query_id bigint, cid bigint, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id="vec_id", embedding="embedding", k: int = 10) -> DataFrame:
     """Each query's k nearest rows, its own left out: query_id, rank, vec_id, score."""
     classes, graphs = index(vectors, vec_id=vec_id, embedding=embedding, k=k)
     asked = stored(_usable(queries, vec_id, embedding), "queries")
-    shards = graphs.select("dim", "shard").alias("s")
     parts = max(1, -(-asked.count() // QUERIES))
-    blocks = asked.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    blocks = blocks.groupBy("dim", "part").agg(F.collect_list(F.struct("id", "v")).alias("x")).select("dim", "part", F.col("x.id").alias("qids"), F.flatten("x.v").alias("qs"))
-    # every block meets every shard of its length: the pairs are rows of (shard, block), spread before the search
-    pairs = shards.join(blocks, "dim").join(graphs, ["dim", "shard"]).repartition(F.col("dim"), F.col("shard"), F.col("part"))
-    found = _search(pairs, k)
+    blocks = asked.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    blocks = blocks.groupBy("dim", "part").agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    blocks = stored(blocks.select("dim", "part", (F.col("part") / TURNS).cast("int").alias("turn"), F.col("x.id").alias("qids"), F.flatten("x.v").alias("qs")), "blocks")
+    # every block meets every shard of its length: blocks are sent to the shards, whose graph goes along once for TURNS blocks
+    opening = graphs.join(blocks.select("dim", "turn").distinct(), "dim").withColumn("part", F.lit(-1))
+    asking = blocks.join(graphs.select("dim", "shard"), "dim")
+    rows = opening.unionByName(asking, allowMissingColumns=True).repartition("dim", "shard", "turn").sortWithinPartitions("dim", "shard", "turn", "part")
+    found = _search(rows, k)
     best = Window.partitionBy("query_id").orderBy("score", "cid")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     rows = found.join(classes.select("cid", "members"), "cid").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")

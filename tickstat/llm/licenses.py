@@ -55,12 +55,25 @@ TEMPLATES = (
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
     ("public-domain", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
+    ("bsd-3", "nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("unlicense", "spdx license identifier unlicense", "spdx license identifier unlicense"),
+    ("mpl-2", "mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("isc", "spdx license identifier isc", "spdx license identifier isc"),
+    ("mit", "spdx license identifier mit", "spdx license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    ("mpl-2", "spdx license identifier mpl 2 0", "spdx license identifier mpl 2 0"),
+    ("bsd-2", "spdx license identifier bsd 2 clause", "spdx license identifier bsd 2 clause"),
+    ("bsd-3", "spdx license identifier bsd 3 clause", "spdx license identifier bsd 3 clause"),
+    *((f"{name}-{v}", f"spdx license identifier {name} {v}", f"spdx license identifier {name} {v} 0") for name in ("gpl", "lgpl", "agpl") for v in (2, 3)),
+    *((f"gpl-{v}", f"gnu general public license version {v}", f"gnu general public license version {v} {date}") for v, date in ((2, "june 1991"), (3, "29 june 2007"))),
+    *((f"{label}-{v}", f"gnu {name}general public license as published by the free software foundation either version {v}", f"under the terms of the gnu {name}general public license as published by the free software foundation either version {v} of the license or at your option any later version")
+      for label, name in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero ")) for v in (2, 3)),
 )
-#: A file without any of these words mentions no licence.
-MENTIONS = "licen[cs]e|rights reserved|permission|redistribution|public domain|cc[^0-9a-z]+by"
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A file without any of these words mentions no licence; any break may stand between two words.
+MENTIONS = f"licen[cs]e|rights{_BREAK}reserved|permission|redistribution|public{_BREAK}domain|cc{_BREAK}by"
 
 VOCABULARY = tuple(sorted({w for _, _, t in TEMPLATES for w in t.split()}))
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
