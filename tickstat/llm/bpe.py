@@ -34,6 +34,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,11 +47,11 @@ from pyspark.sql import DataFrame, functions as F
 from . import blocks as B
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-PART = 4 << 20
+PART = 3 << 20
 REPLAY = 2 << 20
 CACHE = 600_000
-CACHE_IDS = 8 << 20
-OUT = 4 << 20
+CACHE_IDS = 2 << 20
+OUT = 3 << 20
 NONE = np.int32(2**31 - 1)
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _LIMIT = range(5)
@@ -62,11 +63,13 @@ _BREAK = 0x110000
 def _classes() -> np.ndarray:
     """Class of every code point, as the pattern's \\p{L}, \\p{N} and \\s see it."""
     out = np.zeros(_BREAK + 1, np.uint8)
-    points = [chr(c) for c in range(_BREAK) if not 0xD800 <= c < 0xE000]
-    whole = "".join(points)
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, whole):
-            out[[ord(c) for c in m.group()]] = kind
+    for lo in range(0, _BREAK, 1 << 12):  # in small parts, as workers keep the memory of large ones
+        if 0xD800 <= lo < 0xE000:
+            continue
+        part = "".join(map(chr, range(lo, lo + (1 << 12))))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(pattern, part):
+                out[lo + m.start() : lo + m.end()] = kind
     out[_BREAK] = _LIMIT
     return out
 
@@ -108,15 +111,24 @@ class Ranks:
     """A rank file: tokens, and the rank of every pair of tokens whose bytes together are a token."""
 
     def __init__(self, path: str):
-        lines = [line.split() for line in open(path, "rb") if line.strip()]
-        self.tokens = [b""] * (1 + max(int(r) for _, r in lines))
-        for token, rank in lines:
-            self.tokens[int(rank)] = base64.b64decode(token)
+        self.tokens: list[bytes] = []
+        with open(path, "rb") as file:
+            for line in file:
+                if line.strip():
+                    token, rank = line.split()
+                    self.tokens += [b""] * (int(rank) + 1 - len(self.tokens))
+                    self.tokens[int(rank)] = base64.b64decode(token)
         self.rank = {t: r for r, t in enumerate(self.tokens) if t}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(self.rank[t[:i]] << 32 | self.rank[t[i:]], r) for r, t in enumerate(self.tokens) for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
-        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.keys, self.merged = np.ascontiguousarray(table[:, 0]), table[:, 1].astype(np.int32)
+        keys, merged = array("q"), array("i")  # flat, as workers keep the memory of many small objects
+        for r, t in enumerate(self.tokens):
+            for i in range(1, len(t)):
+                a, b = self.rank.get(t[:i]), self.rank.get(t[i:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    merged.append(r)
+        order = np.argsort(np.frombuffer(keys, np.int64)) if keys else np.zeros(0, np.int64)
+        self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
         # open addressing table for the lookups
         size = 1 << max(4, (4 * len(self.keys)).bit_length())
         self.mask = size - 1
