@@ -119,3 +119,17 @@ def test_structural_breaks(spark):
     assert {r.round for r in got if r.symbol == "two"} == {1, 2}
     assert structural_breaks(frame.where("false")).collect() == []
     assert [r.symbol for r in structural_breaks(frame, ["one"]).collect()] == ["one"]
+
+
+def test_distribution_summary_is_its_two_tables(spark, sf_small):
+    from tickstat.operators import dist, stress
+    from tickstat.operators.features import bar_features
+    from tickstat.sources.fixtures import daily_bars
+
+    labelled = stress.label_stress_minutes(bar_features(daily_bars(spark, sf_small)), stress.StressParams(exact=True))
+    compare = stress.market_quality(labelled, ["tier", "is_stress"], True)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for given in (None, compare):
+        plot, box = dist.distribution_summary(labelled, given, exact=True)
+        assert plot.columns == dist.plot_table(compare).columns and rows(plot.select("tier")) == rows(dist.plot_table(compare).select("tier"))
+        assert rows(box.select("tier", "is_stress", "metric")) == rows(dist.box_stats(labelled, exact=True).select("tier", "is_stress", "metric"))

@@ -15,26 +15,26 @@ def quality_report(features: DataFrame, derived=DERIVED) -> DataFrame:
     Level 1 groups by the logical key (symbol, open_time), which the duplicate
     check needs anyway; level 2 folds the keys of a symbol, level 3 the symbols.
     So the six separate scans of the reference become one shuffle of narrow
-    rows, and the distinct counts need no expanded copies: symbols are the rows
-    of level 2, and bases are kept as sets (a handful per symbol, and a table
-    no larger than the universe at the end).
+    rows, all by hash aggregates of numbers. Base assets are a second, one-column
+    scan whose partial aggregate leaves one row per base; its rows go into the
+    last level beside the symbols.
     """
     n_cols = len(features.columns)
     sums = [f"_n_{c}" for c in derived] + ["_zero"]
     per_key = features.groupBy("symbol", "open_time").agg(
         F.count(F.lit(1)).alias("_c"),
-        F.collect_set("base_asset").alias("_bases"),
-        *[F.sum(F.col(c).isNull().cast("long")).alias(f"_n_{c}") for c in derived],
+        *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in derived],
         F.sum(F.col("zero_volume_flag").cast("long")).alias("_zero"),
     )
     per_symbol = per_key.groupBy("symbol").agg(
         F.sum("_c").alias("_c"),
         F.min("open_time").alias("_first"),
         F.max("open_time").alias("_last"),
-        F.array_distinct(F.flatten(F.collect_set("_bases"))).alias("_bases"),
         *[F.sum(c).alias(c) for c in sums],
         F.count_if(F.col("_c") > 1).alias("_dup"),
     )
+    bases = features.select(F.col("base_asset").alias("_base")).distinct().where("_base is not null")
+    per_symbol = per_symbol.unionByName(bases, allowMissingColumns=True)
     rows = F.sum("_c")
     return per_symbol.agg(
         rows.alias("n_rows"),
@@ -42,7 +42,7 @@ def quality_report(features: DataFrame, derived=DERIVED) -> DataFrame:
         F.min("_first").alias("min_open_time"),
         F.max("_last").alias("max_open_time"),
         F.count("symbol").alias("n_symbols"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("_bases")))).cast("long").alias("n_base_assets"),
+        F.count("_base").alias("n_base_assets"),
         *[F.try_divide(F.sum(f"_n_{c}").cast("double"), rows).alias(f"{c}_null_rate") for c in derived],
         F.try_divide(F.sum("_zero").cast("double"), rows).alias("zero_volume_rate"),
         F.coalesce(F.sum("_dup"), F.lit(0)).alias("dup_keys"),

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickstat.functions.canon import canon
 from tickstat.session import ensure_checkpoint_dir
-from tickstat.operators.features import bar_features
+from tickstat.operators.features import bar_features, layout_by_symbol
 from tickstat.plans import oracle as O
 from tickstat.sources.fixtures import daily_bars, hourly_bars
+from tickstat.sources.sinks import write_csv, write_small, write_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -859,6 +860,52 @@ def q_top_delta15(spark, sf_dir):
     return B.strongest(B.top_delta_beta(B.beta_pivot(B.betas_by_regime(_betas_d(spark, sf_dir)))), "delta_beta_bear_minus_bull")
 
 
+# ---------------------------------------------------------------- sinks, layouts and shapes of the reference's tables, each written and read back
+def _folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+@register("lag_min_effects", O.final(_FE + " SELECT * FROM eff", O.EFFECT_COLS, O.EFFECT_DOUBLES))
+def q_lag_min_effects(spark, sf_dir):
+    """An effects table with the older column name, as the summary step reads it."""
+    return K.normalize_effects(_effects_e(spark, sf_dir).withColumnRenamed("lag", "lag_min"))
+
+
+_LISTED = ("BNB-USDT", "ADA-EUR", "XRP-BTC")
+
+
+@register("receiver_effects", O.final(_FE + f" SELECT * FROM eff WHERE symbol IN {_LISTED}", O.EFFECT_COLS, O.EFFECT_DOUBLES))
+def q_receiver_effects(spark, sf_dir):
+    """C4: the event study of an allow-list of receivers."""
+    return K.lag_effects(features_e(spark, sf_dir), replace(SHOCK_TEST, receivers=_LISTED))
+
+
+@register("table_round_trip", REGISTRY["bar_features"].sql)
+def q_table_round_trip(spark, sf_dir):
+    """The feature table in its stored layout, partitioned by quote asset, read back whole."""
+    path = _folder(spark)
+    write_table(layout_by_symbol(bar_features(hourly_bars(spark, sf_dir))), path, partition_by=["quote_asset"], rebalance=False)
+    back = spark.read.parquet(path)
+    return back.select(*BAR_E_COLS, *FEAT_COLS)
+
+
+@register("small_round_trip", O.final(_FE + " SELECT * FROM eff", O.EFFECT_COLS, O.EFFECT_DOUBLES))
+def q_small_round_trip(spark, sf_dir):
+    """A result table in a fixed number of files."""
+    path = _folder(spark)
+    write_small(_effects_e(spark, sf_dir), path, files=3)
+    return spark.read.parquet(path)
+
+
+@register("csv_round_trip", O.final(_FE + " SELECT * FROM eff", O.EFFECT_COLS, O.EFFECT_DOUBLES))
+def q_csv_round_trip(spark, sf_dir):
+    """A summary as one CSV file with a header."""
+    path = _folder(spark)
+    effects = _effects_e(spark, sf_dir)
+    write_csv(effects, path)
+    return spark.read.schema(effects.schema).option("header", "true").csv(path)
+
+
 # ---------------------------------------------------------------- step 12: streaming bars
 @register("stream_bars", REGISTRY["trades_to_bars"].sql)
 def q_stream_bars(spark, sf_dir):
