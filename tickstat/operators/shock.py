@@ -18,7 +18,7 @@ from tickstat.sources.shared import stored
 # Fixed values from the reference: driver pairs and the scanned lags (minutes).
 DRIVERS = ("BTC-USDT", "ETH-USDT")
 LAGS = (0, 1, 5, 15, 30, 60, 120)
-_UNITS = {"minutes": "MINUTE", "hours": "HOUR", "days": "DAY"}
+UNITS = {"minutes": "MINUTE", "hours": "HOUR", "days": "DAY"}
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def restrict(features: DataFrame, p: ShockParams) -> DataFrame:
     return features.where(F.col("symbol").isin(keep + list(p.drivers)))
 
 
-def _receivers(features: DataFrame, p: ShockParams) -> DataFrame:
+def receivers(features: DataFrame, p: ShockParams) -> DataFrame:
     return restrict(features, p).where(~F.col("symbol").isin(list(p.drivers))).select(
         "symbol", "open_time", "parkinson_var_1m", "amihud_illiq"
     )
@@ -85,6 +85,11 @@ def _effects(joined: DataFrame, p: ShockParams) -> DataFrame:
         F.count_if(shock).alias("n_shock_obs"),
         F.count_if(calm).alias("n_noshock_obs"),
     )
+    return keep_reliable(out, p)
+
+
+def keep_reliable(out: DataFrame, p: ShockParams) -> DataFrame:
+    """The deltas, and only rows with more than the minimum counts."""
     out = out.withColumn("delta_vol", F.col("vol_on_shock") - F.col("vol_on_noshock")).withColumn(
         "delta_illiq", F.col("illiq_on_shock") - F.col("illiq_on_noshock")
     )
@@ -111,18 +116,18 @@ def lag_effects(features: DataFrame, p: ShockParams = ShockParams(), calendar: D
     without a calendar row at t - lag drop out of both sides, as in the
     reference.
     """
-    if p.unit not in _UNITS:
-        raise ValueError(f"unit must be one of {sorted(_UNITS)}")
+    if p.unit not in UNITS:
+        raise ValueError(f"unit must be one of {sorted(UNITS)}")
     cal = calendar if calendar is not None else stored(shock_calendar(features, p), "calendar")
     lags = F.array(*[F.lit(int(x)) for x in p.lags])
     if fits_broadcast(cal, p.max_broadcast_rows):
-        rec = _receivers(features, p).select("*", F.explode(lags).alias("lag"))
-        rec = rec.withColumn("_t", F.timestamp_add(_UNITS[p.unit], -F.col("lag"), F.col("open_time")))
+        rec = receivers(features, p).select("*", F.explode(lags).alias("lag"))
+        rec = rec.withColumn("_t", F.timestamp_add(UNITS[p.unit], -F.col("lag"), F.col("open_time")))
         joined = rec.join(F.broadcast(cal.withColumnRenamed("open_time", "_t")), "_t").drop("_t")
     else:
         shifted = cal.select(F.explode(lags).alias("lag"), "open_time", "any_shock").select(
-            "lag", F.timestamp_add(_UNITS[p.unit], F.col("lag"), F.col("open_time")).alias("open_time"), "any_shock")
-        joined = _receivers(features, p).join(shifted, "open_time")
+            "lag", F.timestamp_add(UNITS[p.unit], F.col("lag"), F.col("open_time")).alias("open_time"), "any_shock")
+        joined = receivers(features, p).join(shifted, "open_time")
     return _effects(joined, p)
 
 
@@ -130,9 +135,9 @@ def lag_effects_union(features: DataFrame, p: ShockParams = ShockParams()) -> Da
     """H1: one shifted calendar per lag, united by name, and one join with the
     receivers. Kept as the cross-check of ``lag_effects``."""
     cal = stored(shock_calendar(features, p), "calendar")
-    parts = [cal.select(F.lit(int(lag)).alias("lag"), F.timestamp_add(_UNITS[p.unit], F.lit(int(lag)), F.col("open_time")).alias("open_time"), "any_shock") for lag in p.lags]
+    parts = [cal.select(F.lit(int(lag)).alias("lag"), F.timestamp_add(UNITS[p.unit], F.lit(int(lag)), F.col("open_time")).alias("open_time"), "any_shock") for lag in p.lags]
     shifted = reduce(lambda a, b: a.unionByName(b), parts)
-    return _effects(_receivers(features, p).join(shifted, "open_time"), p)
+    return _effects(receivers(features, p).join(shifted, "open_time"), p)
 
 
 def top_by_delta(effects: DataFrame, lag: int = 0, k: int = 20) -> DataFrame:

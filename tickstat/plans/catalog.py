@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tickstat.functions.canon import canon
 from tickstat.session import ensure_checkpoint_dir
 from tickstat.operators.features import bar_features, layout_by_symbol
+from tickstat.operators.tiers import ranked_tiers, ranks_of
 from tickstat.plans import oracle as O
-from tickstat.sources.fixtures import daily_bars, hourly_bars
+from tickstat.sources.fixtures import BRAND_BASE, daily_bars, hourly_bars
+from tickstat.sources.marketcap import read_market_caps, write_market_caps
 from tickstat.sources.sinks import write_csv, write_small, write_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +278,7 @@ def q_stress_day_summary(spark, sf_dir):
 
 # ---------------------------------------------------------------- step 6-7: shocks and lags
 from tickstat.operators import shock as K  # noqa: E402
+from tickstat.operators.lagscan import lag_scan  # noqa: E402
 
 # Test parameters (FIXTURES.md section 5): the reference's lags, read as hours on
 # the hourly fixture; q 0.95; reliability 40 / 280; minimum shock observations 45.
@@ -307,6 +310,16 @@ def q_lag_effects_union(spark, sf_dir):
     return K.lag_effects_union(features_e(spark, sf_dir), SHOCK_TEST)
 
 
+_ALL_LAGS = tuple(range(121))
+
+
+@register("lag_effects_all", O.final(O.with_ctes(O.BARS_E, O.features("bars_e", "feat_e"), O.shock_ctes(lags=_ALL_LAGS)) + " SELECT * FROM eff",
+                                     O.EFFECT_COLS, O.EFFECT_DOUBLES))
+def q_lag_effects_all(spark, sf_dir):
+    """Every lag from 0 to the maximum, not the seven of the standard study."""
+    return lag_scan(features_e(spark, sf_dir), replace(SHOCK_TEST, lags=_ALL_LAGS))
+
+
 @register("lag0_topk", O.final(_FE + """ SELECT symbol, delta_vol, delta_illiq, n_shock_obs FROM eff
     WHERE lag = 0 ORDER BY delta_vol DESC NULLS LAST, symbol ASC LIMIT 20""",
                                ["symbol", "delta_vol", "delta_illiq", "n_shock_obs"], ["delta_vol", "delta_illiq"]))
@@ -625,6 +638,39 @@ def q_marketcap_join(spark, sf_dir):
                        "snap_time", ["snap_time", "weekly_size"])
 
 
+# snapshots of the brands' assets from the part table alone, through dated CSV folders
+_CAP_DAYS = 200
+_BASE_OF_BRAND = "CASE k " + " ".join(f"WHEN {k} THEN '{a}'" for k, a in BRAND_BASE.items()) + " ELSE 'B' || k END"
+_CAPS = f"""
+parts AS (SELECT CAST(substr(p_brand, 7) AS INTEGER) AS k, p_partkey, p_size, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part),
+caps AS (SELECT {_BASE_OF_BRAND} AS base_asset,
+    CAST(make_date(1995 + p_size % 7, CAST(1 + p_partkey % 12 AS INTEGER), 1) AS TIMESTAMP) AS snap_time, CAST(sum(cents) AS DOUBLE) AS market_cap
+  FROM parts GROUP BY 1, 2),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY snap_time ORDER BY market_cap DESC, base_asset) AS cap_rank FROM caps)"""
+
+
+def _market_caps(spark, sf_dir):
+    path = f"{_folder(spark)}/caps"
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("CAST(substr(p_brand, 7) AS INT)").alias("k"), "p_partkey", "p_size", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
+    day = F.make_date(F.lit(1995) + F.col("p_size") % 7, (F.col("p_partkey") % 12 + 1).cast("int"), F.lit(1))
+    write_market_caps(parts.groupBy(F.expr(_BASE_OF_BRAND).alias("base_asset"), day.cast("timestamp_ntz").alias("snap_time")).agg(
+        F.sum("cents").cast("double").alias("market_cap")), path)
+    return read_market_caps(spark, path)
+
+
+@register("market_cap_tiers", O.final(O.with_ctes(O.BARS_D, _CAPS) + f"""
+SELECT b.symbol, b.open_time, r.market_cap, r.cap_rank,
+  CASE WHEN r.cap_rank <= 3 THEN 'LARGE_CAP' WHEN r.cap_rank <= 6 THEN 'MID_CAP' ELSE 'SMALL_CAP' END AS tier3
+FROM bars_d b LEFT JOIN (
+  SELECT *, least(lead(snap_time) OVER (PARTITION BY base_asset ORDER BY snap_time), snap_time + INTERVAL {_CAP_DAYS} DAY) AS ends FROM ranks) r
+ON r.base_asset = b.base_asset AND b.open_time >= r.snap_time AND b.open_time < r.ends""",
+                                      ["symbol", "open_time", "market_cap", "cap_rank", "tier3"], ["market_cap"]))
+def q_market_cap_tiers(spark, sf_dir):
+    """External snapshot files -> ranks with validity -> the tier of each bar at its time."""
+    ranks = ranks_of(_market_caps(spark, sf_dir), _CAP_DAYS)
+    return ranked_tiers(daily_bars(spark, sf_dir).select("symbol", "base_asset", "open_time"), ranks, 3, 6).drop("base_asset")
+
+
 _TS_COLS = ["symbol", "open_time", "buy_volume_share", "sell_volume_share", "buy_trade_share"]
 
 

@@ -28,7 +28,12 @@ def _names(s: str) -> tuple:
 
 
 def _ints(s: str) -> tuple:
-    return tuple(int(x) for x in s.split(",") if x.strip())
+    """``0,1,5`` or ranges, ends included: ``0-120``."""
+    out = []
+    for part in filter(None, (x.strip() for x in s.split(","))):
+        first, dash, last = part.partition("-")
+        out += range(int(first), int(last) + 1) if dash and first else [int(part)]
+    return tuple(out)
 
 
 def build_parser() -> argparse.ArgumentParser:
