@@ -121,9 +121,9 @@ def test_market_cap_files_and_ranks(spark):
             f.write(lines)
     snaps = read_market_caps(spark, d)
     ranks = sorted((r.base_asset, r.valid_from.date().isoformat(), r.valid_to.date().isoformat(), r.market_cap, r.cap_rank) for r in ranks_of(snaps, 40).collect())
-    assert ranks == [("ADA", "2024-01-01", "2024-02-10", 50.0, 3), ("BTC", "2024-01-01", "2024-02-01", 100.0, 1), ("BTC", "2024-02-01", "2024-03-12", 60.0, 2), ("ETH", "2024-01-01", "2024-02-01", 50.0, 2), ("ETH", "2024-02-01", "2024-03-12", 70.0, 1)]
+    assert ranks == [("ADA", "2024-01-01", "2024-02-10", 50.0, 2), ("BTC", "2024-01-01", "2024-02-01", 100.0, 1), ("BTC", "2024-02-01", "2024-03-12", 60.0, 2), ("ETH", "2024-01-01", "2024-02-01", 50.0, 3), ("ETH", "2024-02-01", "2024-03-12", 70.0, 1)]
     write_market_caps(snaps, f"{d}/again")
     assert sorted(map(tuple, read_market_caps(spark, f"{d}/again").collect())) == sorted(map(tuple, snaps.collect()))
     bars = spark.createDataFrame([("ETH", dt.datetime(2024, 1, 15)), ("ETH", dt.datetime(2024, 2, 15)), ("ADA", dt.datetime(2024, 2, 15)), ("ETH", dt.datetime(2023, 12, 31))], "base_asset string, open_time timestamp_ntz")
-    tiers = sorted((r.base_asset, r.open_time.isoformat()[:10], r.tier3) for r in ranked_tiers(bars, ranks_of(snaps, 40), 1, 2).collect())
+    tiers = sorted((r.base_asset, r.open_time.isoformat()[:10], r.tier3) for r in ranked_tiers(bars, ranks_of(snaps, 40), 1, 3).collect())
     assert tiers == [("ADA", "2024-02-15", "SMALL_CAP"), ("ETH", "2023-12-31", "SMALL_CAP"), ("ETH", "2024-01-15", "MID_CAP"), ("ETH", "2024-02-15", "LARGE_CAP")]
