@@ -958,3 +958,14 @@ def q_stream_bars(spark, sf_dir):
     from tickstat.streaming.bars import stream_event_bars
 
     return stream_event_bars(spark, sf_dir, "1 hour")
+
+
+@register("stream_log_return", O.final(O.with_ctes(O.BARS_E, O.features("bars_e", "feat_e")) + " SELECT symbol, open_time, close, log_return FROM feat_e",
+                                       ["symbol", "open_time", "close", "log_return"], ["close", "log_return"]))
+def q_stream_log_return(spark, sf_dir):
+    """F1 on a stream: stored bars replayed in several micro-batches, in no time order."""
+    from tickstat.streaming.returns import replay_returns
+
+    base = _folder(spark)
+    hourly_bars(spark, sf_dir).select("symbol", "open_time", "close").repartition(3, F.xxhash64("symbol", "open_time")).write.parquet(f"{base}/bars")
+    return replay_returns(spark, f"{base}/bars", base, max_files=1)
