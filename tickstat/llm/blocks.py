@@ -9,8 +9,9 @@ as empty. Words never cross a row limit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,35 @@ def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[
         lo = hi
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives freed memory back, or nothing where it has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the machine: worker processes outlive their
+    tasks, and would hold what one stage freed beside the next stage's memory."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, with freed memory given back before and after a task."""
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 @lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INV, np.uint64)

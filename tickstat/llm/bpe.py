@@ -47,11 +47,11 @@ from pyspark.sql import DataFrame, functions as F
 from . import blocks as B
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-PART = 3 << 20
-REPLAY = 2 << 20
+PART = 1 << 20
+REPLAY = 1 << 20
 CACHE = 600_000
 CACHE_IDS = 2 << 20
-OUT = 3 << 20
+OUT = 2 << 20
 NONE = np.int32(2**31 - 1)
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _LIMIT = range(5)
@@ -498,9 +498,11 @@ def encode(docs: DataFrame, *, doc_id="doc_id", text="text", path: str | None =
                     continue
                 ids, limits = coder.encode(data, offsets, lo, hi)
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(limits)), pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+                del ids, limits
+                B.release()
 
     rest = "ids array<int>" if not digests else "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {key_type}, n_tokens bigint, {rest}")
+    return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(B.released(run), f"doc_id {key_type}, n_tokens bigint, {rest}")
 
 
 def decoded(encoded: DataFrame, *, path: str | None = None) -> DataFrame:

@@ -139,7 +139,7 @@ def _scan(df: DataFrame, key: str, text: str, short: list[int], items: bool, bit
             if batch.num_rows:
                 yield _arrow(key_type, key, batch.column(0), list(_rows(batch.column(1), short, items, table)))
 
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"`{key}` {key_type}, n_words bigint, hits array<{_HIT}>")
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(B.released(run), f"`{key}` {key_type}, n_words bigint, hits array<{_HIT}>")
 
 
 def _bit_table(prints: DataFrame) -> bytes:
@@ -149,7 +149,7 @@ def _bit_table(prints: DataFrame) -> bytes:
             slot = _slot(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(3)).astype(np.int32)), pa.array((1 << (slot & np.uint64(7)).astype(np.int64)).astype(np.int32))], names=["byte", "bit"])
 
-    rows = prints.select("hash", "kind").mapInArrow(run, "byte int, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
+    rows = prints.select("hash", "kind").mapInArrow(B.released(run), "byte int, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
     out = np.zeros(1 << (BITS - 3), np.uint8)
     out[rows["byte"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64).astype(np.uint8)
     return out.tobytes()

@@ -190,7 +190,7 @@ def _digest(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                      _binaries(size.astype(np.int16), blocks), _binaries(p.astype(np.int16), blocks), _binaries(maps.ravel(), 2 * blocks), _binaries(keys, per_row)],
                     names=["id", "n", "f1", "f2", "sizes", "dealt", "maps", "keys"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, sizes binary, dealt binary, maps binary, keys binary")
+    return docs.mapInArrow(B.released(run), "id bigint, n bigint, f1 bigint, f2 bigint, sizes binary, dealt binary, maps binary, keys binary")
 
 
 def _deal(classes: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _deal(classes: DataFrame) -> DataFrame:
                     [pa.array(keys.view(np.int64)), pa.array(np.repeat(ids[row], p)), *(pa.array(np.repeat(maps[:, half], p).view(np.int64)) for half in (0, 1)), pa.array(np.repeat(packed, p))],
                     names=["key", "id", "map", "map2", "sizes"])
 
-    return classes.select("id", "n", "sizes", "dealt", "maps", "keys").mapInArrow(run, "key bigint, id bigint, map bigint, map2 bigint, sizes bigint")
+    return classes.select("id", "n", "sizes", "dealt", "maps", "keys").mapInArrow(B.released(run), "key bigint, id bigint, map bigint, map2 bigint, sizes bigint")
 
 
 class _Lists:
@@ -361,7 +361,7 @@ def _candidates(entries: DataFrame, num: int, den: int) -> DataFrame:
             rest = [x[last:] for x in now]
         yield from out(lists.feed(*rest) if rest is not None else (), last=True)
 
-    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(B.released(run), "a bigint, b bigint")
 
 
 def _whole(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
@@ -374,7 +374,7 @@ def _whole(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
                 g, limits = _sets(data, offsets, lo, hi, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(limits)), _binaries(g, np.diff(limits))], names=["id", "n", "grams"])
 
-    return docs.join(sent(groups.select(F.col("node").alias("id"))), "id", "left_semi").select("id", "text").mapInArrow(run, "id bigint, n bigint, grams binary")
+    return docs.join(sent(groups.select(F.col("node").alias("id"))), "id", "left_semi").select("id", "text").mapInArrow(B.released(run), "id bigint, n bigint, grams binary")
 
 
 def _with_first(rows: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def _with_first(rows: DataFrame) -> DataFrame:
             shared = np.array([np.isin(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], assume_unique=True).sum() for i in range(batch.num_rows)], np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(shared)], names=["comp", "id", "n", "first_n", "shared"])
 
-    return rows.mapInArrow(run, "comp bigint, id bigint, n bigint, first_n bigint, shared bigint")
+    return rows.mapInArrow(B.released(run), "comp bigint, id bigint, n bigint, first_n bigint, shared bigint")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -109,7 +109,7 @@ def _sample(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([slot[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:])], pa.binary())], names=["id", "y", "slots"])
 
     rows = docs.select("id", "text").join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "y", "text")
-    return stored(rows.mapInArrow(run, "id bigint, y int, slots binary"), "sample")
+    return stored(rows.mapInArrow(B.released(run), "id bigint, y int, slots binary"), "sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["slot", "w"])
 
     order = sample.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(p.epochs)))).repartition(1).sortWithinPartitions("epoch", F.xxhash64("epoch", "id"), "id")
-    rows = order.select("y", "slots").mapInArrow(run, "slot bigint, w double").toPandas()
+    rows = order.select("y", "slots").mapInArrow(B.released(run), "slot bigint, w double").toPandas()
     return rows["slot"].to_numpy(np.int64), rows["w"].to_numpy(np.float64)
 
 
@@ -160,7 +160,7 @@ def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_scores(batch.column(1), dense))], names=["id", "score"])
 
-    return docs.mapInArrow(run, "id bigint, score double")
+    return docs.mapInArrow(B.released(run), "id bigint, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", params: Params = Params()) -> DataFrame:
@@ -175,4 +175,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="
             at = batch.schema.get_field_index(text)
             yield batch.filter(pa.array(text_scores(batch.column(at), dense) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(B.released(run), docs.schema)
