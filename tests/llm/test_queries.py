@@ -165,6 +165,18 @@ def test_token_ids(spark, sf_small, texts, odd, nothing):
     assert idfiles.checksums(spark, empty).collect() == []
 
 
+def test_token_ids_lie_in_two_bytes_between_the_passes(spark, odd):
+    folder = idfiles.new_folder(spark)
+    idfiles.write_ids(odd, folder)
+    rows = spark.read.parquet(f"{folder}/tokenized").collect()
+    assert len(rows) == odd.count() and all(len(r.ids) == 2 * r.n_ids for r in rows)
+    wide = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in idfiles.tokenized(odd).collect()}
+    assert wide == {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in rows}
+    # an id beyond two bytes
+    idfiles.write_ids(odd, folder := idfiles.new_folder(spark), end=70_000)
+    assert {r.doc_id: r.ids for r in idfiles.read_ids(spark, folder).collect()} == {i: x[:-1] + [70_000] for i, x in wide.items()}
+
+
 def _near_copies(seed: int = 0) -> list[str]:
     """Texts of many sizes with copies changed a little, more, and a lot; blocks of one, two and many."""
     rng = random.Random(seed)

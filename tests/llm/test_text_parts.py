@@ -8,9 +8,11 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from tests.llm import plain
 from tickstat.llm import blocks as B, bpe, hnsw, htmltext, idfiles, jaccard, pii, shards
+from tickstat.llm.pieces import Pieces
 
 
 def _random_texts(n: int, alphabet: str, most: int = 60, seed: int = 1) -> list[str]:
@@ -166,6 +168,65 @@ def test_id_coding_round_trip():
     assert len(idfiles.unpack(control[:0], data[:0], np.zeros(0, int))) == 0
 
 
+class _Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, 0
+
+    def encode_batch(self, texts, **options):
+        self.texts += len(texts)
+        return self.own.encode_batch(texts, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_letter_pieces_go_to_the_library_together(monkeypatch):
+    path = P.path(idfiles.VOCABULARY)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgXYZéÉßÿÞñ") for _ in range(rng.randint(1, 12)))
+    texts = [" ".join(word() for _ in range(50)) for _ in range(60)]
+    kinds = idfiles._tools(path)
+    counted = [_Counted(x[0] if isinstance(x, tuple) else x) for x in kinds[:-1]]
+    fresh = [(c, *x[1:]) if isinstance(x, tuple) else c for c, x in zip(counted, kinds[:-1])]
+    monkeypatch.setitem(idfiles._WORDS, path, (*fresh, Pieces(idfiles.CACHE)))
+    data, offsets = B.text_bytes(pa.array(texts))
+    ids, limits = idfiles.block_ids(data, offsets, 0, len(texts), path)
+    library = Tokenizer.from_file(path)
+    assert [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:])] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(c.texts for c in counted) <= 20  # some 2,700 different words
+
+
+@pytest.mark.parametrize("bound", [5, 60, 600_000])
+def test_ids_of_odd_texts_are_the_librarys(monkeypatch, bound):
+    path = P.path(idfiles.VOCABULARY)
+    parts = [*"aBzéÉßÿŸ×÷Þñ\u0301'’st7½²İΣςµª \n\u00a0\u2003-.中😀\x00\x01\x7fﬁ", "A\u030a", "K", "<|endoftext|>", "ll", "the", "\u200d", "ẞ"]
+    rng = random.Random(bound)
+    texts = plain.ODD_TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(600)]
+    texts += [x.replace("<|endoftext|>", "") if x else x for x in texts]
+    monkeypatch.setitem(idfiles._WORDS, path, (*idfiles._tools(path)[:-1], Pieces(bound)))
+    data, offsets = B.text_bytes(pa.array(texts))
+    library, found = Tokenizer.from_file(path), []
+    for lo, hi in B.row_blocks(offsets, 500):
+        ids, limits = idfiles.block_ids(data, offsets, lo, hi, path)
+        found += [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:])]
+    assert found == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_pieces_met_again_stay_when_room_is_made():
+    pieces = Pieces(4)
+    hashes = lambda *x: np.array(x, np.uint64)
+    pieces.add(hashes(7, 5, 9), np.array([70, 71, 50], np.int32), np.array([2, 1, 0]))
+    assert pieces.places(hashes(5, 9)).tolist() == [1, 2]
+    assert pieces.places(hashes(1, 5, 2)).tolist() == [-1, 0, -1]  # over the bound: 7 went
+    at = np.concatenate([pieces.places(hashes(5, 9)), pieces.add(hashes(1, 2), np.array([10, 20, 21], np.int32), np.array([1, 2]))])
+    ids, limits = pieces.fill(at[[3, 0, 1, 2]])
+    assert ids.tolist() == [20, 21, 50, 10] and limits.tolist() == [0, 2, 3, 3, 4]
+    assert pieces.places(hashes(11, 12, 13, 14)).tolist() == [-1] * 4 and len(pieces.hash) == 0
+
+
 def test_forest_and_overlaps():
     rng = np.random.default_rng(0)
     for _ in range(50):

@@ -14,12 +14,17 @@ never joins letters, digits and punctuation in one token (but for an apostrophe
 and the letters after it), and its normaliser folds case. So a block is cut at
 white space and between ASCII or Latin-1 letters, digits and ASCII punctuation,
 pieces equal but for case are folded, and each different piece is encoded once.
-Where a text names a special token, it is only cut at white space. Special
-tokens are not added; the end id is appended to every document.
+Pieces of ASCII and Latin-1 letters alone are one word to the splitter: many go
+to the library's model at once, in lower case and as the byte characters of its
+vocabulary, between spaces; their last tokens are those that end a word. Where
+a text names a special token, it is only cut at white space. Special tokens are
+not added; the end id is appended to every document.
 
 Scale: texts are read once and not shuffled. The ids go to the shared folder,
-their frequencies are counted there (at most one row per vocabulary entry
-leaves a task), and the coded documents are dealt by ranges of document ids.
+in two bytes where the vocabulary allows, their frequencies are counted there
+(at most one row per vocabulary entry leaves a task), and the documents are
+dealt by ranges of document ids and coded behind that shuffle, as Spark runs
+all that stands before a range shuffle twice (once to find the ranges).
 The starts are sums inside each range plus the totals of the ranges before.
 
 Null and empty texts have the end id only. Rows that repeat a document id stay
@@ -29,6 +34,7 @@ empty files. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -40,13 +46,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import blocks as B
-from .pieces import Pieces
+from .pieces import Pieces, gather
 from .store import shared_folder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 BLOCK = 8 << 20
 CACHE = 600_000
+#: Letter pieces that go to the library as one text.
+TOGETHER = 256
 
 #: Bytes: white space, letters, digits, punctuation, and those that stay with what is beside them.
 _SPACE, _LETTER, _DIGIT, _PUNCTUATION, _BESIDE = range(5)
@@ -92,28 +100,58 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
+#: The vocabulary's characters for bytes; those without a visible one have their own from 256 on, but space and line end stay.
+_OWN = [*range(33), *range(127, 161), 173]
+_CHARACTERS = np.arange(256, dtype="<u4")
+_CHARACTERS[_OWN] = 256 + np.arange(len(_OWN))
+_CHARACTERS[[10, 32]] = 10, 32
+_ENDING = "</w>"
+
+
+def _letters(path: str):
+    """(the library's model behind a split at spaces, whether each id ends a
+    word), or None if the file's model doesn't mark the ends of words."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        kind = json.load(file)
+    model = kind["model"]
+    own = [chr(_CHARACTERS[b]) for b in (*range(97, 123), 0xC3, *range(0x9F, 0xC0))]
+    if model.get("end_of_word_suffix") != _ENDING or not all(c in model["vocab"] and c + _ENDING in model["vocab"] for c in own):
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for token, i in model["vocab"].items() if token.endswith(_ENDING)]] = True
+    kind |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+    return Tokenizer.from_str(json.dumps(kind)), ends
+
+
 _WORDS: dict[str, tuple] = {}
 
 
 def _tools(path: str) -> tuple:
-    """(tokenizer, words met) of this worker process."""
+    """(tokenizer, that of letter pieces, words met) of this worker process."""
     if path not in _WORDS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORDS[path] = Tokenizer.from_file(path), Pieces(CACHE)
+        _WORDS[path] = Tokenizer.from_file(path), _letters(path), Pieces(CACHE)
     return _WORDS[path]
 
 
-def cut(block: np.ndarray, limits: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the pieces of a block; no token reaches over their limits."""
-    if not len(block):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _kinds(block: np.ndarray) -> np.ndarray:
     kind = _KINDS[block]
     # the Latin-1 letters: C3 and any byte but those of the two signs among them
     lead = np.flatnonzero(block[:-1] == 0xC3)
     lead = lead[(block[lead + 1] != 0x97) & (block[lead + 1] != 0xB7)]
     kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def cut(block: np.ndarray, limits: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the pieces of a block; no token reaches over their limits."""
+    if not len(block):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _kinds(block)
     edge = np.ones(len(block) + 1, bool)
     left, right = kind[:-1], kind[1:]
     apart = (left == _SPACE) | (right == _SPACE)
@@ -125,9 +163,35 @@ def cut(block: np.ndarray, limits: np.ndarray, fine: bool) -> tuple[np.ndarray,
     return start[text], end[text]
 
 
+def _letter_ids(data: np.ndarray, size: np.ndarray, letters: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number in each piece) of joined pieces of letters alone."""
+    tokenizer, ends = letters
+    spaced = np.full(len(data) + len(size), 32, np.uint8)
+    spaced[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
+    spaced[(np.cumsum(size) + np.arange(len(size)))[TOGETHER - 1 :: TOGETHER]] = 10
+    lower = np.frombuffer(spaced.tobytes().decode().lower().encode(), np.uint8)
+    found = tokenizer.encode_batch_fast(_CHARACTERS[lower].tobytes().decode("utf-32-le").split("\n"), add_special_tokens=False)
+    ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
+    return ids, np.diff(np.flatnonzero(ends[ids]), prepend=-1)
+
+
+def _encode(block: np.ndarray, start: np.ndarray, end: np.ndarray, tokenizer, letters: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, their number in each piece, the order of the pieces) of block[start:end]."""
+    size = end - start
+    data = gather(block, start, size)
+    alone = np.add.reduceat(_kinds(data) != _LETTER, np.cumsum(size) - size, dtype=np.int64) == 0 if letters else np.zeros(len(size), bool)
+    own, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
+    ids, count = _letter_ids(data[np.repeat(alone, size)], size[own], letters) if len(own) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    raw = block.tobytes() if len(rest) else b""
+    found = [e.ids for e in tokenizer.encode_batch([raw[s:e].decode() for s, e in zip(start[rest].tolist(), end[rest].tolist())], add_special_tokens=False)]
+    more = np.fromiter(map(len, found), np.int64, len(found))
+    ids = np.concatenate([ids, np.fromiter((i for x in found for i in x), np.int32, int(more.sum()))])
+    return ids, np.concatenate([count, more]), np.concatenate([own, rest])
+
+
 def block_ids(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, limits of the rows) of rows lo..hi, without end ids."""
-    tokenizer, pieces = _tools(path)
+    tokenizer, letters, pieces = _tools(path)
     block = data[int(offsets[lo]) : int(offsets[hi])]
     raw = block.tobytes()
     plain = not any(x in raw for x in _SPECIAL)
@@ -136,14 +200,17 @@ def block_ids(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, path: str
         return np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64)
     h = B.span_hashes((_FOLDED if plain else _RAW)[block], start, end)
     h = h if plain else B.mix(h + np.uint64(1))  # apart from the folded pieces
-    distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-    new = pieces.missing(distinct)
-    if new.any():
-        at = first[new]
-        found = [e.ids for e in tokenizer.encode_batch([raw[s:e].decode() for s, e in zip(start[at].tolist(), end[at].tolist())], add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        pieces.add(distinct[new], np.fromiter((i for x in found for i in x), np.int32, int(count.sum())), count)
-    ids, ends = pieces.fill(distinct, which)
+    coded = pa.array(h).dictionary_encode()
+    distinct, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    at = pieces.places(distinct)
+    new = np.flatnonzero(at < 0)
+    if len(new):
+        first = np.empty(len(distinct), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        first = first[new]
+        found, count, order = _encode(block, start[first], end[first], tokenizer, letters)
+        at[new[order]] = pieces.add(distinct[new[order]], found, count)
+    ids, ends = pieces.fill(at[which])
     return ids, ends[np.searchsorted(start, offsets[lo : hi + 1] - offsets[lo])]
 
 
@@ -165,8 +232,16 @@ def _bytes(column) -> np.ndarray:
     return np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
 
 
-def tokenized(docs: DataFrame, *, doc_id="doc_id", text="text", path: str | None = None, end: int = END) -> DataFrame:
-    """(doc_id, n_ids, ids): ids as little-endian 32-bit integers, the end id last."""
+def _width(path: str | None = None, end: int = END, **_) -> int:
+    """Bytes that hold every id of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)).get_vocab(with_added_tokens=True)
+    return 2 if max(end, max(vocabulary.values())) < 1 << 16 else 4
+
+
+def tokenized(docs: DataFrame, *, doc_id="doc_id", text="text", path: str | None = None, end: int = END, width: int = 4) -> DataFrame:
+    """(doc_id, n_ids, ids): ids as little-endian integers of ``width`` bytes (2 or 4), the end id last."""
     path = path or public_tokenizers.path(VOCABULARY)
     key_type = docs.schema[doc_id].dataType.simpleString()
 
@@ -175,18 +250,18 @@ def tokenized(docs: DataFrame, *, doc_id="doc_id", text="text", path: str | None
             data, offsets = B.text_bytes(batch.column(1))
             for lo, hi in B.row_blocks(offsets, BLOCK):
                 ids, limits = _with_end(*block_ids(data, offsets, lo, hi, path), end)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(limits)), _binary(ids.astype("<i4").tobytes(), limits * 4)], names=["doc_id", "n_ids", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(limits)), _binary(ids.astype(f"<u{width}").tobytes(), limits * width)], names=["doc_id", "n_ids", "ids"])
 
     return docs.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, f"doc_id {key_type}, n_ids bigint, ids binary")
 
 
-def _frequencies(ids: DataFrame) -> list[tuple[int, int]]:
+def _frequencies(ids: DataFrame, width: int = 4) -> list[tuple[int, int]]:
     """(id, count), most frequent first; one row per vocabulary entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            seen = np.bincount(_bytes(batch.column(0)).view("<i4"))
+            seen = np.bincount(_bytes(batch.column(0)).view(f"<u{width}"))
             if len(seen) > len(total):
                 total = np.pad(total, (0, len(seen) - len(total)))
             total[: len(seen)] += seen
@@ -200,11 +275,11 @@ def _frequencies(ids: DataFrame) -> list[tuple[int, int]]:
 def write_ids(docs: DataFrame, folder: str, **options) -> None:
     """Write the documents' ids under ``folder``: tables ``ids`` and ``ranks``."""
     spark = docs.sparkSession
-    raw = f"{folder}/tokenized"
-    ids = tokenized(docs, **options)
+    raw, width = f"{folder}/tokenized", _width(**options)
+    ids = tokenized(docs, width=width, **options)
     ids.write.option("compression", "zstd").parquet(raw)
     ids = spark.read.schema(ids.schema).parquet(raw)
-    order = [i for i, _ in _frequencies(ids)]
+    order = [i for i, _ in _frequencies(ids, width)]
     spark.createDataFrame(list(enumerate(order)), "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
@@ -216,12 +291,13 @@ def write_ids(docs: DataFrame, folder: str, **options) -> None:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 counts = part.column(1).to_numpy(zero_copy_only=False)
-                control, n_control, data, n_data = pack(sent.value[_bytes(part.column(2)).view("<i4")], counts)
+                control, n_control, data, n_data = pack(sent.value[_bytes(part.column(2)).view(f"<u{width}")], counts)
                 limits = lambda n: np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binary(control.tobytes(), limits(n_control)), _binary(data.tobytes(), limits(n_data))], names=["doc_id", "n_ids", "control", "data"])
 
-    coded = ids.mapInArrow(run, f"doc_id {key_type}, n_ids bigint, control binary, data binary")
-    coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    dealt = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    coded = dealt.mapInArrow(run, f"doc_id {key_type}, n_ids bigint, control binary, data binary")
+    coded.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/ids")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
